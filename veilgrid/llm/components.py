@@ -45,3 +45,16 @@ def _mark(e: DataFrame) -> tuple:
     """Number of edges and a digest of them that doesn't depend on their order."""
     r = e.agg(F.count("*"), F.expr("coalesce(bit_xor(xxhash64(a, b)), 0L)"), F.expr("coalesce(sum(cast(hash(b, a) as long)), 0L)")).first()
     return tuple(r)
+
+
+def component_labels(ws: Workspace, least: DataFrame, links: DataFrame) -> DataFrame:
+    """``least(node, d)`` with the smallest document id of each node, ``links(a, b)`` -> ``(node, component_id)``.
+
+    component_id is the smallest d of the component; nodes without links have their own.
+    """
+    stars = connected_components(ws, links)
+    root_of = stars.union(stars.select("root", "root")).distinct()
+    members = ws.table(root_of.join(least, "node").select("node", "root", "d"), "members")
+    first = ws.table(members.groupBy("root").agg(F.min("d").alias("c")), "first")
+    group = members.join(first, "root").select("node", "c")
+    return ws.table(least.join(group, "node", "left").select("node", F.coalesce("c", "d").alias("component_id")), "labels")

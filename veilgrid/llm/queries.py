@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrid.llm import mixing, packing, quality_classifier, quality_rules, secrets, simhash
+from veilgrid.llm import chat_format, embedding_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, secrets, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,11 +23,31 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_read(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.chat_digest(rows.union(extra))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix_copies(_read(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embedding_dedup.embedding_links(_read(spark, sf_dir, "embeddings"))
+    return rows.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
 
@@ -43,7 +63,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_chat_format": op3_chat_format,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_source_mixing": op5_source_mixing,
+    "op6_warc": op6_warc,
+    "op7_embedding_neardup": op7_embedding_neardup,
     "op8_quality_rules": op8_quality_rules,
     "op9_bestfit_packing": op9_bestfit_packing,
     "op10_quality_classifier": op10_quality_classifier,

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from veilgrid.llm.components import connected_components
+from veilgrid.llm.components import component_labels
 from veilgrid.llm.workspace import Workspace
 
 BITS = 64
@@ -136,15 +136,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     ws = Workspace(docs.sparkSession, "simhash")
     rows = ws.table(fingerprints(docs, id_col, text_col, shingle), "rows")
-    least = ws.table(rows.groupBy("fp").agg(F.min("id").alias("d")), "least")
-    links = simhash_links(ws, least.select("fp"), distance, segments, hot_bucket)
-    stars = connected_components(ws, links)
-    root_of = stars.union(stars.select("root", "root")).distinct()
-    members = ws.table(root_of.join(least, root_of.node == least.fp).select("fp", "root", "d"), "members")
-    first = ws.table(members.groupBy("root").agg(F.min("d").alias("c")), "first")
-    group = members.join(first, "root").select("fp", "c")
-    known = ws.table(least.join(group, "fp", "left").select("fp", F.coalesce("c", "d").alias("component_id")), "known")
-    return rows.join(known, "fp").select("id", "fp", "component_id")
+    least = ws.table(rows.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("d")), "least")
+    links = simhash_links(ws, least.select(F.col("node").alias("fp")), distance, segments, hot_bucket)
+    known = component_labels(ws, least, links)
+    return rows.join(known, rows.fp == known.node).select("id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:

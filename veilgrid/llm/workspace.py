@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,11 +51,25 @@ class Workspace:
     def table(self, df: DataFrame, label: str) -> DataFrame:
         """Write ``df`` and read it again."""
         path = self.path(label)
-        df.write.parquet(path)
+        with self._lean():
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._veilgrid_path = path
         return out
 
+    @contextmanager
+    def _lean(self):
+        """While a table is written: its shuffle files go when it is there, and Arrow batches are bounded by bytes."""
+        conf, own = self.spark.conf, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+        before = {k: conf.get(k, None) for k in own}
+        for k, v in own.items():
+            conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that no later step reads."""
         for t in tables:

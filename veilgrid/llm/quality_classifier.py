@@ -6,7 +6,7 @@ ratio of the two over its least likely passage, so that a long document can't hi
 passage, and whole documents of bad text are bad in every passage.  Half of the labelled
 documents fit the models, the other half scale the log-weights to log-odds.  Gumbel noise is
 added and the k documents with the largest sums are kept: a sample without replacement in
-proportion to the odds.  k is the number of target documents that the odds imply for the whole
+proportion to a power of the odds.  k is the number of target documents that the odds imply for the whole
 corpus.
 
 The sample of labelled documents is bounded by ``max_labelled`` (those with the smallest hash of
@@ -36,6 +36,8 @@ PRIOR = 2.0
 PASSAGE, STRIDE = 256, 64
 #: Bytes worked on at a time; longer texts go in overlapping stretches.
 STRETCH = 1 << 20
+#: The sample is proportional to the odds to the power 1 / TEMPERATURE: only documents near even odds are left to chance.
+TEMPERATURE = 0.25
 
 
 def buckets(data: np.ndarray, order: int) -> np.ndarray:
@@ -78,7 +80,7 @@ class RatioModel:
         """Log-odds plus Gumbel noise as a long that sorts alike; ties of the rounded sum go by a hash."""
         h = xxh64_intdigest(repr(doc_id).encode() + b"\0" + text, seed)
         u = ((h >> 11) + 0.5) / (1 << 53)
-        key = self.slope * log_weight + self.offset - np.log(-np.log(u))
+        key = (self.slope * log_weight + self.offset) / TEMPERATURE - np.log(-np.log(u))
         return (int(np.floor(np.clip(key, -32000, 32000) * 65536)) << 31) | (h & 0x7FFFFFFF)
 
 
@@ -88,18 +90,28 @@ def fit_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((target + PRIOR) / (expected + PRIOR)).astype(np.float32)
 
 
-def fit_line(scores: np.ndarray, good: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Logistic regression of good on the score, with a slope of at least 0 and a weak prior."""
-    mean, scale = scores.mean(), scores.std() or 1.0
-    x, w = np.stack([(scores - mean) / scale, np.ones(len(scores))], 1), np.zeros(2)
+def fit_line(scores: np.ndarray, good: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Logistic regression of good on the score, with a slope of at least 0 and a weak prior.
+
+    Scores far below those of good documents are drawn in, so that a few very bad texts don't decide the slope; steps
+    are halved until the likelihood grows.
+    """
+    middle = float(np.median(scores[good > 0.5]))
+    scale = float(np.median(np.abs(scores[good > 0.5] - middle))) + 1e-9
+    x, w = np.stack([np.clip((scores - middle) / scale, -12, 12), np.ones(len(scores))], 1), np.zeros(2)
+    loss = lambda v: float(np.logaddexp(0, np.where(good > 0.5, -1, 1) * (x @ v)).sum() + 0.005 * v @ v)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (good - p) - 0.01 * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w += np.clip(step, -2, 2)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        grad = x.T @ (p - good) + 0.01 * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2), grad)
+        now, part = loss(w), 1.0
+        while part > 1e-6 and loss(w - part * step) > now:
+            part /= 2
+        w = w - part * step
+        if np.abs(part * step).max() < 1e-9:
+            break
     slope = max(0.0, w[0]) / scale
-    return float(slope), float(w[1] - slope * mean)
+    return float(slope), float(w[1] - slope * middle)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
@@ -121,13 +133,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, tasks: i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.zeros((2, len(ORDERS), 1 << BITS), np.int64)
         for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1), strict=True):
-                data = np.frombuffer(text.as_py(), np.uint8)
-                for k, order in enumerate(ORDERS):
-                    n = np.bincount(buckets(data, order), minlength=1 << BITS)
-                    tables[1, k] += n
-                    if good.as_py():
-                        tables[0, k] += n
+            texts = [np.frombuffer(t.as_py(), np.uint8) for t in batch.column(0)]
+            good = np.array(batch.column(1).to_pylist(), bool)
+            for k, order in enumerate(ORDERS):
+                own = [buckets(t, order) for t in texts]
+                for some in range(0, len(own), 256):  # a table is counted once for many texts
+                    part, keep = own[some : some + 256], good[some : some + 256]
+                    tables[1, k] += np.bincount(np.concatenate(part), minlength=1 << BITS)
+                    if keep.any():
+                        tables[0, k] += np.bincount(np.concatenate([x for x, g in zip(part, keep, strict=True) if g]), minlength=1 << BITS)
         for which in range(2):
             for k in range(len(ORDERS)):
                 at = np.flatnonzero(tables[which, k])

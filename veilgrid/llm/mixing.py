@@ -163,7 +163,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     per_id = ws.table(copies.groupBy(F.col("id").alias("__id")).agg(F.sum("copies").alias("__k"), F.count("*").alias("__n")).where("__k > 0"), "copies")
     names = [F.col(f"`{c}`") for c in docs.columns]
     held = docs.withColumn("__key", F.col(id_col).cast("long"))
-    once = held.join(per_id.where("__n = 1"), F.col("__key").eqNullSafe(F.col("__id")))
+    once = held.join(per_id.where("__n = 1").hint("merge"), F.col("__key").eqNullSafe(F.col("__id")))
     out = once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).select(*names)
     again = per_id.where("__n > 1")
     if again.isEmpty():

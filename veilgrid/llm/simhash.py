@@ -157,7 +157,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = simhash_components(docs, id_col, text_col, **options)
     keep = ws.table(groups.where("id = component_id").groupBy(F.col("id").alias("__keep")).agg(F.count("*").alias("__n")), "keep")
     named = docs.where(docs[id_col].isNotNull())
-    kept = named.join(keep.where("__n = 1"), named[id_col].cast("long") == F.col("__keep"), "left_semi")
+    kept = named.join(keep.where("__n = 1").hint("merge"), named[id_col].cast("long") == F.col("__keep"), "left_semi")
     more = keep.where("__n > 1")
     if not more.isEmpty():
         rank = Window.partitionBy("__keep").orderBy(F.col(text_col).asc_nulls_first())

@@ -2,6 +2,9 @@
 
 from collections import Counter
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from veilgrid.llm import secrets
 from veilgrid.llm.queries import ORACLE_SQL, QUERIES
@@ -35,3 +38,30 @@ def test_pipeline_stage_by_stage(spark, small, tmp_path):
         packed.update(i for i, a in zip(r.doc_ids, r.starts, strict=True) if a == 0)
     assert packed == mixed
     assert corpus_pipeline.run(spark, small).count() == out["bestfit_packing"].count()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, small, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "conversations"):
+        con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    df = QUERIES[name](spark, small)
+    columns = sorted(df.columns)
+    result = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == columns
+    want = sorted(repr([dict(zip(names, r, strict=True))[c] for c in columns]) for r in result.fetchall())
+    assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_whole_tables(spark, small, name):
+    """One row for each row of the table, where the query is of rows."""
+    df = QUERIES[name](spark, small)
+    key = {"op6_warc": ("pages", "page_id"), "op7_embedding_neardup": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
+    if name == "op3_chat_format":
+        assert df.count() == 1 + spark.read.parquet(f"{small}/conversations.parquet").select("conv_id").distinct().count()
+    elif name == "op9_bestfit_packing":
+        assert df.selectExpr("explode(doc_ids) i").distinct().count() == spark.read.parquet(f"{small}/documents.parquet").count()
+    else:
+        assert df.count() == df.select(key[1]).distinct().count() == spark.read.parquet(f"{small}/{key[0]}.parquet").count()

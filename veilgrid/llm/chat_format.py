@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgrid.llm.workspace import Workspace
+from veilgrid.llm.workspace import Workspace, slices
 
 # The template's marks, and strings that other chat templates use for control.
 TURN, END = "<|turn|>", "<|end|>"
@@ -74,7 +74,7 @@ def _turns(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last, path, digest = object(), None, [], b""
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for r in batch.to_pylist():
                 if r["conv_id"] != key:
@@ -130,7 +130,7 @@ def _emit(turns: DataFrame, tokenizer_path: str | None) -> DataFrame:
             encode = lambda text: t.encode(text, add_special_tokens=False).ids
         shard, tree, segment, at = None, -1, 0, 0
         stack: list[tuple[int, int, int]] = []  # (start, stop, position after) of the path
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for r in batch.to_pylist():
                 if r["shard"] != shard:
@@ -194,7 +194,7 @@ def read_back(segments: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, stack = None, []
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for r in batch.to_pylist():
                 if r["seq_id"] != seq:

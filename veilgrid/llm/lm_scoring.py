@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from veilgrid.llm.workspace import Workspace
+from veilgrid.llm.workspace import Workspace, slices
 
 #: Exponent of the growth of the number of different words after a context.
 HEAPS = 0.9
@@ -130,7 +130,7 @@ def _blocks(source: DataFrame, of: int, rest: int, block: int) -> DataFrame:
             }
             return pa.RecordBatch.from_pylist([row], schema=kinds)
 
-        for batch in batches:
+        for batch in slices(batches):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 found = (t.as_py() or b"").lower().split()
                 if size and size + len(found) > block:

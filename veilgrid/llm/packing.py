@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgrid.llm.workspace import Workspace, word_count
+from veilgrid.llm.workspace import Workspace, slices, word_count
 
 #: Permitted sequence lengths in words.
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -94,7 +94,7 @@ def _pack(rows: DataFrame, capacities: tuple[int, ...], overhead: int, with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 if row["cell"] != cell:
                     if held:

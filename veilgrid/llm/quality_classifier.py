@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from veilgrid.llm.workspace import Workspace
+from veilgrid.llm.workspace import Workspace, slices
 
 #: Lengths of the n-grams in bytes; each has a table of 2 ** BITS counts.
 ORDERS = (3, 6)
@@ -44,13 +44,13 @@ def buckets(data: np.ndarray, order: int) -> np.ndarray:
     """Bucket of the n-gram that starts at each byte."""
     n = len(data) - order + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     h = np.zeros(n, np.uint64)
     for k in range(order):
         h *= np.uint64(0x100000001B3)
         h += data[k : k + n]
     h *= np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 @dataclass
@@ -132,16 +132,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, tasks: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.zeros((2, len(ORDERS), 1 << BITS), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [np.frombuffer(t.as_py(), np.uint8) for t in batch.column(0)]
             good = np.array(batch.column(1).to_pylist(), bool)
             for k, order in enumerate(ORDERS):
                 own = [buckets(t, order) for t in texts]
-                for some in range(0, len(own), 256):  # a table is counted once for many texts
-                    part, keep = own[some : some + 256], good[some : some + 256]
-                    tables[1, k] += np.bincount(np.concatenate(part), minlength=1 << BITS)
-                    if keep.any():
-                        tables[0, k] += np.bincount(np.concatenate([x for x, g in zip(part, keep, strict=True) if g]), minlength=1 << BITS)
+                tables[1, k] += np.bincount(np.concatenate(own), minlength=1 << BITS)  # once for many texts
+                if good.any():
+                    tables[0, k] += np.bincount(np.concatenate([x for x, g in zip(own, good, strict=True) if g]), minlength=1 << BITS)
         for which in range(2):
             for k in range(len(ORDERS)):
                 at = np.flatnonzero(tables[which, k])
@@ -158,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, tasks: i
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = RatioModel(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.record_batch([pa.array([m.log_weight(t.as_py()) for t in batch.column(0)], pa.float64()), batch.column(1)], names=["s", "good"])
 
     got = sample.where("fold = 1").select("text", "good").repartition(tasks).mapInArrow(score, "s double, good boolean").collect()  # at most max_labelled pairs
@@ -226,7 +224,7 @@ def select_documents(docs: DataFrame, labels: DataFrame, seed: int = 3, max_labe
     keys = _keys(spark, model, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             weights, out = keys(batch.column(0), batch.column(1))
             yield pa.record_batch([batch.column(0), pa.array(weights, pa.float64()), pa.array(out, pa.int64())], names=["id", "log_weight", "o"])
 
@@ -256,7 +254,7 @@ def keep_documents(docs: DataFrame, labels: DataFrame, seed: int = 3, **options)
     keys, least, at, ids = _keys(docs.sparkSession, s.model, seed), s.least, docs.columns.index("text"), docs.columns.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             _, out = keys(batch.column(ids).cast(pa.int64()), batch.column(at))
             yield batch.filter(pa.array([o >= least for o in out], pa.bool_()))
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilgrid.llm.workspace import slices
+
 # Kinds in the order in which equal starts are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "npm", "xprv")
 # Lower-case keywords whose hits are candidates of a kind.
@@ -134,7 +136,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, kind = Scanner(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-        for batch in batches:
+        for batch in slices(batches):
             rows = [[{"start": a, "end": b, "kind": k} for a, b, k in scanner.scan(t.as_py())] for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(rows, kind)], names=["id", "found"])
 
@@ -153,7 +155,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        for batch in batches:
+        for batch in slices(batches):
             texts, changed = batch.column(at).to_pylist(), {}
             for i, t in enumerate(texts):
                 if t and (found := scanner.scan(t)):

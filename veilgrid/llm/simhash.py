@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from veilgrid.llm.components import component_labels
-from veilgrid.llm.workspace import Workspace
+from veilgrid.llm.workspace import Workspace, slices
 
 BITS = 64
 
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, fp)`` for every row: the id column and the signed 64-bit fingerprint of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).cast(pa.binary())
             fps = [fingerprint(t.as_py(), shingle, seed) for t in texts]
             yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])

@@ -76,7 +76,36 @@ def valid_card(value: Column) -> Column:
     return bare.rlike(r"^\d{13,19}$") & luhn(bare)
 
 
-def email_entities(text: Column, mode: str = "lib", hints: Column | None = None) -> Column:
+class Seen:
+    """Cheap tests of a text that let most texts skip most patterns.
+
+    As columns of their own (``columns``, each with its prefix) they are evaluated once for all detectors, otherwise where they are used.
+    They are single columns, not a struct: a struct of which only fields are read is inlined into every use.
+    """
+
+    # The tests by name, with the one that must hold first.
+    TESTS = {
+        "at": (None, "@"), "digit": (None, "[0-9]"), "digits3": ("digit", "[0-9]{3}"), "digits4": ("digits3", "[0-9]{4}"), "digits6": ("digits4", "[0-9]{6}"),
+        "run16": (None, "[A-Za-z0-9_-]{16}"), "key": ("run16", "(?i)key"), "eyj": (None, "eyJ"), "bearer": (None, "(?i)bearer"), "session": ("run16", "(?i)sess|sid|token|jwt"),
+    }
+    PREFIX = "__seen_"
+
+    def __init__(self, text: Column, as_columns: bool = False):
+        self._text, self._as_columns = text, as_columns
+
+    def __getattr__(self, name: str) -> Column:
+        if self._as_columns:
+            return F.col(self.PREFIX + name)
+        needs, pattern = self.TESTS[name]
+        return self._text.rlike(pattern) if needs is None else getattr(self, needs) & self._text.rlike(pattern)
+
+    @classmethod
+    def columns(cls, text: Column) -> dict[str, Column]:
+        own = cls(text)
+        return {cls.PREFIX + n: getattr(own, n) for n in cls.TESTS}
+
+
+def email_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None) -> Column:
     rules = "rt" if mode == "rt" else "lib"
     role = "(?i)^(?:" + "|".join(fixed.ROLE_SENDERS[rules]) + ")@"
     domain = lambda v: F.lower(F.split_part(v, F.lit("@"), F.lit(2)))
@@ -85,41 +114,43 @@ def email_entities(text: Column, mode: str = "lib", hints: Column | None = None)
         ~domain(v).isin(*fixed.EXCLUDED_DOMAINS[rules]) & ~v.rlike(role),
         F.least(F.when(domain(v).isin(*fixed.TRUSTED_DOMAINS), F.lit(0.9) - 0.2).otherwise(0.9) + raised, F.lit(1.0)),
     )
-    return F.when(F.contains(text, F.lit("@")), _entries("EMAIL", matches(text, patterns.EMAIL), grade)).otherwise(_none())
+    return F.when((seen or Seen(text)).at, _entries("EMAIL", matches(text, patterns.EMAIL), grade)).otherwise(_none())
 
 
-def phone_entities(text: Column, mode: str = "lib", hints: Column | None = None) -> Column:
+def phone_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None) -> Column:
     found = F.flatten(F.array(*[matches(text, p) for p in (patterns.PHONE[:4] if mode == "rt" else patterns.PHONE)]))
     kept = _first_of(F.filter(found, valid_phone), phone_key)
     if mode == "strict":
         cards = F.array_join(F.transform(F.flatten(F.array(*[F.filter(matches(text, p), valid_card) for p in (*patterns.CARD, patterns.CARD_15)])), digits_of), " ")
         kept = F.filter(kept, lambda v: ~F.contains(cards, digits_of(v)))
     confidence = F.when(_hint(hints, "has_phone"), F.lit(0.85) + 0.1).otherwise(0.85)
-    return F.when(text.rlike(r"\d{3}"), F.transform(kept, lambda v: _entry("PHONE", v, confidence))).otherwise(_none())
+    return F.when((seen or Seen(text)).digits3, F.transform(kept, lambda v: _entry("PHONE", v, confidence))).otherwise(_none())
 
 
-def card_entities(text: Column, mode: str = "lib", hints: Column | None = None) -> Column:
+def card_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None) -> Column:
     tried = (*patterns.CARD, patterns.CARD_15) if mode == "strict" else patterns.CARD
     found = F.flatten(F.array(*[matches(text, p) for p in tried]))
     kept = _first_of(F.filter(found, valid_card), digits_of)
-    return F.when(text.rlike(r"\d{4}"), F.transform(kept, lambda v: _entry("CREDIT_CARD", v, F.lit(0.95)))).otherwise(_none())
+    return F.when((seen or Seen(text)).digits4, F.transform(kept, lambda v: _entry("CREDIT_CARD", v, F.lit(0.95)))).otherwise(_none())
 
 
-def key_entities(text: Column, mode: str = "lib", hints: Column | None = None) -> Column:
+def key_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None) -> Column:
+    has = (seen or Seen(text)).run16
     if mode == "rt":
         found = F.flatten(F.array(*[matches(text, p) for p in patterns.KEY_RT]))
-        return _entries("API_KEY", found, lambda v: _graded(v, patterns.KEY_GRADES, F.lit(0.7)))
+        return F.when(has, _entries("API_KEY", found, lambda v: _graded(v, patterns.KEY_GRADES, F.lit(0.7)))).otherwise(_none())
     grade = lambda v: _graded(v, (*patterns.KEY_GRADES, patterns.KEY_LONG))
     first = F.regexp_extract(text, java(patterns.KEY_ASSIGNED), 1)
     assigned = F.filter(F.array(_entry("API_KEY", first, grade(first))), lambda e: (e["value"] != "") & (e["confidence"] > 0.5))
-    return F.concat(assigned, _entries("API_KEY", matches(text, patterns.KEY_PREFIXED), grade))
+    assigned = F.when((seen or Seen(text)).key, assigned).otherwise(_none())
+    return F.when(has, F.concat(assigned, _entries("API_KEY", matches(text, patterns.KEY_PREFIXED), grade))).otherwise(_none())
 
 
 def _jwt_header(value: Column) -> Column:
     return F.try_to_binary(F.split_part(value, F.lit("."), F.lit(1)), F.lit("base64")).cast("string")
 
 
-def token_entities(text: Column, mode: str = "lib", hints: Column | None = None) -> Column:
+def token_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None) -> Column:
     header = lambda v: F.coalesce(_jwt_header(v), F.lit(""))
     valid = lambda v: F.try_parse_json(header(v)).isNotNull()
     whole = lambda v: F.coalesce(F.get_json_object(header(v), "$.alg"), F.lit("")).isin("", "null") | F.coalesce(F.get_json_object(header(v), "$.typ"), F.lit("")).isin("", "null")
@@ -128,22 +159,23 @@ def token_entities(text: Column, mode: str = "lib", hints: Column | None = None)
     jwt = _entries("AUTH_TOKEN", matches(text, patterns.JWT), lambda v: F.when(~valid(v), 0.7).when(whole(v), lacking).otherwise(0.97))
     bearer = _entries("AUTH_TOKEN", matches(text, patterns.BEARER), lambda v: F.lit(0.95))
     other = _entries("AUTH_TOKEN", matches(text, patterns.SESSION), lambda v: F.lit(0.85) if mode == "rt" else F.when(v.rlike(session), 0.85))
-    return F.concat(jwt, bearer, other)
+    own = seen or Seen(text)
+    return F.concat(*[F.when(test, part).otherwise(_none()) for test, part in ((own.eyj, jwt), (own.bearer, bearer), (own.session, other))])
 
 
-def government_entities(text: Column, mode: str = "lib", hints: Column | None = None) -> Column:
+def government_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None) -> Column:
     found = F.flatten(F.array(*[matches(text, p) for p in (patterns.GOV_RT if mode == "rt" else patterns.GOV)]))
     grade = lambda v: _raised(_graded(strip(v, r"[{s}-]"), patterns.GOV_GRADES), _hint(hints, "has_government"), 0.1, 0.98)
-    return F.when(text.rlike(r"\d{4}"), _entries("GOVERNMENT_ID", found, grade)).otherwise(_none())
+    return F.when((seen or Seen(text)).digits4, _entries("GOVERNMENT_ID", found, grade)).otherwise(_none())
 
 
-def medical_entities(text: Column, mode: str = "lib", hints: Column | None = None) -> Column:
+def medical_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None) -> Column:
     found = F.flatten(F.array(*[matches(text, p) for p in (patterns.MEDICAL[:1] if mode == "rt" else patterns.MEDICAL)]))
     own = (lambda v: _graded(v, patterns.MEDICAL_GRADES[:1], F.lit(0.75))) if mode == "rt" else (lambda v: _graded(strip(v, r"[{s}-]"), patterns.MEDICAL_GRADES))
-    return F.when(text.rlike(r"\d{6}"), _entries("MEDICAL_ID", found, lambda v: _raised(own(v), _hint(hints, "has_medical"), 0.1, 0.95))).otherwise(_none())
+    return F.when((seen or Seen(text)).digits6, _entries("MEDICAL_ID", found, lambda v: _raised(own(v), _hint(hints, "has_medical"), 0.1, 0.95))).otherwise(_none())
 
 
-def bank_entities(text: Column, mode: str = "lib", hints: Column | None = None) -> Column:
+def bank_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None) -> Column:
     """Only on pages with a financial field."""
     if hints is None:
         return _none()
@@ -153,7 +185,7 @@ def bank_entities(text: Column, mode: str = "lib", hints: Column | None = None)
     every = F.concat(F.transform(labelled, lambda v: _entry("BANK_ACCOUNT", v, F.lit(0.82))), F.transform(bare, lambda v: _entry("BANK_ACCOUNT", v, grade)))
     values = F.transform(every, lambda e: e["value"])
     first = F.filter(every, lambda e, i: F.array_position(values, e["value"]) == i + 1)
-    return F.when(_hint(hints, "has_financial"), first).otherwise(_none())
+    return F.when(_hint(hints, "has_financial") & (seen or Seen(text)).digits6, first).otherwise(_none())
 
 
 def _address(value: Column, mode: str) -> Column:
@@ -165,16 +197,18 @@ def _address(value: Column, mode: str) -> Column:
     return graded.when(value.rlike(java(patterns.PO_BOX)), 0.82).when(code & F.length(value).between(11, 199), 0.55)
 
 
-def address_entities(text: Column, mode: str = "lib", hints: Column | None = None) -> Column:
+def address_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None) -> Column:
     parts = F.filter(F.transform(F.split(text, r"[;|\n]"), trim), lambda p: F.length(p).between(6, 199))
     found = _entries("ADDRESS", parts, lambda p: _address(p, mode))
+    has = (seen or Seen(text)).digit
     if mode == "rt":
-        return found
+        return F.when(has, found).otherwise(_none())
     whole = F.filter(F.array(_entry("ADDRESS", text, _address(text, mode))), lambda e: e["confidence"].isNotNull())
-    return F.when(F.size(found) > 0, found).otherwise(whole)
+    return F.when(has, F.when(F.size(found) > 0, found).otherwise(whole)).otherwise(_none())
 
 
-def financial_entities(text: Column, mode: str = "lib", hints: Column | None = None) -> Column:
+def financial_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None) -> Column:
+    begins = text.rlike(java("^{s}*[$€£¥0-9]"))  # few texts do; the others aren't trimmed
     value = trim(text) if mode == "rt" else text
     money = value.rlike(java(patterns.CURRENCY[0])) | value.rlike(java(patterns.CURRENCY[1]))
     # the number before a second point, as a lenient parser reads it
@@ -182,10 +216,11 @@ def financial_entities(text: Column, mode: str = "lib", hints: Column | None = N
     grade = F.when(money & (amount > 0), F.when(amount > 100000, 0.65).when(amount > 10000, 0.55).otherwise(0.45))
     if mode != "rt":
         grade = _raised(grade, _hint(hints, "has_financial"), 0.15, 0.85)
-    return F.filter(F.array(_entry("FINANCIAL_DATA", trim(text), grade)), lambda e: e["confidence"].isNotNull())
+    found = F.filter(F.array(_entry("FINANCIAL_DATA", trim(text), grade)), lambda e: e["confidence"].isNotNull())
+    return F.when(begins, found).otherwise(_none())
 
 
-def birth_entities(text: Column, mode: str = "lib", hints: Column | None = None, as_of_year: int = 2024) -> Column:
+def birth_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None, as_of_year: int = 2024) -> Column:
     """A text with a date; the year of reference is a parameter, so that results don't change with the calendar."""
     if mode == "rt":
         return _none()
@@ -195,19 +230,20 @@ def birth_entities(text: Column, mode: str = "lib", hints: Column | None = None,
     age = F.lit(as_of_year) - F.regexp_extract(text, java(patterns.YEAR), 1).try_cast("int")
     more = F.coalesce(F.when(age.between(18, 80), 0.15).when(age.between(13, 100), 0.1), F.lit(0.0))
     grade = F.least(F.when(_hint(hints, "has_birth"), 0.85).otherwise(0.4) + more, F.lit(0.9))
-    return F.filter(F.array(_entry("DATE_OF_BIRTH", trim(text), F.when(dated & (grade > 0.4), grade))), lambda e: e["confidence"].isNotNull())
+    found = F.filter(F.array(_entry("DATE_OF_BIRTH", trim(text), F.when(dated & (grade > 0.4), grade))), lambda e: e["confidence"].isNotNull())
+    return F.when((seen or Seen(text)).digits4, found).otherwise(_none())
 
 
-def user_entities(text: Column, mode: str = "lib", hints: Column | None = None) -> Column:
+def user_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None) -> Column:
     if mode == "rt":
         return _none()
     form = F.lit(False) if hints is None else F.coalesce(hints["page_type"].isin("login", "registration"), F.lit(False))
     grade = F.least(F.when(_hint(hints, "has_user"), 0.75).otherwise(0.35) + F.when(form, 0.15).otherwise(0.0), F.lit(0.85))
     ok = F.length(text).between(3, 30) & text.rlike(patterns.USERNAME)
-    return F.filter(F.array(_entry("USERNAME", trim(text), F.when(ok, grade))), lambda e: e["confidence"].isNotNull())
+    return F.when(ok, F.array(_entry("USERNAME", trim(text), grade))).otherwise(_none())
 
 
-def password_entities(text: Column, mode: str = "lib", hints: Column | None = None) -> Column:
+def password_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None) -> Column:
     """Any text of 4 to 128 characters on a page with a password field; nothing in strict mode."""
     if hints is None or mode == "strict":
         return _none()
@@ -226,15 +262,23 @@ DETECTORS: dict[str, Callable[..., Column]] = {
 }
 
 
-def entities(text: Column, mode: str = "lib", hints: Column | None = None, categories: tuple[str, ...] = fixed.CATEGORIES, as_of_year: int = 2024) -> Column:
-    """All findings in a text; detectors of categories that aren't asked for aren't in the plan."""
-    parts = []
+def _said(text: Column) -> Column:
+    """Whether a text has more than white space; trimming a long text to see costs a pass over it."""
+    return F.coalesce(text.rlike(java("{S}")), F.lit(False))
+
+
+def entities(text: Column, mode: str = "lib", hints: Column | None = None, categories: tuple[str, ...] = fixed.CATEGORIES, as_of_year: int = 2024, seen: Seen | None = None) -> Column:
+    """All findings in a text; detectors of categories that aren't asked for aren't in the plan.
+
+    seen: the tests of the text, if they are columns already.
+    """
+    parts, seen = [], seen or Seen(text)
     for kind in ORDER["rt" if mode == "rt" else "lib"]:
         if kind in categories:
             more = {"as_of_year": as_of_year} if kind == "DATE_OF_BIRTH" else {}
-            parts.append(DETECTORS[kind](text, mode, hints, **more))
+            parts.append(DETECTORS[kind](text, mode, hints, seen, **more))
     every = F.concat(*parts) if parts else _none()
-    return F.when(trim(F.coalesce(text, F.lit(""))) != "", every).otherwise(_none())
+    return F.when(_said(text), every).otherwise(_none())
 
 
 def base_risk(kind: Column) -> Column:
@@ -254,7 +298,9 @@ def detect(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("doc_
     distinct keeps the first of equal type and value of a text.  context is the text in which surroundings are
     looked up, the text itself by default.
     """
-    one = df.select(*keys, F.col(text_col).alias("__text"), (context if context is not None else F.col(text_col)).alias("__context"), entities(F.col(text_col), mode, hints, **options).alias("__all"))
+    said = context if context is not None else F.col(text_col)
+    one = df.withColumn("__context", said).withColumns(Seen.columns(F.col(text_col)))
+    one = one.select(*keys, "__context", entities(F.col(text_col), mode, hints, seen=Seen(F.col(text_col), True), **options).alias("__all"))
     if distinct:
         same = lambda e: F.concat_ws("\u0000", e["type"], e["value"])
         one = one.withColumn("__keys", F.transform("__all", same))
@@ -339,18 +385,25 @@ def sample_entities(text: Column, with_hints: bool = True) -> Column:
     return F.when(trim(text) != "", F.concat(F.transform(found, raised), password, user)).otherwise(_none())
 
 
+def _lookup(key: Column, table: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for value in dict.fromkeys(table.values()):
+        out = F.when(key.isin(*[k for k, v in table.items() if v == value]), value).otherwise(out)
+    return out
+
+
 def field_category(field: Column) -> Column:
     """Category and confidence of a form field (a struct), null if it isn't sensitive; the first rule that holds decides."""
     low = lambda c: F.lower(F.coalesce(field[c], F.lit("")))
     words = F.concat(low("name"), F.lit(" "), low("placeholder"), F.lit(" "), low("label"))
     auto = low("autocomplete")
     hit = lambda kind, confidence: F.struct(F.lit(kind).alias("category"), F.lit(confidence).alias("confidence"))
-    out = F.when(F.coalesce(field["is_password"], F.lit(False)) | (field["type"] == "password"), hit("PASSWORD", 0.99))
-    for kind in dict.fromkeys(fixed.AUTOCOMPLETE.values()):
-        out = out.when(auto.isin(*[a for a, k in fixed.AUTOCOMPLETE.items() if k == kind]), hit(kind, 0.95))
+    kind_of = lambda name: _lookup(name, fixed.AUTOCOMPLETE)
+    some = lambda kind, confidence: F.struct(kind.alias("category"), F.lit(confidence).alias("confidence"))
     known = _any([F.startswith(auto, F.lit(p)) for p in fixed.AUTOCOMPLETE_PREFIXES])
-    for name, kind in fixed.AUTOCOMPLETE.items():
-        out = out.when(known & F.startswith(auto, F.lit(name)), hit(kind, 0.9))
+    begun = F.get(F.filter(F.array(*[F.lit(n) for n in fixed.AUTOCOMPLETE]), lambda n: F.startswith(auto, n)), F.lit(0))  # the first name that it begins with
+    out = F.when(F.coalesce(field["is_password"], F.lit(False)) | (field["type"] == "password"), hit("PASSWORD", 0.99))
+    out = out.when(kind_of(auto).isNotNull(), some(kind_of(auto), 0.95)).when(known & begun.isNotNull(), some(kind_of(begun), 0.9))
     for pattern, type_, kind, confidence in patterns.FIELD_RULES:
         test = words.rlike(java(pattern))
         out = out.when(test | (field["type"] == type_) if type_ else test, hit(kind, confidence))

@@ -33,7 +33,7 @@ c AS (SELECT id, {_TRIM('sent')} AS c FROM w UNION ALL
 SELECT id, count(*) AS n_chunks, sum(length(c)) AS chars, count(DISTINCT c) AS n_distinct FROM c GROUP BY id""")
 def t1_text_chunks(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("id", F.explode(text.text_chunks(F.col("text"))).alias("c"))
-    return rows.groupBy("id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("c")).alias("chars"), F.count_distinct("c").alias("n_distinct"))
+    return rows.groupBy("id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("c")).alias("chars"), F.count_distinct(F.xxhash64("c")).alias("n_distinct"))
 
 
 @query("t2_model_chunks", f"""

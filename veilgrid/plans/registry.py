@@ -71,8 +71,8 @@ _KINDS = (
     f"'ref ' || {_digits(3, 7, 101)} || '-' || {_digits(2, 3, 11)} || '-' || {_digits(4, 13, 1000)}",
     f"'Write to user' || CAST({_K} AS STRING) || '@' || CASE WHEN {_K} % 3 = 0 THEN 'github.com' WHEN {_K} % 3 = 1 THEN 'example.com' ELSE 'postbox.net' END || ' or admin@postbox.net'",
     f"'Call (' || {_digits(3, 11, 200)} || ') ' || {_digits(3, 5, 200)} || '-' || {_digits(4, 17, 2000)} || ' or +44 20 ' || {_digits(4, 3, 7000)} || ' ' || {_digits(4, 7, 1000)}",
-    f"CASE WHEN {_K} % 2 = 0 THEN 'Card 4111 1111 1111 1111 ok' ELSE 'Card 4111-1111-1111-' || {_digits(4, 31, 0)} END",
-    f"'api_key = \"' || CASE WHEN {_K} % 2 = 0 THEN 'sk_live_' ELSE 'zz' END || {_HASH} || '\"'",
+    f"CASE WHEN {_K} % 3 = 0 THEN 'Card 4111 1111 1111 1111 ok' ELSE 'Card 4111-1111-1111-' || {_digits(4, 31, 0)} END",
+    f"'api_key = \"' || CASE WHEN {_K} % 3 = 0 THEN 'sk_live_' ELSE 'zz' END || {_HASH} || '\"'",
     f"'use ghp_' || substr({_HASH}, 1, 24) || ' and pk' || substr({_HASH}, 1, 20) || ' here'",
     f"'Authorization: Bearer ' || {_HASH} || '.x'",
     f"'jwt eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3' || CAST({_K} AS STRING) || 'X.' || {_HASH}",
@@ -80,7 +80,7 @@ _KINDS = (
     f"'Account number: ' || {_digits(10, 1234567, 1000000000)} || ' routing ' || {_digits(9, 7654321, 100000000)}",
     f"CAST({_K} % 900 + 1 AS STRING) || ' Oak St, Springfield ' || {_digits(5, 7, 10000)} || '; no number'",
     f"CASE WHEN {_K} % 3 = 0 THEN '$1,250.00' WHEN {_K} % 3 = 1 THEN '250,000.00 USD' ELSE '$12,' || {_digits(3, 7, 0)} END",
-    f"CASE WHEN {_K} % 2 = 0 THEN '01/15/19' || {_digits(2, 7, 0)} ELSE 'March 3, 20' || {_digits(2, 3, 0)} END",
+    f"CASE WHEN {_K} % 3 = 0 THEN '01/15/19' || {_digits(2, 7, 0)} ELSE 'March 3, 20' || {_digits(2, 3, 0)} END",
     f"'user_' || CAST({_K} AS STRING)",
     f"'PAN ABCDE' || {_digits(4, 3, 1000)} || 'F and K' || {_digits(7, 11, 1000000)} || '.'",
     "'Nothing sensitive here, just a sunny afternoon. Second sentence! Third?'",

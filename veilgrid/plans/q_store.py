@@ -204,3 +204,72 @@ def m5_hybrid_types(spark, sf_dir):
     found = s.select("id", F.explode(sample_entities(F.col("text"))).alias("e")).select("id", "e.type")
     p = s.withColumn("p", models.predict(spark, text_model(spark), F.col("text"))).select("id", "p.label", "p.score")
     return models.hybrid(found, p)
+
+
+# ---- pictures and intents
+@query("s15_crops")
+def s15_crops(spark, sf_dir):
+    return generate.generate_crops(spark, 60).select("id", "sensitive", F.md5("pixels").alias("digest"))
+
+
+@query("s16_intents")
+def s16_intents(spark, sf_dir):
+    return generate.generate_intents(spark, 50)
+
+
+@query("m7_top_intents")
+def m7_top_intents(spark, sf_dir):
+    if "intent" not in _trained:
+        rows = generate.generate_intents(spark, 60).collect()  # 360 short rows, whatever the tables hold
+        _trained["intent"] = models.train([r.text for r in rows], [r.label for r in rows], tuple(generate.INTENTS), epochs=12, length=32, intent=True)
+    asked = generate.generate_intents(spark, 20, seed=8)
+    top = models.predict_top(spark, _trained["intent"], F.col("text"), 3)
+    return asked.withColumn("t", top).select("id", "label", F.element_at("t", 1)["label"].alias("first"), F.size("t").alias("n"))
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flat gray picture of 40 by 30 for each of a hundred events, with two boxes."""
+    i = F.col("event_id")
+    box = lambda x, y, w, h, m: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(w).alias("width"), F.lit(h).alias("height"), m.alias("method"))
+    method = F.element_at(F.array(*[F.lit(x) for x in ("mask", "blur", "pixelate", "tokenize", "replace")]), (i % 5).cast("int") + 1)
+    rgba = F.unhex(F.repeat(F.lpad(F.hex(i % 256), 2, "0"), 40 * 30 * 4))
+    return table(spark, sf_dir, "events").where("event_id < 100").select(i.alias("id"), F.lit(40).alias("w"), F.lit(30).alias("h"), rgba.alias("rgba"), F.array(box(5.0, 5.0, 10.0, 8.0, method), box(30.0, 20.0, 30.0, 30.0, F.lit("mask"))).alias("boxes"))
+
+
+@query("x12_redacted_pictures")
+def x12_redacted_pictures(spark, sf_dir):
+    from veilgrid.operators.images import redact_pictures
+
+    return redact_pictures(_pictures(spark, sf_dir)).select("id", F.length("redacted").alias("bytes"), F.md5("redacted").alias("digest"), (F.col("redacted") != F.col("rgba")).alias("changed"))
+
+
+@query("m9_vision_boost")
+def m9_vision_boost(spark, sf_dir):
+    from veilgrid.operators.images import random_network, score_regions, vision_boost
+
+    p = _pictures(spark, sf_dir).withColumn("bbox", F.struct(*[F.element_at("boxes", 1)[c].alias(c) for c in ("x", "y", "width", "height")]))
+    e = p.select("id", F.lit("e").alias("entity_id"), F.lit(0).alias("pos"), F.lit("NAME").alias("type"), F.lit(0.5).alias("confidence"), F.lit("REGEX").alias("source"), F.struct(*[(F.lit(15.0) if c in ("width", "height") else F.lit(5.0)).alias(c) for c in ("x", "y", "width", "height")]).alias("bbox"))
+    scores = p.select("id", F.lit("e").alias("entity_id"), score_regions(spark, random_network(), F.col("rgba"), F.col("w"), F.col("h"), F.col("bbox")).alias("p"))
+    return vision_boost(e, scores, ("id",)).select("id", "source", F.round("confidence", 3).alias("confidence"), "visual_confirmed")
+
+
+@query("k9_exported_model")
+def k9_exported_model(spark, sf_dir):
+    model = text_model(spark)
+    again = models.TextModel.from_json(model.to_json())
+    return spark.createDataFrame([(len(again.labels), len(again.vocabulary) == len(model.vocabulary), again.length)], "labels int, same_vocabulary boolean, length int")
+
+
+@query("k11_settings", "SELECT 'risk_threshold' AS name, 'HIGH' AS value UNION ALL SELECT 'scan_interval_ms', '500'")
+def k11_settings(spark, sf_dir):
+    s = stores.Settings.from_json(stores.Settings.merged(scan_interval_ms=1, risk_threshold="?").to_json())
+    return spark.createDataFrame([("risk_threshold", s.risk_threshold), ("scan_interval_ms", str(s.scan_interval_ms))], "name string, value string")
+
+
+@query("m3_classifier_added")
+def m3_classifier_added(spark, sf_dir):
+    from veilgrid.operators.detect import detect
+
+    rows = synth(spark, sf_dir)
+    p = rows.withColumn("p", models.predict(spark, text_model(spark), F.col("text"))).select("id", "text", "p.label", "p.score")
+    return models.add_classified(detect(rows, "text", ("id",), categories=("EMAIL", "CREDIT_CARD", "GOVERNMENT_ID")), p, ("id",)).select("id", "type", "value", "confidence", "source")

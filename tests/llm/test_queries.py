@@ -65,3 +65,11 @@ def test_whole_tables(spark, small, name):
         assert df.selectExpr("explode(doc_ids) i").distinct().count() == spark.read.parquet(f"{small}/documents.parquet").count()
     else:
         assert df.count() == df.select(key[1]).distinct().count() == spark.read.parquet(f"{small}/{key[0]}.parquet").count()
+
+
+def test_packed_sequences_have_their_texts(spark, small):
+    """Each piece is found in its sequence's text, in order and in full."""
+    texts = {r.doc_id: (r.text or "").split() for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    for r in QUERIES["op9_bestfit_packing"](spark, small).collect():
+        want = [w for i, a, n in zip(r.doc_ids, r.starts, r.lengths, strict=True) for w in texts[i][a : a + n]]
+        assert r.text.split() == want and len(want) == r.used

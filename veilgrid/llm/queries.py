@@ -54,7 +54,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_read(spark, sf_dir, "documents"), with_text=False).drop("text")
+    return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

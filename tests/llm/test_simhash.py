@@ -100,6 +100,13 @@ def test_dedup_keeps_one_of_each_group_with_all_columns(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == [(False, 1), (False, 2), (True, 0)]
 
 
+def test_dedup_tells_texts_of_one_id_apart(spark):
+    a, b = "a b c d e f g", "something else here now and then"
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, a), (0, "third words of their own"), (5, "third words of their own"), (5, "a fourth text that nothing else repeats")]
+    got = simhash.simhash_dedup(spark.createDataFrame([(*r, "l", "s", 0) for r in rows], DOCS)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, a), (1, b), (0, rows[5][1]), (5, rows[7][1])])
+
+
 def test_fingerprint_is_that_of_the_hash_function(spark):
     for t in ("a b c d e", "One two", "", None, "a b c d"):
         assert simhash.fingerprint(t.encode() if t is not None else None) % (1 << 64) == brute_fingerprint(t)

@@ -48,13 +48,13 @@ def _mark(e: DataFrame) -> tuple:
 
 
 def component_labels(ws: Workspace, least: DataFrame, links: DataFrame) -> DataFrame:
-    """``least(node, d)`` with the smallest document id of each node, ``links(a, b)`` -> ``(node, component_id)``.
+    """``least(node, d)`` with the smallest document id of each node, ``links(a, b)`` -> ``(node, root, component_id)``.
 
-    component_id is the smallest d of the component; nodes without links have their own.
+    component_id is the smallest d of the component, root its smallest node; nodes without links have their own.
     """
     stars = connected_components(ws, links)
     root_of = stars.union(stars.select("root", "root")).distinct()
     members = ws.table(root_of.join(least, "node").select("node", "root", "d"), "members")
     first = ws.table(members.groupBy("root").agg(F.min("d").alias("c")), "first")
-    group = members.join(first, "root").select("node", "c")
-    return ws.table(least.join(group, "node", "left").select("node", F.coalesce("c", "d").alias("component_id")), "labels")
+    group = members.join(first, "root").select("node", "root", "c")
+    return ws.table(least.join(group, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("c", "d").alias("component_id")), "labels")

@@ -127,9 +127,9 @@ def _ball_links(fps: DataFrame, distance: int) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3, segments: int = 2, hot_bucket: int = 64) -> DataFrame:
-    """Near-duplicate groups: ``(id, fp, component_id)``, one row for each row of ``docs``.
+    """Near-duplicate groups: ``(id, fp, root, component_id)``, one row for each row of ``docs``.
 
-    component_id is the smallest id reachable through fingerprints within the distance.
+    root is a fingerprint that names the group; component_id is the smallest id reachable through fingerprints within the distance.
     A null or blank text has fingerprint 0 and is linked like any other.  Rows with a null id are
     kept; a group of only such rows has a null component_id.  Repeated rows stay repeated.  An
     empty table gives no rows.  Other columns aren't read.
@@ -139,7 +139,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = ws.table(rows.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("d")), "least")
     links = simhash_links(ws, least.select(F.col("node").alias("fp")), distance, segments, hot_bucket)
     known = component_labels(ws, least, links)
-    return rows.join(known, rows.fp == known.node).select("id", "fp", "component_id")
+    return rows.join(known, rows.fp == known.node).select("id", "fp", "root", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -150,17 +150,23 @@ def hex16(fp: Column) -> Column:
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with one of each near-duplicate group: that with the smallest id.
 
-    All columns of ``docs`` are kept.  Of rows that repeat a kept id one stays, the least by
-    text.  Rows with a null id can't be named and stay.
+    All columns of ``docs`` are kept.  Rows of one id with different fingerprints are told apart, so
+    that each group has one row; of rows that repeat both, the least by text stays.  Rows with a null
+    id can't be named and stay.
     """
     ws = Workspace(docs.sparkSession, "simhash-keep")
-    groups = simhash_components(docs, id_col, text_col, **options)
-    keep = ws.table(groups.where("id = component_id").groupBy(F.col("id").alias("__keep")).agg(F.count("*").alias("__n")), "keep")
+    groups = ws.table(simhash_components(docs, id_col, text_col, **options).where("id is not null"), "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("k")).select(F.col("k.id").alias("__keep"), F.col("k.fp").alias("__want"))
+    often = groups.groupBy("id").count().where("count > 1").select(F.col("id").alias("__keep"), F.lit(True).alias("__often"))
+    keep = ws.table(first.join(often, "__keep", "left").select("__keep", "__want", F.coalesce("__often", F.lit(False)).alias("__often")), "keep")
     named = docs.where(docs[id_col].isNotNull())
-    kept = named.join(keep.where("__n = 1").hint("merge"), named[id_col].cast("long") == F.col("__keep"), "left_semi")
-    more = keep.where("__n > 1")
+    kept = named.join(keep.where("not __often").hint("merge"), named[id_col].cast("long") == F.col("__keep"), "left_semi")
+    more = keep.where("__often")
     if not more.isEmpty():
-        rank = Window.partitionBy("__keep").orderBy(F.col(text_col).asc_nulls_first())
-        again = named.join(more, named[id_col].cast("long") == F.col("__keep")).withColumn("__r", F.row_number().over(rank))
+        shingle = options.get("shingle", 3)
+        key = F.udf(lambda t: fingerprint(None if t is None else t.encode(), shingle), "long")
+        rank = Window.partitionBy("__keep", "__want").orderBy(F.col(text_col).asc_nulls_first())
+        again = named.join(more, named[id_col].cast("long") == F.col("__keep")).where(key(F.col(text_col)) == F.col("__want"))
+        again = again.withColumn("__r", F.row_number().over(rank))
         kept = kept.unionByName(again.where("__r = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
     return kept.unionByName(docs.where(docs[id_col].isNull()))

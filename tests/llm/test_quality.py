@@ -118,3 +118,82 @@ def test_kth_largest(spark, k):
     assert quality_classifier.kth_largest(df, k) == sorted(keys, reverse=True)[k - 1]
     assert quality_classifier.kth_largest(df, 0) is None
     assert df.agg(F.count("*")).first()[0] == 10
+
+
+def brute_weights(rows, labels, folds):
+    """Log ratios of all n-grams, counted one by one."""
+    import math
+    from collections import Counter
+
+    q = quality_classifier
+    bucket = lambda gram, bits: (sum(c * pow(0x100000001B3, len(gram) - 1 - i, 1 << 64) for i, c in enumerate(gram)) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - bits)
+    texts = {i: (t or "").encode() for i, t in rows}
+    out = dict.fromkeys(texts, 0.0)
+    for order, bits in zip(q.ORDERS, q.BITS, strict=True):
+        grams = {i: [bucket(t[k : k + order], bits) for k in range(len(t) - order + 1)] for i, t in texts.items()}
+        raw, target = Counter(), Counter()
+        for i, g in grams.items():
+            raw.update(g)
+            if folds.get(i) == 0 and labels[i]:
+                target.update(g)
+        scale = sum(target.values()) / sum(raw.values())
+        r = {b: math.log((target[b] + q.PRIOR) / (n * scale + q.PRIOR)) for b, n in raw.items()}
+        typical, half, seen = 0.0, sum(target.values()) / 2, 0
+        for b in sorted(target, key=lambda b: r[b]):
+            seen += target[b]
+            if seen >= half:
+                typical = r[b]
+                break
+        for b, x in r.items():
+            x, least = x - typical, max(q.Z * math.sqrt(1 / (target[b] + q.PRIOR) + 1 / (raw[b] * scale + q.PRIOR)), q.DEAD)
+            r[b] = math.copysign(max(0.0, abs(x) - least), x)
+        for i, g in grams.items():
+            out[i] += sum(r[b] for b in g)
+    return out
+
+
+def test_weights_and_selection_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["one", "two", "three", "VILE", "awful"] if i % 3 == 0 else ["one", "two", "three"]) for _ in range(rng.randrange(5, 60)))) for i in range(240)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(0, 240, 2)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    folds = {r.doc_id: r.f for r in marks.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("f")).collect()}
+    want = brute_weights(rows, {i: not t for i, _, t in labels}, folds)
+    got = quality_classifier.select_documents(docs, marks)
+    held = got.rows.collect()
+    for r in held:
+        assert r.log_weight == pytest.approx(want[r.doc_id], abs=1e-3)
+        assert r.scaled_weight == pytest.approx(want[r.doc_id] / len(r.text) ** 0.5, abs=1e-3)
+    scored = [(want[i] / len(dict(rows)[i]) ** 0.5, not t) for i, _, t in labels if folds[i] == 1]
+    youden = lambda c: sum(s >= c for s, g in scored if g) / sum(g for _, g in scored) - sum(s >= c for s, g in scored if not g) / sum(not g for _, g in scored)
+    assert youden(got.model.cut) == pytest.approx(max(youden(c) for c, _ in scored))
+    assert got.k == sum(r.scaled_weight >= got.model.cut for r in held) == 160
+    keys = {r.doc_id: got.model.order_key(r.scaled_weight, r.doc_id, r.text.encode(), 3) for r in held}
+    assert keys == {r.doc_id: r.order_key for r in held}
+    top = set(sorted(keys, key=lambda i: -keys[i])[: got.k])
+    assert {r.doc_id for r in quality_classifier.classify_documents(docs, marks).where("kept").collect()} == top
+    assert quality_classifier.keep_documents(docs, marks, keep=0.25).count() == 60
+
+
+def test_noise_is_gumbel():
+    """Chances of coming first follow the tempered weights."""
+    import math
+
+    m, n = quality_classifier.RatioModel([]), 4000
+    first = sum(m.order_key(0.0, i, b"a", 3) > m.order_key(quality_classifier.TEMPERATURE, i, b"b", 3) for i in range(n))
+    assert first / n == pytest.approx(1 / (1 + math.e), abs=0.03)
+
+
+def test_cut():
+    import numpy as np
+
+    assert quality_classifier.fit_cut(np.array([3.0, 2.0, 1.0, 0.0]), np.array([1.0, 1.0, 0.0, 0.0])) == 1.5
+    assert quality_classifier.fit_cut(np.array([3.0, 3.0, 3.0]), np.array([1.0, 0.0, 1.0])) == 3.0
+
+
+def test_columns_of_any_name_are_kept(spark, labelled):
+    docs, labels = labelled
+    odd = docs.selectExpr("*", "1 good", "2 h", "3 log_weight", "4 order_key", "5 scaled_weight", "6 own_id", "7 own_text", "8 lid", "9 id", "10 t", "11 fold", "12 `a b.c`")
+    got = quality_classifier.keep_documents(odd, labels)
+    assert got.columns == odd.columns and {(r.good, r.order_key, r["a b.c"]) for r in got.collect()} == {(1, 4, 12)}
+    assert quality_classifier.classify_documents(odd, labels).where("kept").count() == got.count()

@@ -89,6 +89,27 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` has it (upper and lower case are one)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and spaces included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def tasks_for(size: int, each: int, most: int = 1 << 14) -> int:
+    """How many tasks share ``size`` so that each has about ``each``; a task of more streams what it has."""
+    return max(1, min(most, -(-size // each)))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

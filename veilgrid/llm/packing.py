@@ -1,125 +1,201 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Several sequence lengths are permitted, each with a cost.  Pieces go by decreasing length into
-the open bin that they fill best; if none has room, a bin of the length opens whose cost for
-each word that it can still be given is least; at the end each bin shrinks to the least permitted
-length that holds its contents.  Texts longer than the longest sequence are cut into pieces of
-that length and a rest.
-
-The heuristic is sequential, so documents are dealt to cells of bounded expected size by a hash
-of id and length; a cell is packed by one task, and cells are many more than tasks.
+Several sequence lengths are permitted; one of c words costs ``overhead + c + c * c / attention``: a
+fixed part, the layers that see each word alone, and attention.  Pieces go by decreasing length into the open bin
+that they fill best.  If none has room, a bin opens, and its length is chosen among all that hold the piece: for
+each, the pieces that are left are laid into it largest first, and the length wins whose cost, after shrinking to
+what it then holds, is least for each word.  At the end each bin shrinks to the least permitted length that holds
+its contents.  The lengths are optimised together over the whole cell: the packing is made for every set of
+opening lengths, single ones included, and the cheapest stays, so no single length is ever better.
+
+Texts longer than the longest sequence are cut, in one pass, into pieces of that length and a rest.  A piece of
+the longest length is a bin by itself.  The heuristic is sequential, so rests are dealt to cells of about 256 by
+a hash of id and text; a cell is packed by one task, at most ``2 * cell`` pieces at a time, and cells are many
+more than tasks.  What a task holds is bounded by ``2 * cell`` pieces of the longest length, whatever the texts.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from veilgrid.llm.workspace import Workspace, slices, word_count
+from veilgrid.llm.workspace import slices
 
 #: Permitted sequence lengths in words.
 CAPACITIES = (512, 1024, 2048, 4096)
 #: What a sequence costs besides its length.
 OVERHEAD = 16
+#: Words of a sequence for which attention costs as much as all else (12 times a model width of 4096).
+ATTENTION = 49_152
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> list[tuple[int, int, list[int]]]:
-    """Packs positive lengths up to the largest capacity: ``(capacity, used, indices)`` of each bin.
+def sequence_cost(capacity: int, overhead: float = OVERHEAD, attention: float = ATTENTION) -> float:
+    return overhead + capacity + capacity * capacity / attention
 
-    Bins are in the order of opening, indices in that of placing.  Ties go to the earlier index
-    and the earlier bin.
+
+class _Left:
+    """The lengths that are not yet placed, with their numbers."""
+
+    def __init__(self, lengths: list[int]):
+        self.count = Counter(lengths)
+        self.sizes = sorted(self.count)
+
+    def take(self, n: int) -> None:
+        self.count[n] -= 1
+        if not self.count[n]:
+            del self.sizes[bisect_left(self.sizes, n)]
+
+    def fill(self, room: int) -> int:
+        """Words of the pieces that go into a bin of this room, largest first."""
+        used, at = 0, bisect_right(self.sizes, room)
+        while at:
+            n = self.sizes[at - 1]
+            k = min(self.count[n], (room - used) // n)
+            used += k * n
+            at = min(at - 1, bisect_right(self.sizes, room - used))
+        return used
+
+
+def pack_lengths(lengths: list[int], capacities: tuple[int, ...], cost: dict[int, float], opening: tuple[int, ...]) -> list[tuple[int, int, list[int]]]:
+    """Best fit by decreasing length: ``(capacity, used, indices)`` of each bin.
+
+    Bins open with the length of ``opening`` that costs least for each word that it can be filled with (a piece longer
+    than all of them opens the least capacity that holds it).  Ties go to the earlier index, the earlier bin, the lesser length.
     """
     caps = sorted(capacities)
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    rest = sum(lengths)  # words not yet placed
+    fits = lambda used: caps[bisect_left(caps, used)]
+    left = _Left(lengths)
     room: list[tuple[int, int]] = []  # (free, bin), sorted
     free: list[int] = []
     opened: list[int] = []
     held: list[list[int]] = []
-    for i in order:
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         n = lengths[i]
+        left.take(n)
         at = bisect_left(room, (n, -1))
         if at < len(room):
             _, b = room.pop(at)
         else:
-            # words that the bin can be given: no more than are left
-            cap = min((c for c in caps if c >= n), key=lambda c: ((c + overhead) / min(c, rest), c))
+            may = [c for c in opening if c >= n] or [fits(n)]
+            used = {c: n + left.fill(c - n) for c in may} if len(may) > 1 else {}
+            cap = min(may, key=lambda c: (cost[fits(used[c])] / used[c] if used else 0, c))
             b = len(free)
             free.append(cap)
             opened.append(cap)
             held.append([])
         free[b] -= n
         held[b].append(i)
-        rest -= n
         if free[b]:
             insort(room, (free[b], b))
-    out = []
-    for b, items in enumerate(held):
-        used = opened[b] - free[b]
-        out.append((caps[bisect_left(caps, used)], used, items))
+    return [(fits(opened[b] - free[b]), opened[b] - free[b], items) for b, items in enumerate(held)]
+
+
+def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: float = OVERHEAD, attention: float = ATTENTION) -> list[tuple[int, int, list[int]]]:
+    """Packs positive lengths up to the largest capacity: ``(capacity, used, indices)`` of each bin, bins in the order of opening, indices in that of placing."""
+    cost = {c: sequence_cost(c, overhead, attention) for c in capacities}
+    sets = [x for k in range(len(capacities), 0, -1) for x in combinations(sorted(capacities), k)]
+    every = [pack_lengths(lengths, capacities, cost, x) for x in sets]
+    return min(every, key=lambda bins: sum(cost[c] for c, _, _ in bins))  # the first of equals
+
+
+def cut_text(text: str | None, longest: int, with_text: bool = True) -> list[tuple[int, int, str | None]]:
+    """``(first word, words, stretch)`` of the pieces of a text, white space inside them included; one of no words for a text without."""
+    out: list[tuple[int, int, str | None]] = []
+    text = text or ""
+    n = start = end = 0
+    for m in _WORD.finditer(text):
+        if n % longest == 0:
+            if n:
+                out.append((n - longest, longest, text[start:end] if with_text else None))
+            start = m.start()
+        end = m.end()
+        n += 1
+    first = max(0, n - 1) // longest * longest
+    out.append((first, n - first, text[start:end] if with_text else None))
     return out
 
 
-def pieces(length: int, longest: int) -> list[tuple[int, int]]:
-    """``(first word, words)`` of the pieces of a text; one of no words for an empty text."""
-    return [(at, min(longest, length - at)) for at in range(0, length, longest)] or [(0, 0)]
-
-
+_PIECES = "cell long, h long, id long, start long, length long, text string"
 _BINS = "bin_id string, capacity long, used long, doc_ids array<long>, starts array<long>, lengths array<long>, text string"
 
 
-def _pack(rows: DataFrame, capacities: tuple[int, ...], overhead: int, with_text: bool) -> DataFrame:
-    longest = max(capacities)
-
-    def emit(cell: int, held: list[dict]) -> list[dict]:
-        parts = [(r, a, n) for r in held for a, n in pieces(r["size"], longest)]
-        filled = [x for x in parts if x[2]]
-        bins = [(cap, used, [filled[i] for i in items]) for cap, used, items in best_fit([x[2] for x in filled], capacities, overhead)]
-        if empty := [x for x in parts if not x[2]]:  # no words: in the cell's first bin, or in one of their own
-            bins = [(c, u, items + empty * (k == 0)) for k, (c, u, items) in enumerate(bins)] or [(min(capacities), 0, empty)]
-        out = []
-        for k, (cap, used, items) in enumerate(bins):
-            text = "\n".join(_cut(r["text"], a, n) for r, a, n in items if n) if with_text else None
-            out.append({"bin_id": f"{cell}-{k}", "capacity": cap, "used": used, "doc_ids": [r["id"] for r, _, _ in items], "starts": [a for _, a, _ in items], "lengths": [n for _, _, n in items], "text": text})
-        return out
-
-    kinds = pa.schema([("bin_id", pa.string()), ("capacity", pa.int64()), ("used", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("text", pa.string())])
+def _pieces(docs: DataFrame, longest: int, cells: int, with_text: bool, seed: int) -> DataFrame:
+    """The pieces of ``docs(id, text)`` with their cells; rows that repeat in a task are dealt to cells of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, []
+        task, seen = TaskContext.get().partitionId(), Counter()
         for batch in slices(batches):
-            for row in batch.to_pylist():
-                if row["cell"] != cell:
-                    if held:
-                        yield pa.RecordBatch.from_pylist(emit(cell, held), schema=kinds)
-                    cell, held = row["cell"], []
-                held.append(row)
-        if held:
-            yield pa.RecordBatch.from_pylist(emit(cell, held), schema=kinds)
-
-    return rows.repartition("cell").sortWithinPartitions("cell", "h", "id", "size").mapInArrow(run, _BINS)
-
-
-def _cut(text: str | None, first: int, words: int) -> str:
-    """The stretch of a text from one word through so many, white space inside included."""
-    start = end = 0
-    for k, m in enumerate(_WORD.finditer(text or "")):
-        if k == first:
-            start = m.start()
-        if k == first + words - 1:
-            end = m.end()
-            break
-    return (text or "")[start:end]
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = xxh64_intdigest(repr(i).encode() + b"\0" + (t or "").encode(), seed)
+                again = seen[h]
+                seen[h] += 1
+                for start, n, part in cut_text(t, longest, with_text):
+                    spread = f"{h} {task if again else 0} {again} {start // longest if n == longest else 0}"
+                    for x, y in zip(out, (xxh64_intdigest(spread, seed) % cells, h >> 1, i, start, n, part), strict=True):
+                        x.append(y)
+            yield pa.record_batch([pa.array(x, pa.string() if k == 5 else pa.int64()) for k, x in enumerate(out)], names=["cell", "h", "id", "start", "length", "text"])
+
+    return docs.mapInArrow(run, _PIECES)
+
+
+def _pack(pieces: DataFrame, capacities: tuple[int, ...], overhead: float, attention: float, cell: int, with_text: bool) -> DataFrame:
+    longest, least = max(capacities), min(capacities)
+    kinds = pa.schema([("bin_id", pa.string()), ("capacity", pa.int64()), ("used", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("text", pa.string())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, made, held, blank = None, 0, [], []
+
+        def row(capacity: int, items: list[dict]) -> dict:
+            nonlocal made
+            made += 1
+            text = "\n".join(r["text"] for r in items if r["length"]) if with_text else None
+            return {"bin_id": f"{at}-{made - 1}", "capacity": capacity, "used": sum(r["length"] for r in items), "doc_ids": [r["id"] for r in items], "starts": [r["start"] for r in items], "lengths": [r["length"] for r in items], "text": text}
+
+        def settle() -> list[dict]:
+            """The bins of what is held; pieces of no words go to the first, or to one of their own."""
+            out = [(c, [held[i] for i in items]) for c, _, items in best_fit([r["length"] for r in held], capacities, overhead, attention)]
+            if blank:
+                out = [(c, items + blank * (k == 0)) for k, (c, items) in enumerate(out)] or [(least, list(blank))]
+            made = [row(c, items) for c, items in out]
+            held.clear()
+            blank.clear()
+            return made
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, cell: int = 256, with_text: bool = True, seed: int = 5) -> DataFrame:
+        for batch in slices(batches):
+            out = []
+            for r in batch.to_pylist():
+                if r["cell"] != at or len(held) + len(blank) >= 2 * cell:
+                    out += settle()
+                    if r["cell"] != at:
+                        at, made = r["cell"], 0
+                if r["length"] == longest:
+                    out.append(row(longest, [r]))
+                else:
+                    (held if r["length"] else blank).append(r)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=kinds)
+        if out := settle():
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    return pieces.repartition("cell").sortWithinPartitions("cell", "h", "id", "start").mapInArrow(run, _BINS)
+
+
+def pack_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, overhead: float = OVERHEAD, attention: float = ATTENTION,
+    cell: int = 256, with_text: bool = True, seed: int = 5,
+) -> DataFrame:
     """Sequences ``(bin_id, capacity, used, doc_ids, starts, lengths, text)``, one row for each.
 
     doc_ids, starts and lengths name the pieces in order: the document, its first word (from 0)
@@ -128,11 +204,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``with_text``, and then texts aren't shuffled).  Every word of every row is in one piece.
     Texts without words, nulls included, are pieces of 0 words in a bin of their cell.  Rows with
     a null id are packed like others, repeated rows each for itself; an empty table gives no rows.
+    Columns of any other name aren't read.
     """
-    size = word_count(F.col(text_col))
-    h = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), size.alias("size"), h.alias("h"), *([F.col(text_col).alias("text")] if with_text else []))
-    if not with_text:
-        rows = Workspace(docs.sparkSession, "packing").table(rows, "rows")
-    cells = max(1, -(-(docs if with_text else rows).count() // cell))
-    return _pack(rows.withColumn("cell", F.pmod("h", F.lit(cells))), capacities, overhead, with_text)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    cells = max(1, -(-docs.count() // cell))
+    return _pack(_pieces(rows, max(capacities), cells, with_text, seed), capacities, overhead, attention, cell, with_text)

@@ -63,6 +63,28 @@ def test_bad_hosts_take_their_documents_and_small_ones_are_shrunk(spark):
     assert quality_rules.quality_rules(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_the_query_keeps_by_host_verdicts(spark, tmp_path):
+    """Of hosts that fail at 5 to 10 % one that fails at 40 % goes; a small one with the same raw rate stays; SQL agrees."""
+    import duckdb
+
+    from veilgrid.llm.queries import ORACLE_SQL, QUERIES
+
+    good, rows = " ".join(f"w{i}" for i in range(30)), []
+    for host, n, failed in [("worst", 200, 80), ("small", 5, 2), *[(f"h{k}", 200, 10 + k) for k in range(12)]]:
+        rows += [(len(rows) + k, "short" if k < failed else good, host) for k in range(n)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op8_quality_rules"](spark, str(tmp_path)).collect()
+    host = {i: h for i, _, h in rows}
+    assert {host[r.doc_id] for r in got if not r.kept and not r.base_failed} == {"worst"}
+    assert any(r.kept and host[r.doc_id] == "small" for r in got)
+    verdicts = {r.host: r for r in quality_rules.host_verdicts(spark.createDataFrame([("worst", 200, 80), ("small", 5, 2), *[(f"h{k}", 200, 10 + k) for k in range(12)]], "host string, n long, failed long")).collect()}
+    assert 2 / 5 > verdicts["small"].limit > verdicts["small"].rate  # the shrinkage decides
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[-1] for r in con.execute(f"select doc_id, kept from ({ORACLE_SQL['op8_quality_rules']})").fetchall()}
+    assert want == {r.doc_id: r.kept for r in got}
+
+
 def test_no_python_in_the_plan(spark, small):
     plan = quality_rules.rule_counts(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

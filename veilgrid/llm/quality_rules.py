@@ -2,8 +2,9 @@
 
 Each document gets counts over its whole text and fails or passes the base rules.  Failures are
 summed by host, a host's failure rate is shrunk towards the rate of all hosts with a beta prior
-fitted to the hosts by moments, and hosts whose shrunk rate is too high take their documents
-with them.
+fitted to the hosts by moments, and hosts whose shrunk rate is far out in that prior take their documents
+with them: above its mean by ``deviations`` of its standard deviations, or, where the hosts differ so much that
+this is no limit, above the middle between its mean and 1.  Hosts that are alike, as chance would have them, all stay.
 """
 
 from __future__ import annotations
@@ -60,8 +61,8 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def host_verdicts(hosts: DataFrame, limit: float = 0.7) -> DataFrame:
-    """``hosts(host, n, failed)`` -> the same with ``rate`` (shrunk) and ``bad`` (rate above limit).
+def host_verdicts(hosts: DataFrame, deviations: float = 3.0) -> DataFrame:
+    """``hosts(host, n, failed)`` -> the same with ``rate`` (shrunk), ``limit`` and ``bad`` (rate above limit).
 
     The beta prior has the mean of all documents' failures and, as its weight, what the spread of
     the hosts' rates beyond chance implies (from 1 document for hosts that differ wholly to
@@ -74,13 +75,15 @@ def host_verdicts(hosts: DataFrame, limit: float = 0.7) -> DataFrame:
     full = F.col("m") * (1 - F.col("m"))
     between = F.when((full > 0) & (chance < 1), (F.col("spread") / full - chance) / (1 - chance)).otherwise(F.lit(0.0))
     weight = F.greatest(F.lit(1.0), F.least(F.lit(1000.0), 1 / F.greatest(between, F.lit(0.001)) - 1))
-    prior = whole.select(F.struct("m", weight.alias("weight")).alias("prior"))
+    prior = whole.select("m", "spread", weight.alias("weight"))
+    limit = F.least(F.col("m") + deviations * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("weight") + 1)), (F.col("m") + 1) / 2)
+    prior = prior.select(F.struct("m", "weight", limit.alias("limit")).alias("prior"))
     p = F.col("prior")
     rate = (F.col("failed") + p["m"] * p["weight"]) / (F.col("n") + p["weight"])
-    return hosts.select("*", prior.scalar().alias("prior")).select("host", "n", "failed", rate.alias("rate"), (rate > limit).alias("bad"))
+    return hosts.select("*", prior.scalar().alias("prior")).select("host", "n", "failed", rate.alias("rate"), p["limit"].alias("limit"), (rate > p["limit"]).alias("bad"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = 0.7) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", deviations: float = 3.0) -> DataFrame:
     """Counts, base verdict, host rate and final verdict for every row of ``docs``.
 
     Null hosts form one host of their own.  Null, empty and blank texts have no words and
@@ -89,7 +92,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ws = Workspace(docs.sparkSession, "quality")
     rows = ws.table(rule_counts(docs, id_col, text_col, host_col).withColumn("base_failed", base_failed()), "counts")
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.count(F.when(F.col("base_failed"), 1)).alias("failed"))
-    verdicts = ws.table(host_verdicts(ws.table(hosts, "hosts"), limit), "verdicts")
+    verdicts = ws.table(host_verdicts(ws.table(hosts, "hosts"), deviations), "verdicts")
     rows, verdicts = rows.alias("r"), verdicts.alias("v")
     return rows.join(verdicts, F.col("r.host").eqNullSafe(F.col("v.host"))).select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

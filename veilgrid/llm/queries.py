@@ -112,7 +112,8 @@ r AS (SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(a
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM r),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS b FROM f GROUP BY source),
 a AS (SELECT sum(b) / sum(n) AS m, sum(n) AS total, count(*) AS k, sum(b * b / n) / sum(n) - (sum(b) / sum(n)) * (sum(b) / sum(n)) AS spread FROM h),
-p AS (SELECT m, greatest(1.0, least(1000.0, 1 / greatest(CASE WHEN m * (1 - m) > 0 AND k / total < 1 THEN (spread / (m * (1 - m)) - k / total) / (1 - k / total) ELSE 0.0 END, 0.001) - 1)) AS q FROM a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ((h.b + p.m * p.q) / (h.n + p.q) > 0.7) AS kept
-FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, p""",
+p AS (SELECT m, greatest(1.0, least(1000.0, 1 / greatest(CASE WHEN m * (1 - m) > 0 AND k / total < 1 THEN (spread / (m * (1 - m)) - k / total) / (1 - k / total) ELSE 0.0 END, 0.001) - 1)) AS q FROM a),
+z AS (SELECT m, q, least(m + 3 * sqrt(m * (1 - m) / (q + 1)), (m + 1) / 2) AS lim FROM p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ((h.b + z.m * z.q) / (h.n + z.q) > z.lim) AS kept
+FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, z""",
 }

@@ -47,8 +47,8 @@ def test_pages(spark, small):
 
 def test_selected_records_and_index(spark):
     rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * (i + 1)) for i in range(100)]
-    a = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_rows=10)
-    assert a.index.select("shard").distinct().count() > 3
+    a = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), task_bytes=4000, file_bytes=700)
+    assert a.index.select("file").distinct().count() > 3
     some = warc.read_records(a, a.index.where("url like '%7'"), with_payload=True).collect()
     assert {r.page_id: bytes(r.payload).decode() for r in some} == {i: f"<p>{i}</p>" * (i + 1) for i in range(100) if str(i).endswith("7")}
 

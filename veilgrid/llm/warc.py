@@ -1,124 +1,191 @@
 """WARC archives: write with an index, read selected records by byte ranges.
 
-Records are dealt to shards of bounded size and ordered in each, so that the offset of every record
-is the running sum of the lengths before it.  The index (shard, offset, length, URL, digest) is
-written first, from lengths and digests alone; the archives follow in the same order
-through Spark's own text writer, whose commits survive lost tasks and which reaches any store Spark
-does: a record is a line, and the empty line that ends a WARC record is its separator.
+An archive is a file of gzip members, one for each record, as the format has it.  A page becomes its compressed
+response record where it is read, so that only compressed records travel; the records are dealt to
+tasks by a hash and written in order to files of bounded size.  Each task returns the index rows (file, offset, length, URL,
+digest) of what it has written, and the index is written by Spark: a task that is lost or repeated leaves a
+file that no index row names.
+
+Of records with equal payloads of at least ``least`` bytes one is a response and the others are revisits that
+name it, without a payload.  Which ones is settled on digests alone; the verdicts travel to the writing
+tasks beside the records, a marker row before the rows it is about.
 
 Reading takes any selection of index rows, sorts them by file and offset, merges ranges that lie
 close together, and parses the records out of each range.
-
-Of records with equal payloads of at least ``least`` bytes one is a response and the others are
-revisits that name it, without a payload.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgrid.llm.workspace import Workspace
+from veilgrid.llm.workspace import Workspace, slices, tasks_for
 
 # Fixed values of the format.
 CRLF = "\r\n"
 END = CRLF * 2
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Payload bytes that a task writes, about.
+TASK_BYTES = 32 << 20
+
+_UNSAFE = re.compile(r"[\x00-\x1F\x7F]")
 
 
 @dataclass
 class Archives:
-    """A set of archives: where they are and the index of their records."""
+    """A set of archives: the index of their records, and in how many tasks they are read."""
 
-    path: str
     index: DataFrame
+    tasks: int
+
+
+def _record_id(page_id: int | None, url: str | None, digest: str, rank: int) -> str:
+    h = hashlib.md5(f"{page_id}|{digest}|{rank}|{url}".encode()).hexdigest()
+    return f"<urn:uuid:{uuid.UUID(h)}>"
+
 
+def make_record(page_id: int | None, url: str | None, digest: str, date: str, payload: bytes = b"", rank: int = 1, first: tuple[int | None, str | None] | None = None) -> bytes:
+    """A response record, or a revisit of the response of the page and URL ``first``, as a gzip member; null ids and URLs have no header line."""
+    http = f"{HTTP}{len(payload)}{END}".encode()
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {'revisit' if first else 'response'}",
+        f"WARC-Record-ID: {_record_id(page_id, url, digest, rank)}",
+        f"WARC-Date: {date}",
+        *([] if url is None else [f"WARC-Target-URI: {_UNSAFE.sub('%20', url)}"]),
+        f"WARC-Payload-Digest: sha1:{digest}",
+        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(*first, digest, 1)}"] if first else []),
+        *([f"X-Refers-To-Page: {first[0]}"] if first and first[0] is not None else []),
+        *([] if page_id is None else [f"X-Page: {page_id}"]),
+        "Content-Type: application/http;msgtype=response",
+        f"Content-Length: {0 if first else len(http) + len(payload)}",
+    ]
+    data = (CRLF.join(lines) + END).encode() + (b"" if first else http + payload) + END.encode()
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
 
-def _record_id(page_id: Column, digest: Column, rank: Column) -> Column:
-    h = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("")), digest, rank.cast("string")))
-    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"), F.lit(">"))
-
-
-def _ordered(rows: DataFrame, shards: int) -> DataFrame:
-    """Rows by shard with their rank among repeats of page and payload, all with one exchange."""
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("page_id", "digest"), F.lit(shards)).cast("int")).repartition("shard")
-    rank = F.row_number().over(Window.partitionBy("shard", "page_id", "digest").orderBy("url"))
-    revisit = F.col("first").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("rank") == 1))
-    return rows.withColumn("rank", rank).withColumn("revisit", F.coalesce(revisit, F.lit(False)))
-
-
-def _header(date: str) -> Column:
-    """The header block of a record up to and with its empty line, and a response's HTTP header."""
-    http = F.concat(F.lit(HTTP), F.col("payload_bytes").cast("string"), F.lit(END))
-    size = F.when(F.col("revisit"), F.lit(0)).otherwise(F.octet_length(http) + F.col("payload_bytes"))
-    line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))  # noqa: E731  absent if null
-    only = lambda value: F.when(F.col("revisit"), value)
-    return F.concat(
-        F.lit("WARC/1.1" + CRLF),
-        line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
-        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"), F.col("rank"))),
-        line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x1F\x7F]", "%20")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        line("WARC-Profile", only(F.lit(PROFILE))),
-        line("WARC-Refers-To", only(_record_id(F.col("first.page_id"), F.col("digest"), F.lit(1)))),
-        line("X-Refers-To-Page", only(F.col("first.page_id").cast("string"))),
-        line("X-Page", F.col("page_id").cast("string")),
-        line("Content-Type", F.lit("application/http;msgtype=response")),
-        line("Content-Length", size.cast("string")),
-        F.lit(CRLF),
-        F.when(F.col("revisit"), "").otherwise(http),
-    )
-
-
-def write_archives(pages: DataFrame, least: int = 1000, shard_bytes: int = 64 << 20, shard_rows: int = 512, date: str = "2024-01-01T00:00:00Z") -> Archives:
+
+_RECORD = "page_id long, url string, digest string, payload_bytes long, again long, first struct<page_id: long, url: string>, member binary"
+
+
+def _members(pages: DataFrame, date: str) -> DataFrame:
+    """Every page as a compressed response record."""
+    kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("again", pa.int64()), ("first", pa.struct([("page_id", pa.int64()), ("url", pa.string())])), ("member", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for i, u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                payload = h.as_py() or b""
+                digest = hashlib.sha1(payload).hexdigest()
+                out.append({"page_id": i, "url": u, "digest": digest, "payload_bytes": len(payload), "again": None, "first": None, "member": make_record(i, u, digest, date, payload)})
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    return pages.mapInArrow(run, _RECORD)
+
+
+def _revisits(ws: Workspace, pages: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """Marker rows ``(page_id, url, digest, again, first)``: so many of the rows of this page, URL and payload revisit that page; and the bytes of all payloads."""
+    meta = pages.select("page_id", "url", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").cast("long").alias("payload_bytes"))
+    keys = ws.table(meta.groupBy("digest", "page_id", "url").agg(F.count("*").alias("n"), F.max("payload_bytes").alias("payload_bytes")), "digests")
+    total = keys.agg(F.sum(F.col("n") * F.col("payload_bytes"))).first()[0] or 0
+    # the largest page first, rows without one last; then the least URL, none before any
+    order = F.struct(F.col("page_id").isNull().alias("none"), F.bitwise_not("page_id").alias("not_id"), F.col("url").alias("url"))
+    top = keys.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min(order).alias("t"), F.sum("n").alias("held")).where("held > 1")
+    top = ws.table(top.select(F.col("digest").alias("same"), F.bitwise_not("t.not_id").alias("top_id"), F.col("t.url").alias("top_url")), "responses")
+    both = keys.where(F.col("payload_bytes") >= least).join(top, F.col("digest") == F.col("same"))
+    is_top = F.col("page_id").eqNullSafe(F.col("top_id")) & F.col("url").eqNullSafe(F.col("top_url"))
+    again = F.col("n") - F.when(is_top, 1).otherwise(0)
+    marks = both.select("page_id", "url", "digest", again.cast("long").alias("again"), F.struct(F.col("top_id").alias("page_id"), F.col("top_url").alias("url")).alias("first")).where("again > 0")
+    return marks, int(total)
+
+
+_INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
+
+
+def _write(records: DataFrame, folder: str, file_bytes: int, date: str) -> DataFrame:
+    """Writes the records of each task; the index rows."""
+    kinds = pa.schema([(c, pa.int64() if k == "long" else pa.string()) for c, k in (x.split() for x in _INDEX.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = out = name = None
+        at, mark, rank = 0, None, 0
+        try:
+            for batch in slices(batches):
+                rows = []
+                for r in batch.to_pylist():
+                    key = r["page_id"], r["url"], r["digest"]
+                    if mark is None or mark[0] != key:
+                        mark, rank = [key, 0, None], 0
+                    if r["member"] is None:
+                        mark[1:] = r["again"], (r["first"]["page_id"], r["first"]["url"])
+                        continue
+                    data, kind, rank = r["member"], "response", rank + 1
+                    if mark[1] > 0:
+                        # of rows that repeat page, URL and payload the last is the response
+                        mark[1] -= 1
+                        data, kind = make_record(*key, date, rank=rank + 1, first=mark[2]), "revisit"
+                    if out is None or at >= file_bytes:
+                        if out is not None:
+                            out.close()
+                        if store is None:
+                            store, base = _store(folder)
+                            store.create_dir(base, recursive=True)
+                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = store.open_output_stream(f"{base}/{name}", compression=None)
+                    out.write(data)
+                    rows.append({"file": f"{folder}/{name}", "offset": at, "length": len(data), "page_id": r["page_id"], "url": r["url"], "digest": r["digest"], "record_type": kind})
+                    at += len(data)
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+        finally:
+            if out is not None:
+                out.close()
+
+    return records.mapInArrow(run, _INDEX)
+
+
+def _store(path: str):
+    """File system and path of a URI or a plain path."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def write_archives(pages: DataFrame, least: int = 1000, file_bytes: int = 64 << 20, task_bytes: int = TASK_BYTES, date: str = "2024-01-01T00:00:00Z") -> Archives:
     """Writes a record for each row of ``pages(page_id, url, html)``.
 
     The payload is the html in UTF-8, null as empty.  The response of equal payloads is that of
     the largest page_id (of repeats of that page, the first by url).  Null ids and URLs have no header line;
-    control characters of a URL are written as %20.  An empty table gives an empty index.
+    control characters of a URL are written as %20.  Other columns aren't read.  An empty table gives an empty index.
     """
-    spark = pages.sparkSession
-    ws = Workspace(spark, "warc")
-    html = F.coalesce(F.col("html"), F.lit(""))
-    source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html")).withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    meta = ws.table(source.drop("html"), "meta")
-    rows, total = meta.agg(F.count("*"), F.sum("payload_bytes")).first()
-    shards = max(1, -(-(total or 0) // shard_bytes), -(-rows // shard_rows))
-    same = meta.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("page_id"), F.count("*").alias("n")).where("n > 1")
-    same = ws.table(same.select(F.col("digest").alias("same"), F.struct("page_id").alias("first")), "same")
-
-    def placed(x: DataFrame) -> DataFrame:
-        return _ordered(x.join(same, x.digest == same.same, "left").drop("same"), shards)
-
-    length = F.octet_length("head") + F.when(F.col("revisit"), 0).otherwise(F.col("payload_bytes")) + len(END)
-    order = ["page_id", "digest", "rank"]
-    before = Window.partitionBy("shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    index = placed(meta).withColumn("head", _header(date)).withColumn("length", length.cast("long"))
-    index = index.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
-    index = ws.table(index.select("shard", "offset", "length", "page_id", "url", "digest", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type")), "index")
-    path = ws.path("archives")
-    body = F.concat(_header(date), F.when(F.col("revisit"), "").otherwise(F.col("html")))
-    archive = placed(source).sortWithinPartitions("shard", *order).select("shard", body.alias("value"))
-    with ws._lean():
-        archive.write.option("lineSep", END).partitionBy("shard").text(path)
-    return Archives(path, index)
-
-
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """``(shard, path)`` of the archives, from a listing."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return listed.select(F.regexp_extract("path", r"/shard=(\d+)/", 1).cast("int").alias("shard"), "path")
+    ws = Workspace(pages.sparkSession, "warc")
+    source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    marks, total = _revisits(ws, source, least)
+    tasks = tasks_for(total, task_bytes)
+    marks = marks.select("page_id", "url", "digest", F.lit(0).cast("long").alias("payload_bytes"), "again", "first", F.lit(None).cast("binary").alias("member"))
+    key = ["page_id", "digest", "url"]
+    # markers sort before the rows they are about
+    dealt = _members(source, date).unionByName(marks).repartition(tasks, *key).sortWithinPartitions(*key, F.col("member").isNotNull())
+    return Archives(ws.table(_write(dealt, ws.path("archives"), file_bytes, date), "index"), tasks)
 
 
 def parse_record(data: bytes) -> dict:
-    """Header fields and payload of one record, its ending included in data."""
+    """Header fields and payload of one record, a gzip member with nothing after it."""
+    z = zlib.decompressobj(31)
+    data = z.decompress(data)
+    if not z.eof or z.unused_data:
+        raise ValueError("no whole record at this range")
     head, _, block = data.partition(END.encode())
     lines = head.decode("utf-8").split(CRLF)
     fields = dict(x.split(": ", 1) for x in lines[1:])
@@ -164,9 +231,7 @@ def read_records(archives: Archives, selected: DataFrame | None = None, gap: int
         }
 
     def read(path: str, rows: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, at = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+        store, at = _store(path)
         with store.open_input_file(at) as f:
             for first, last, start, stop in merged_ranges(rows, gap, most):
                 data = f.read_at(stop - start, start)
@@ -184,9 +249,8 @@ def read_records(archives: Archives, selected: DataFrame | None = None, gap: int
         if rows:
             yield from read(path, rows)
 
-    files = _files(archives.index.sparkSession, archives.path)
-    wanted = index.select("shard", "offset", "length").repartition("shard").join(files, "shard").sortWithinPartitions("path", "offset")
-    return wanted.select("path", "offset", "length").mapInArrow(run, "page_id long, record_type string, url string, refers_to long, header_digest string, payload_bytes long, payload_digest string, payload binary")
+    wanted = index.select("file", "offset", "length").repartition(archives.tasks, "file").sortWithinPartitions("file", "offset")
+    return wanted.mapInArrow(run, "page_id long, record_type string, url string, refers_to long, header_digest string, payload_bytes long, payload_digest string, payload binary")
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
@@ -195,7 +259,7 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     archives = write_archives(pages)
     if archives.index.isEmpty():
         return pages.sparkSession.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    got = ws.table(read_records(archives).drop("payload"), "records")
+    got = ws.table(read_records(archives).drop("payload", "url"), "records")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     whole = got.where("record_type = 'response'")
     again = got.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "header_digest")

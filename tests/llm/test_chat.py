@@ -82,6 +82,27 @@ def test_equal_conversations_and_one_common_first_turn(spark):
     assert {r.conv_id: tuple(r)[1:] for r in chat_format.chat_digest(df).collect()} == brute(rows)
 
 
+def test_one_prompt_shared_by_all_is_cut_by_length(spark):
+    """Sequences keep to their bound, each begins with the prompt, and the shards are even."""
+    said, rng = "prompt " * 20, random.Random(5)
+    rows = [(c, t, ("system", "user", "assistant")[t], said if t == 0 else f"{c} " * rng.randrange(1, 60)) for c in range(400) for t in range(3)]
+    rows += [(1000, 0, "system", said), (1000, 1, "user", "long " * 4000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    segments, _ = chat_format.format_conversations(df, sequence_chars=4000, shard_chars=9000)
+    by, shards = {}, {}
+    for s in segments.collect():
+        by.setdefault(s.seq_id, []).append(s)
+        shards[s.seq_id.split("-")[0]] = shards.get(s.seq_id.split("-")[0], 0) + len(s.formatted)
+    assert len(by) > 20 and len(shards) > 8
+    for tree in by.values():
+        tree.sort(key=lambda s: s.segment)
+        assert tree[0].depth == 0 and said.strip() in tree[0].formatted and sum(s.depth == 0 for s in tree) == 1
+        assert tree[-1].stop <= 4000 or sum(s.ends_conversation for s in tree) == 1
+    assert max(n for n in shards.values() if n < 20_000) <= 9000 + 4000
+    assert sum(map(len, by.values())) == 2 * 400 + 1 + len(by)  # besides the prompts no turn is repeated
+    assert {r.conv_id: tuple(r)[1:] for r in chat_format.chat_digest(df, sequence_chars=4000, shard_chars=9000).collect()} == brute(rows)
+
+
 def test_tokens(spark):
     P = pytest.importorskip("public_tokenizers")
     df = spark.createDataFrame(sample(2, 5), "conv_id long, turn long, role string, text string")

@@ -7,9 +7,11 @@ each turn) are laid end to end, and each has its place in the sequence, the posi
 conversation (which continue those of its ancestors), and the intervals of the sequence that
 hold its ancestors, which its tokens may attend to besides their own segment.
 
-Where a tree spans two stretches, the second begins with the turns on the path to its first
-conversation, since intervals can't point into another sequence.  Sorting and emission keep the state of one
-path; no tree or group of equal conversations is ever gathered.
+A sequence has a bounded number of characters, unless one conversation alone has more: where a tree goes
+beyond, or spans two ranges of the order, another sequence begins with the turns on the path to its first
+conversation, since intervals can't point into another sequence.  Sequences are dealt to shards by the length of
+their texts, so that tasks have like amounts however the conversations share their turns.  Sorting and emission keep
+the state of one path; no tree or group of equal conversations is ever gathered.
 
 The template of a turn is ``<|turn|>role newline text <|end|> newline``.  A backslash goes before every backslash
 and after the first character of every control string inside a role or text, and before a newline inside a role;
@@ -38,6 +40,8 @@ _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(re.escape(TURN) + r"((?:[^\\\n]|\\.)*)\n(.*)" + re.escape(END) + r"\n", re.S)
 #: Role whose texts are learnt.
 LEARNT = "assistant"
+#: Characters of a sequence at most, and of a shard about.
+SEQUENCE_CHARS, SHARD_CHARS = 1 << 17, 1 << 20
 
 
 def escape(text: str) -> str:
@@ -66,50 +70,64 @@ def _signed(b: bytes) -> int:
 
 
 def _turns(rows: DataFrame) -> DataFrame:
-    """Turns in order with the hash of the path to each: ``(conv_id, idx, role, text, node, path)``.
+    """Turns in order with the hash of the path to each: ``(conv_id, idx, role, text, node, path, sizes)``.
 
-    path is set on the last turn: 8 bytes for each turn of the conversation.
+    path and sizes are set on the last turn: 8 bytes of hash, and the characters of the formatted turn in 8 bytes, for each
+    turn of the conversation.
     """
-    kinds = pa.schema([("conv_id", pa.int64()), ("idx", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("node", pa.int64()), ("path", pa.binary())])
+    kinds = pa.schema([("conv_id", pa.int64()), ("idx", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("node", pa.int64()), ("path", pa.binary()), ("sizes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last, path, digest = object(), None, [], b""
+        key, last, path, sizes, digest = object(), None, [], [], b""
         for batch in slices(batches):
             out = []
             for r in batch.to_pylist():
                 if r["conv_id"] != key:
                     if last:
-                        out.append(last | {"path": b"".join(path)})
-                    key, last, path, digest = r["conv_id"], None, [], b""
+                        out.append(last | {"path": b"".join(path), "sizes": b"".join(sizes)})
+                    key, last, path, sizes, digest = r["conv_id"], None, [], [], b""
                 if last:
                     out.append(last)
                 role, text = r["role"] or "", r["text"] or ""
                 digest = hashlib.blake2b(digest + len(role.encode()).to_bytes(8, "big") + role.encode() + text.encode(), digest_size=16).digest()
-                last = {"conv_id": key, "idx": len(path), "role": role, "text": text, "node": _signed(digest[:8]), "path": None}
+                last = {"conv_id": key, "idx": len(path), "role": role, "text": text, "node": _signed(digest[:8]), "path": None, "sizes": None}
                 path.append(digest[:8])
+                sizes.append(len(format_turn(role, text)[0]).to_bytes(8, "big"))
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
         if last:
-            yield pa.RecordBatch.from_pylist([last | {"path": b"".join(path)}], schema=kinds)
+            yield pa.RecordBatch.from_pylist([last | {"path": b"".join(path), "sizes": b"".join(sizes)}], schema=kinds)
 
     source = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return source.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, idx long, role string, text string, node long, path binary")
+    return source.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, idx long, role string, text string, node long, path binary, sizes binary")
 
 
-def _ranked(paths: DataFrame) -> DataFrame:
-    """Distinct conversations in the order of their paths: ``(rep, shard, ord, shared)``; shared: turns that the one before has too."""
+def _ranked(paths: DataFrame, sequence_chars: int, shard_chars: int) -> DataFrame:
+    """Distinct conversations in the order of their paths: ``(rep, shard, ord, shared)``.
+
+    shared: turns that are in the sequence already; 0 where a sequence begins, and there the text of a full shard ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, n, before = TaskContext.get().partitionId(), 0, b""
+        shard, n, before, sequence, filled = TaskContext.get().partitionId() << 32, 0, b"", 0, 0
         for batch in batches:
-            out: tuple[list, ...] = ([], [])
-            for path in batch.column(1).to_pylist():
-                same = 0
+            out: tuple[list, ...] = ([], [], [])
+            for path, chars in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                sizes, same = [int.from_bytes(chars[k : k + 8], "big") for k in range(0, len(chars), 8)], 0
                 while same < min(len(path), len(before)) and path[same : same + 8] == before[same : same + 8]:
                     same += 8
-                out[0].append(n)
-                out[1].append(same // 8)
+                same //= 8
+                if sequence + sum(sizes[same:]) > sequence_chars:
+                    same = 0
+                if not same:
+                    sequence = 0
+                    if filled >= shard_chars:
+                        shard, filled = shard + 1, 0
+                sequence += sum(sizes[same:])
+                filled += sum(sizes[same:])
+                for x, y in zip(out, (shard, n, same), strict=True):
+                    x.append(y)
                 n, before = n + 1, path
-            yield pa.record_batch([batch.column(0), pa.array([shard] * len(out[0]), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["rep", "shard", "ord", "shared"])
+            yield pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in out)], names=["rep", "shard", "ord", "shared"])
 
     return paths.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(run, "rep long, shard long, ord long, shared long")
 
@@ -168,21 +186,22 @@ def _segment_schema() -> pa.Schema:
     return pa.schema([(n.split()[0], kinds[n.split()[0]]) for n in re.split(r", (?![^<]*>)", _SEGMENT)])
 
 
-def format_conversations(conversations: DataFrame, tokenizer_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def format_conversations(conversations: DataFrame, tokenizer_path: str | None = None, sequence_chars: int = SEQUENCE_CHARS, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, DataFrame]:
     """``(segments, members)`` of ``conversations(conv_id, turn, role, text)``.
 
     segments: one row for each turn of the trees, in the columns of ``_SEGMENT``; loss_start and loss_stop are
     code points of the formatted turn.  members: ``(conv_id, node)``, the segment that ends each conversation.
-    Turns go by turn, nulls first, ties by role and text; null roles and texts are empty.  Rows
+    A sequence has at most sequence_chars characters, or is one conversation; a tree that has more is several sequences, each
+    with the turns that lead to its first conversation.  Turns go by turn, nulls first, ties by role and text; null roles and texts are empty.  Rows
     with a null conv_id are one conversation.  An empty table gives empty results.
     """
     ws = Workspace(conversations.sparkSession, "chat")
     turns = ws.table(_turns(conversations), "turns")
     last = turns.where("path is not null")
-    members = ws.table(last.select("conv_id", "node", "path"), "members")
+    members = ws.table(last.select("conv_id", "node", "path", "sizes"), "members")
     # equal paths have equal last nodes; the least conversation stands for all
-    distinct = members.groupBy("path").agg(F.min(F.struct(F.col("conv_id").isNull().alias("n"), "conv_id")).alias("r"))
-    ranked = ws.table(_ranked(distinct.select(F.col("r.conv_id").alias("rep"), "path")), "ranked")
+    distinct = members.groupBy("path").agg(F.min(F.struct(F.col("conv_id").isNull().alias("n"), "conv_id", "sizes")).alias("r"))
+    ranked = ws.table(_ranked(distinct.select(F.col("r.conv_id").alias("rep"), "path", "r.sizes"), sequence_chars, shard_chars), "ranked")
     new = turns.join(ranked, turns.conv_id.eqNullSafe(ranked.rep)).where("idx >= shared").select("shard", "ord", "idx", "role", "text", "node", "path")
     segments = ws.table(_emit(new, tokenizer_path), "segments")
     return segments, members.select("conv_id", "node")
@@ -219,8 +238,8 @@ def read_back(segments: DataFrame) -> DataFrame:
     return source.repartition("seq_id").sortWithinPartitions("seq_id", "segment").mapInArrow(run, "node long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def chat_digest(conversations: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+def chat_digest(conversations: DataFrame, tokenizer_path: str | None = None, **options) -> DataFrame:
     """What ``read_back`` finds, for every conversation."""
-    segments, members = format_conversations(conversations, tokenizer_path)
+    segments, members = format_conversations(conversations, tokenizer_path, **options)
     back = Workspace(conversations.sparkSession, "chat-back").table(read_back(segments), "back")
     return members.join(back, "node").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")

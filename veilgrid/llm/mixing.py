@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgrid.llm.workspace import Workspace, word_count
+from veilgrid.llm.workspace import Workspace, column, fresh, word_count
 
 #: Weights of the sources in the order of their code points, repeated as needed.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -160,16 +160,17 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     ws = Workspace(docs.sparkSession, "mixed")
     copies = mix_copies(docs, id_col, text_col, source_col, **options)
-    per_id = ws.table(copies.groupBy(F.col("id").alias("__id")).agg(F.sum("copies").alias("__k"), F.count("*").alias("__n")).where("__k > 0"), "copies")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    held = docs.withColumn("__key", F.col(id_col).cast("long"))
-    once = held.join(per_id.where("__n = 1").hint("merge"), F.col("__key").eqNullSafe(F.col("__id")))
-    out = once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).select(*names)
-    again = per_id.where("__n > 1")
+    own, at, k, n, copy, place, mine = fresh(docs, "own", "at", "k", "n", "copy", "place", "mine")
+    per_id = ws.table(copies.groupBy(F.col("id").alias(at)).agg(F.sum("copies").alias(k), F.count("*").alias(n)).where(F.col(k) > 0), "copies")
+    names = [column(c) for c in docs.columns]
+    held = docs.withColumn(own, column(id_col).cast("long"))
+    once = held.join(per_id.where(F.col(n) == 1).hint("merge"), F.col(own).eqNullSafe(F.col(at)))
+    out = once.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(k)))).select(*names)
+    again = per_id.where(F.col(n) > 1)
     if again.isEmpty():
         return out
-    place = F.row_number().over(Window.partitionBy("__id").orderBy(F.col(text_col).asc_nulls_first())) - 1
-    rows = held.join(again, F.col("__key").eqNullSafe(F.col("__id"))).withColumn("__place", place)
-    mine = F.floor((F.col("__place") + 1) * F.col("__k") / F.col("__n")) - F.floor(F.col("__place") * F.col("__k") / F.col("__n"))
-    rows = rows.withColumn("__mine", mine).where("__mine > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mine"))))
+    row = F.row_number().over(Window.partitionBy(at).orderBy(column(text_col).asc_nulls_first())) - 1
+    rows = held.join(again, F.col(own).eqNullSafe(F.col(at))).withColumn(place, row)
+    share = F.floor((F.col(place) + 1) * F.col(k) / F.col(n)) - F.floor(F.col(place) * F.col(k) / F.col(n))
+    rows = rows.withColumn(mine, share).where(F.col(mine) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(mine))))
     return out.unionByName(rows.select(*names))

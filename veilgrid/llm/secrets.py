@@ -171,7 +171,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_
                 batch = pa.record_batch(columns, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # columns go by place: any name will do
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from veilgrid.llm.components import component_labels
-from veilgrid.llm.workspace import Workspace, slices
+from veilgrid.llm.workspace import Workspace, column, fresh, slices
 
 BITS = 64
 
@@ -156,17 +156,18 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     ws = Workspace(docs.sparkSession, "simhash-keep")
     groups = ws.table(simhash_components(docs, id_col, text_col, **options).where("id is not null"), "groups")
-    first = groups.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("k")).select(F.col("k.id").alias("__keep"), F.col("k.fp").alias("__want"))
-    often = groups.groupBy("id").count().where("count > 1").select(F.col("id").alias("__keep"), F.lit(True).alias("__often"))
-    keep = ws.table(first.join(often, "__keep", "left").select("__keep", "__want", F.coalesce("__often", F.lit(False)).alias("__often")), "keep")
-    named = docs.where(docs[id_col].isNotNull())
-    kept = named.join(keep.where("not __often").hint("merge"), named[id_col].cast("long") == F.col("__keep"), "left_semi")
-    more = keep.where("__often")
+    keep, want, rank, own = fresh(docs, "keep", "want", "rank", "own")
+    first = groups.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("k")).select(F.col("k.id").alias(keep), F.col("k.fp").alias(want))
+    often = groups.groupBy("id").count().where("count > 1").select(F.col("id").alias("i"))
+    first = ws.table(first.join(often, F.col(keep) == F.col("i"), "left"), "first")
+    named = docs.where(column(id_col).isNotNull()).withColumn(own, column(id_col).cast("long"))
+    columns = [column(c) for c in docs.columns]
+    kept = named.join(first.where("i is null").select(keep).hint("merge"), F.col(own) == F.col(keep), "left_semi").select(*columns)
+    more = first.where("i is not null").select(keep, want)
     if not more.isEmpty():
         shingle = options.get("shingle", 3)
         key = F.udf(lambda t: fingerprint(None if t is None else t.encode(), shingle), "long")
-        rank = Window.partitionBy("__keep", "__want").orderBy(F.col(text_col).asc_nulls_first())
-        again = named.join(more, named[id_col].cast("long") == F.col("__keep")).where(key(F.col(text_col)) == F.col("__want"))
-        again = again.withColumn("__r", F.row_number().over(rank))
-        kept = kept.unionByName(again.where("__r = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+        again = named.join(more, F.col(own) == F.col(keep)).where(key(column(text_col)) == F.col(want))
+        again = again.withColumn(rank, F.row_number().over(Window.partitionBy(keep, want).orderBy(column(text_col).asc_nulls_first())))
+        kept = kept.unionByName(again.where(F.col(rank) == 1).select(*columns))
+    return kept.unionByName(docs.where(column(id_col).isNull()))

@@ -18,30 +18,36 @@ def tokens(text):
 
 
 def brute(rows):
+    """Counts of whole texts, probabilities by the recursion, no automaton."""
     held = [zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2 for i, _ in rows]
-    uni, bi, ctx = Counter(), Counter(), Counter()
+    uni, bi, tri, texts = Counter(), Counter(), Counter(), 0
     for (_, t), h in zip(rows, held, strict=True):
         if not h:
             w = tokens(t)
             uni.update(w)
-            pairs = list(zip([b" begin", *w[:-1]], w, strict=True))
-            bi.update(pairs)
-            ctx.update(p for p, _ in pairs)
+            w = [b" begin", *w]
+            bi.update(zip(w, w[1:], strict=False))
+            tri.update(zip(w, w[1:], w[2:], strict=False))
+            texts += 1
     n, v = sum(uni.values()), len(uni)
-    heaps = len(bi) / sum(c**lm_scoring.HEAPS for c in [*uni.values(), ctx[b" begin"]] if c) if uni else 1.0
+    seen = lambda x: texts if x == b" begin" else uni[x]
+
+    def p1(x):
+        return (uni[x] + 1) / (n + v + 1)
+
+    def p2(b, x):
+        m = lm_scoring.MASS[0]
+        return (bi[b, x] + m * p1(x)) / (seen(b) + m)
+
+    def p3(a, b, x):
+        m = lm_scoring.MASS[1]
+        return (tri[a, b, x] + m * p2(b, x)) / (bi[a, b] + m) if bi[a, b] >= lm_scoring.MIN_CONTEXT else p2(b, x)
+
     out = []
     for (i, t), h in zip(rows, held, strict=True):
-        w = tokens(t)
-        base = sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w)
-        score, before = 0.0, b" begin"
-        for x in w:
-            c, p = ctx[before], (uni[x] + 1) / (n + v + 1)
-            if c:
-                follow = min(c, max(1.0, heaps * c**lm_scoring.HEAPS))
-                p = (bi[before, x] + follow * p) / (c + follow)
-            score += math.log10(p)
-            before = x
-        out.append((i, h, len(w), sum(x in uni for x in w), n, base, score))
+        w = [b" begin", *tokens(t)]
+        score = sum(math.log10(p2(w[k - 1], w[k]) if k == 1 else p3(*w[k - 2 : k + 1])) for k in range(1, len(w)))
+        out.append((i, h, len(w) - 1, sum(x in uni for x in w[1:]), n, sum(math.log10(p1(x)) for x in w[1:]), score))
     return out
 
 
@@ -55,13 +61,13 @@ def same(got, want):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9, abs=1e-6) and g[6] == pytest.approx(w[6], rel=1e-7, abs=1e-5)
 
 
-@pytest.mark.parametrize(("block", "part"), [(1 << 21, 1 << 21), (40, 25)])
-def test_against_plain_counts(spark, block, part):
+@pytest.mark.parametrize(("block", "fan"), [(1 << 20, 256), (40, 3), (700, 2)])
+def test_against_plain_counts(spark, block, fan):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["the", "The", "cat", "sat", "on", "mat", "É", "x" * rng.randrange(1, 4)]) for _ in range(rng.randrange(25)))) for i in range(80)]
     rows += [(80, None), (81, ""), (None, "the cat"), (5, "the cat sat"), (5, "the cat sat"), (82, "mat " * 3000)]
     docs = spark.createDataFrame([(*r, 1, "s") for r in rows], DOCS)
-    same(lm_scoring.score_documents(docs, block=block, part=part).collect(), brute(rows))
+    same(lm_scoring.score_documents(docs, block=block, fan=fan).collect(), brute(rows))
 
 
 def test_documents(spark, small):
@@ -77,17 +83,75 @@ def test_edges(spark):
     same(lm_scoring.score_documents(spark.createDataFrame([(*r, 0, "") for r in rows], DOCS)).collect(), brute(rows))
 
 
+def small_model():
+    """An automaton over one block, all of it learnt."""
+    rng = random.Random(1)
+    texts = [[rng.randrange(2, 8) for _ in range(rng.randrange(1, 30))] for _ in range(40)]
+    parts = [np.array([lm_scoring.BEGIN, *t, lm_scoring.END]) for t in texts]
+    one = np.ones(len(parts), np.int64)
+    hashes = np.random.default_rng(0).integers(0, 1 << 63, 9, dtype=np.uint64)  # the last word is unknown
+    block = lm_scoring.Block(0, one, list(range(40)), np.array([len(p) for p in parts]), one, one == 0, np.concatenate(parts), hashes)
+    words, bigrams = block.words(), block.bigrams()
+    trigrams = block.trigrams(bigrams, lm_scoring.is_state(bigrams, bigrams.counts, 9))
+    n = int(words.sum() - words[lm_scoring.BEGIN])
+    v = int((np.delete(words, lm_scoring.BEGIN) > 0).sum())
+    return block, lm_scoring.compile_automaton(words, bigrams, bigrams.counts, trigrams, trigrams.counts, n, v)
+
+
 def test_probabilities_of_a_state_sum_to_one():
-    words, contexts = np.array([3, 0, 5, 2]), np.array([0, 2, 5, 2])
-    firsts, seconds, pairs = np.array([2, 2, 1, 3]), np.array([0, 3, 2, 2]), np.array([3, 2, 2, 2])
-    n, v = 10, 3
-    a = lm_scoring.compile_automaton(4, words, contexts, firsts, seconds, pairs, n, v, 0.8)
-    for state in (1, 2, 3):
-        arcs = dict(zip(a.arcs.tolist(), a.weights.tolist(), strict=True))
-        known = [w for w in (0, 2, 3)]
-        p = sum(10 ** arcs.get(state * 4 + w, a.failure[state] + a.root[w]) for w in known)
-        unknown = 10 ** a.failure[state] / (n + v + 1)  # the one word that stands for all unknown ones
-        assert p + unknown == pytest.approx(1.0)
+    block, model = small_model()
+    every = np.array([w for w in range(9) if w != lm_scoring.BEGIN])
+    reached, todo = set(), [0, int(model.first[lm_scoring.BEGIN])]
+    while todo:
+        if (s := todo.pop()) not in reached:
+            reached.add(s)
+            gained, after = model.step(np.full(len(every), s), every)
+            assert (10.0**gained).sum() == pytest.approx(1.0)  # the unknown word stands for all unknown ones
+            todo += after.tolist()
+    assert sum(s > 9 for s in reached) > 20  # states of two words
+    assert all(model.back[s] == 0 if s <= 9 else 0 < model.back[s] <= 9 for s in reached if s)
+
+
+def test_lanes_carry_the_state():
+    block, model = small_model()
+    whole = model.scores(block, lane=1 << 20)
+    for lane in (2, 3, 7):
+        assert model.scores(block, lane) == pytest.approx(whole)
+
+
+def test_messages_grow_in_proportion(spark):
+    """Rows that nodes send, over 6, 12 and 24 blocks with a fan of 4, and what a part is sent of the commonest word."""
+    from veilgrid.llm.workspace import Workspace
+
+    sent = {}
+    for blocks in (6, 12, 24):
+        rows = [(i, " ".join(f"w{(7 * i + k * k) % 900}" for k in range(99)) + " the") for i in range(blocks)]
+        made = []
+
+        class Counted(Workspace):
+            def table(self, df, label):
+                out = super().table(df, label)
+                if label == "sent":
+                    made.append((out.count(), out.groupBy("to_prefix", "to_node", "kind").count().agg({"count": "max"}).first()[0]))
+                return out
+
+        ws = Counted(spark, "t")
+        table = ws.table(lm_scoring._blocks(spark.createDataFrame(rows, "id long, t string").coalesce(1), 7, 2, 102), "blocks")
+        assert table.count() == blocks
+        lm_scoring.totals(ws, lm_scoring._ask_words_and_bigrams(table), blocks, 4)
+        sent[blocks] = sum(n for n, _ in made), max(k for _, k in made)
+    for blocks, (rows, most) in sent.items():  # two kinds, four ranges a node, levels by the logarithm
+        assert rows <= blocks * 2 * 4 * math.ceil(math.log(blocks, 4)) and most <= 16
+
+
+def test_a_doubled_text_is_scored_apart(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(60))) for i in range(0, 400)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    rows += [(1000 + i, t) for i, t in rows[:20] if zlib.crc32(str(1000 + i).encode()) % 7 != 2]
+    got = {r.id: r.score / r.n_tokens for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    twice = {i - 1000 for i in got if i >= 1000}
+    assert min(got[i] for i in twice) > max(x for i, x in got.items() if i < 1000 and i not in twice)
 
 
 def test_packing_of_numbers():

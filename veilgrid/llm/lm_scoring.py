@@ -1,21 +1,18 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a smoothed bigram model.  Words seen in training as a context are states; a state has
-an arc for each word that followed it, with the word's log-probability there, and a failure arc
-to the root, which knows every word's add-one log-probability.  A text is scored in one pass from
-left to right: the state takes the next word by its arc, or else adds its failure weight and takes the
-word from the root; the word then names the next state.
-
-Smoothing: ``p(w | h) = (c(h, w) + t(h) p(w)) / (c(h) + t(h))`` as of Witten and Bell, where t(h), the
-number of different words after h, is estimated by Heaps' law ``a c(h) ** HEAPS`` with ``a`` set so
-that the sum over all contexts is the true number of different bigrams.
-
-No task holds the whole model.  Texts become blocks of token numbers with a block vocabulary.
-Each block sends its different words and bigrams, as sorted hashes with training counts, to
-the parts of the hash range; a part adds up and sends each block the totals of what it asked,
-in the same order; a block compiles the automaton of its own words from them and scores its texts.
-All that travels is packed, and a part holds a bounded number of entries however
-frequent a word is, since a block asks for a word once.
+The model is a smoothed trigram model.  Its states are the root, the words, and the bigrams seen at least ``MIN_CONTEXT``
+times in training; a state has an arc for each word that followed it there, with the word's log-probability and the
+state that comes next (the longest end of what has been read that is a state), and a failure arc to the state that is one
+word shorter, with the weight of backing off.  A text is scored in one traversal from left to right that carries the
+state: while the state has no arc for the next word the failure arcs are taken and their weights added, at last the root's arc.
+
+Smoothing is Dirichlet's, as of MacKay and Peto: ``p(w | h) = (c(h, w) + m p(w | h')) / (c(h) + m)``, h' being h without its
+first word, down to the add-one estimate of words alone.  All counts are exact, and each state's probabilities sum to 1.
+
+No task holds the whole model.  Texts become blocks of token numbers with a block vocabulary.  Blocks learn the
+training totals of their own words and bigrams, then of the trigrams that follow a bigram which is a state, through a
+combining tree (``totals``); each compiles the automaton of its own n-grams and scores its pieces.  Rows and bytes that
+travel grow with the number of blocks (times the levels of the tree), and what a task holds is about a block however frequent a word is.
 """
 
 from __future__ import annotations
@@ -34,17 +31,22 @@ from xxhash import xxh64_intdigest
 
 from veilgrid.llm.workspace import Workspace, slices
 
-#: Exponent of the growth of the number of different words after a context.
-HEAPS = 0.9
-#: Tokens of a block; a longer text is a block of its own.
-BLOCK = 1 << 21
-#: Entries that a part is asked for in all, about.
-PART = 1 << 21
+#: Counts that the shorter history's estimate weighs as, after a word and after a bigram.
+MASS = (4.0, 1.0)
+#: A bigram is a state if it was seen so often in training.
+MIN_CONTEXT = 2
+#: Tokens of a block; a longer text is cut into pieces of that length.
+BLOCK = 1 << 20
+#: Nodes that combine their counts at a time.
+FAN = 256
+#: Tokens that are scored one after the other; longer pieces are read in so many lanes.
+LANE = 256
 # Local numbers and hashes of the end of a text and of its beginning (a space is in no word).
 END, BEGIN = 0, 1
 MARKS = (b" end", b" begin")
 
 _U64 = np.dtype("<u8")
+_BEGIN = _U64.type(xxh64_intdigest(MARKS[BEGIN]))
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -72,8 +74,8 @@ def is_held_out(doc_id: int | None, of: int, rest: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % of == rest
 
 
-def bigram_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hash of a pair of word hashes."""
+def ngram_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from those of its beginning and its last word."""
     x = first * _U64.type(0x9E3779B97F4A7C15) ^ second
     x = (x ^ (x >> _U64.type(32))) * _U64.type(0xD6E8FEB86659FD93)
     x = (x ^ (x >> _U64.type(29))) * _U64.type(0xBF58476D1CE4E5B9)
@@ -82,64 +84,99 @@ def bigram_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Texts as numbers of a vocabulary of their own, ends included."""
+    """Pieces of texts as numbers of a vocabulary of their own.
+
+    A piece begins with the tokens it only reads as context (``leads`` of them): the beginning of the text, or the last two of the piece before.
+    """
 
     number: int
+    rows: np.ndarray
     ids: list[int | None]
     lengths: np.ndarray
+    leads: np.ndarray
     held: np.ndarray
     tokens: np.ndarray
     hashes: np.ndarray  # of the vocabulary
 
-    def contexts(self) -> np.ndarray:
-        """The number before each token."""
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[np.cumsum(self.lengths) - self.lengths] = BEGIN
-        return before
+    def __post_init__(self) -> None:
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)
+        self.scored = self.place >= np.repeat(self.leads, self.lengths)
+        self.learnt = self.scored & ~np.repeat(self.held, self.lengths)
+
+    def words(self) -> np.ndarray:
+        """How often each word is learnt; for the beginning, the texts."""
+        n = np.bincount(self.tokens[self.learnt], minlength=len(self.hashes))
+        n[BEGIN] = int((~self.held & (self.leads == 1)).sum())
+        return n
+
+    def bigrams(self) -> Ngrams:
+        at = np.flatnonzero(self.place >= 1)
+        codes = self.tokens[at - 1] * len(self.hashes) + self.tokens[at]
+        return Ngrams.of(codes, at, self.learnt, ngram_keys(self.hashes[self.tokens[at - 1]], self.hashes[self.tokens[at]]), len(self.tokens))
+
+    def trigrams(self, bigrams: Ngrams, state: np.ndarray) -> Ngrams:
+        """Those after a bigram that is a state."""
+        at = np.flatnonzero(self.scored & (self.place >= 2))
+        at = at[state[bigrams.number[at - 1]]]
+        context = bigrams.number[at - 1]
+        codes = context * len(self.hashes) + self.tokens[at]
+        return Ngrams.of(codes, at, self.learnt, ngram_keys(bigrams.keys[context], self.hashes[self.tokens[at]]), len(self.tokens))
+
 
-    def learnt(self) -> np.ndarray:
-        """Which tokens are learnt from."""
-        return np.repeat(~self.held, self.lengths)
+@dataclass
+class Ngrams:
+    """Distinct n-grams of a block: their codes, sorted; their hashes; how often each is learnt; the number of that which ends at a token, or -1."""
+
+    codes: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
+    number: np.ndarray
 
-    def asked(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Sorted word hashes with their numbers, and sorted bigram keys with first places and each token's place among them."""
-        order = np.argsort(self.hashes, kind="stable")
-        keys, first, inverse = np.unique(bigram_keys(self.hashes[self.contexts()], self.hashes[self.tokens]), return_index=True, return_inverse=True)
-        return (self.hashes[order], order), (keys, first, inverse)
+    @classmethod
+    def of(cls, codes: np.ndarray, at: np.ndarray, learnt: np.ndarray, keys: np.ndarray, tokens: int) -> Ngrams:
+        every, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
+        number = np.full(tokens, -1, np.int64)
+        number[at] = inverse
+        return cls(every, keys[first], np.bincount(inverse[learnt[at]], minlength=len(every)), number)
 
 
-_BLOCK = "block long, ids array<long>, lengths binary, held binary, tokens binary, hashes binary"
+_BLOCK = "block long, rows binary, ids array<long>, lengths binary, leads binary, held binary, tokens binary, hashes binary"
 
 
 def _blocks(source: DataFrame, of: int, rest: int, block: int) -> DataFrame:
-    kinds = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64()))] + [(c, pa.binary()) for c in ("lengths", "held", "tokens", "hashes")])
+    kinds = pa.schema([("block", pa.int64()), ("rows", pa.binary()), ("ids", pa.list_(pa.int64()))] + [(c, pa.binary()) for c in ("lengths", "leads", "held", "tokens", "hashes")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, n = TaskContext.get().partitionId() << 32, 0
-        ids: list = []
-        parts: list[np.ndarray] = []
+        base, n, row = TaskContext.get().partitionId() << 32, 0, TaskContext.get().partitionId() << 32
+        rows, ids, leads, parts, size = [], [], [], [], 0
         words: dict[bytes, int] = {MARKS[0]: END, MARKS[1]: BEGIN}
-        size = 0
 
         def flush() -> pa.RecordBatch:
             hashes = np.array([xxh64_intdigest(w) for w in words], _U64)
-            row = {
-                "block": base + n, "ids": ids, "lengths": pack(np.array([len(p) for p in parts])), "held": pack(np.array([is_held_out(i, of, rest) for i in ids])),
-                "tokens": pack(np.concatenate(parts)), "hashes": hashes.tobytes(),
+            out = {
+                "block": base + n, "rows": pack(np.array(rows)), "ids": ids, "lengths": pack(np.array([len(p) for p in parts])), "leads": pack(np.array(leads)),
+                "held": pack(np.array([is_held_out(i, of, rest) for i in ids])), "tokens": pack(np.concatenate(parts)), "hashes": hashes.tobytes(),
             }
-            return pa.RecordBatch.from_pylist([row], schema=kinds)
+            return pa.RecordBatch.from_pylist([out], schema=kinds)
 
         for batch in slices(batches):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 found = (t.as_py() or b"").lower().split()
-                if size and size + len(found) > block:
-                    yield flush()
-                    n, ids, parts, words, size = n + 1, [], [], {MARKS[0]: END, MARKS[1]: BEGIN}, 0
-                number = words.setdefault
-                ids.append(i)
-                parts.append(np.array([*(number(w, len(words)) for w in found), END], np.uint32))
-                size += len(found) + 1
+                found = [MARKS[BEGIN], *found, MARKS[END]]
+                for at in range(1, len(found), block):  # a text of any length, so many tokens at a time
+                    lead = 1 if at == 1 else 2
+                    piece = found[at - lead : at + block]
+                    if size and size + len(piece) > block:
+                        yield flush()
+                        n, rows, ids, leads, parts, words, size = n + 1, [], [], [], [], {MARKS[0]: END, MARKS[1]: BEGIN}, 0
+                    number = words.setdefault
+                    rows.append(row)
+                    ids.append(i)
+                    leads.append(lead)
+                    parts.append(np.array([number(w, len(words)) for w in piece], np.uint32))
+                    size += len(piece)
+                row += 1
         if size:
             yield flush()
 
@@ -147,178 +184,300 @@ def _blocks(source: DataFrame, of: int, rest: int, block: int) -> DataFrame:
 
 
 def _block_of(row: dict) -> Block:
-    return Block(row["block"], row["ids"], unpack(row["lengths"]).astype(np.int64), unpack(row["held"]).astype(bool), unpack(row["tokens"]).astype(np.int64), np.frombuffer(row["hashes"], _U64))
+    number = lambda c: unpack(row[c]).astype(np.int64)
+    return Block(row["block"], number("rows"), row["ids"], number("lengths"), number("leads"), number("held").astype(bool), number("tokens"), np.frombuffer(row["hashes"], _U64))
 
 
-def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part's stretch of sorted keys begins, and the end."""
-    part = ((keys >> _U64.type(32)) * _U64.type(parts)) >> _U64.type(32)
-    return np.searchsorted(part, np.arange(parts + 1))
+# Totals of sparse counts by a combining tree.
 
+_ASKED = "prefix long, node long, kind long, keys binary, counts binary"
+_ANSWER = "prefix long, node long, kind long, range long, sums binary"
+_SENT = "to_prefix long, to_node long, kind long, prefix long, node long, range long, keys binary, counts binary, sums binary"
 
-def _ask(blocks: DataFrame, parts: int) -> DataFrame:
-    """``(part, block, kind, keys, counts)``: what each block asks each part for; kind 1: words, 2: bigrams."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _block_of(row)
-                (hashes, order), (keys, _, inverse) = b.asked()
-                learnt = b.learnt()
-                words = np.bincount(b.tokens[learnt], minlength=len(b.hashes))
-                words[BEGIN] = (~b.held).sum()
-                pairs = np.bincount(inverse[learnt], minlength=len(keys))
-                for kind, asked, counts in ((1, hashes, words[order]), (2, keys, pairs)):
-                    at = _bounds(asked, parts)
-                    rows = [(p, pack_sorted(asked[at[p] : at[p + 1]]), pack(counts[at[p] : at[p + 1]])) for p in range(parts) if at[p] < at[p + 1]]
-                    yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([b.number] * len(rows), pa.int64()), pa.array([kind] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "block", "kind", "keys", "counts"])
+def _asked(prefix: int, node: int, kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(keys, kind="stable")
+    return pa.record_batch([[prefix], [node], [kind], [pack_sorted(keys[order])], [pack(counts[order])]], names=[c.split()[0] for c in _ASKED.split(", ")])
 
-    return blocks.mapInArrow(run, "part long, block long, kind long, keys binary, counts binary")
 
+def totals(ws: Workspace, asked: DataFrame, nodes: int, fan: int = FAN, used: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Sums over all nodes: ``(answers, stats)`` of ``asked`` (sorted hashes with counts of each node and kind).
 
-_ANSWER = "block long, kind long, part long, counts binary, types long, heaps double"
-
-
-def _answer(asked: DataFrame) -> DataFrame:
-    """Totals for each block in the order of its question, and a row of statistics (block -1) for each part and kind."""
-    begin = _U64.type(xxh64_intdigest(MARKS[BEGIN]))
-    kinds = pa.schema([("block", pa.int64()), ("kind", pa.int64()), ("part", pa.int64()), ("counts", pa.binary()), ("types", pa.int64()), ("heaps", pa.float64())])
+    Each node's keys are cut into ranges; groups of about ``fan`` nodes combine their counts range by range; the groups'
+    sums go the same way, until one group is left.  Totals come back along the same edges, in the order of the keys asked.
+    A node sends ``fan`` rows at most whatever the number of nodes, levels are the logarithm of it, and a key that every
+    node has is combined ``fan`` at a time.  answers: rows ``(prefix, node, kind, range, sums)``, to be put together by range;
+    stats: ``(kind, types)``, distinct keys with a count in parts.  used: bits of the keys that nodes at this level share.
+    """
+    groups, bits = max(1, -(-nodes // fan)), max(0, min(nodes, fan) - 1).bit_length()
+    names = [c.split()[0] for c in _SENT.split(", ")]
+    kinds = pa.schema([(c, pa.binary() if c in ("keys", "counts", "sums") else pa.int64()) for c in names])
 
-    def total(kind: int, part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, counts = unpack_sorted(r["keys"]), unpack(r["counts"])
+                part = (keys << _U64.type(used)) >> _U64.type(64 - bits) if bits else np.zeros(len(keys), _U64)
+                at = np.searchsorted(part, np.arange((1 << bits) + 1))
+                group = xxh64_intdigest(str(r["node"])) % groups
+                for p in np.flatnonzero(np.diff(at)).tolist():
+                    k = slice(at[p], at[p + 1])
+                    row = {"to_prefix": r["prefix"] << bits | p, "to_node": group, "kind": r["kind"], "prefix": r["prefix"], "node": r["node"], "range": p, "keys": pack_sorted(keys[k]), "counts": pack(counts[k]), "sums": None}
+                    yield pa.RecordBatch.from_pylist([row], schema=kinds)
+
+    def combined(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Each row's keys, all of them, and for each of the rows' keys its place among all."""
         keys = [unpack_sorted(r["keys"]) for r in rows]
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inverse, weights=np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.float64), minlength=len(every)).astype(np.int64)
-        seen = sums > 0
-        heaps = float(np.power(sums[seen].astype(np.float64), HEAPS).sum()) if kind == 1 else 0.0
-        types = int((seen & (every != begin)).sum()) if kind == 1 else int(seen.sum())
-        yield pa.RecordBatch.from_pylist([{"block": -1, "kind": kind, "part": part, "counts": None, "types": types, "heaps": heaps}], schema=kinds)
+        return keys, every, inverse
+
+    def sums(rows: list[dict], every: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        return np.bincount(inverse, weights=np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.float64), minlength=len(every)).astype(np.int64)
+
+    def answer(rows: list[dict], keys: list[np.ndarray], inverse: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = 0
         for r, k in zip(rows, keys, strict=True):
-            yield pa.RecordBatch.from_pylist([{"block": r["block"], "kind": kind, "part": part, "counts": pack(sums[inverse[at : at + len(k)]]), "types": None, "heaps": None}], schema=kinds)
+            yield pa.record_batch([[r["prefix"]], [r["node"]], [r["kind"]], [r["range"]], [pack(total[inverse[at : at + len(k)]])]], names=["prefix", "node", "kind", "range", "sums"])
             at += len(k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if (row["part"], row["kind"]) != key:
-                    if held:
-                        yield from total(key[1], key[0], held)
-                    key, held = (row["part"], row["kind"]), []
-                held.append(row)
-        if held:
-            yield from total(key[1], key[0], held)
-
-    return asked.repartition("part", "kind").sortWithinPartitions("part", "kind", "block").mapInArrow(run, _ANSWER)
+    def up(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        _, every, inverse = combined(rows)
+        yield _asked(rows[0]["to_prefix"], rows[0]["to_node"], rows[0]["kind"], every, sums(rows, every, inverse))
+
+    def down(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        own = [r for r in rows if r["sums"] is None]
+        keys, _, inverse = combined(own)
+        yield from answer(own, keys, inverse, np.concatenate([unpack(r["sums"]).astype(np.int64) for r in rows if r["sums"] is not None]))
+
+    def whole(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        keys, every, inverse = combined(rows)
+        total = sums(rows, every, inverse)
+        types = int(((total > 0) & (every != _BEGIN)).sum())
+        yield pa.record_batch([[-1], [-1], [rows[0]["kind"]], [types], [None]], schema=pa.schema([(c, pa.binary() if c == "sums" else pa.int64()) for c in ("prefix", "node", "kind", "range", "sums")]))
+        yield from answer(rows, keys, inverse, total)
+
+    def by_node(work, sent: DataFrame, schema: str) -> DataFrame:
+        keys = ["to_prefix", "to_node", "kind"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, held = None, []
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if (now := tuple(row[c] for c in keys)) != key:
+                        if held:
+                            yield from work(held)
+                        key, held = now, []
+                    held.append(row)
+            if held:
+                yield from work(held)
+
+        return sent.repartition(*keys).sortWithinPartitions(*keys, F.col("sums").isNotNull(), "node", "prefix", "range").mapInArrow(run, schema)
+
+    sent = asked.mapInArrow(split, _SENT)
+    if groups == 1:
+        every = ws.table(by_node(whole, sent, _ANSWER), "answers")
+        return every.where("node >= 0"), every.where("node < 0").select("kind", F.col("range").alias("types"))
+    sent = ws.table(sent, "sent")
+    higher, stats = totals(ws, ws.table(by_node(up, sent, _ASKED), "combined"), groups, fan, used + bits)
+    back = higher.select(F.col("prefix").alias("to_prefix"), F.col("node").alias("to_node"), "kind", "range", "sums")
+    return ws.table(by_node(down, sent.unionByName(back, allowMissingColumns=True).select(*names), _ANSWER), "answers"), stats
 
 
 @dataclass
 class Automaton:
-    """States are word numbers; a state without a context count is the root itself."""
+    """States are numbers, 0 is the root, which has an arc for every word."""
 
-    width: int
+    width: int  # words
     arcs: np.ndarray  # sorted state * width + word
     weights: np.ndarray
-    failure: np.ndarray  # by state; 0 for the root
-    root: np.ndarray  # by word
-
-    def score(self, words: np.ndarray) -> float:
-        """Log10 probability of a text.
-
-        A word alone names the state after it, so the states of the pass are the text itself,
-        one place behind, and all steps are looked up together.
+    targets: np.ndarray
+    failure: np.ndarray  # weight by state
+    back: np.ndarray  # state after a failure
+    root: np.ndarray  # weight by word
+    first: np.ndarray  # state after the root's arc by word
+
+    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One word from each state: weights and next states."""
+        gained, now, after = np.zeros(len(states)), states.copy(), np.empty_like(states)
+        left = np.arange(len(states))
+        while len(left):
+            s, w = now[left], words[left]
+            done = s == 0
+            at = left[done]
+            gained[at] += self.root[w[done]]
+            after[at] = self.first[w[done]]
+            left, s, w = left[~done], s[~done], w[~done]
+            if not len(left):
+                break
+            keys = s * self.width + w
+            place = np.minimum(np.searchsorted(self.arcs, keys), len(self.arcs) - 1)
+            hit = self.arcs[place] == keys if len(self.arcs) else np.zeros(len(keys), bool)
+            gained[left[hit]] += self.weights[place[hit]]
+            after[left[hit]] = self.targets[place[hit]]
+            left, s = left[~hit], s[~hit]
+            gained[left] += self.failure[s]
+            now[left] = self.back[s]
+        return gained, after
+
+    def scores(self, block: Block, lane: int = LANE) -> np.ndarray:
+        """Log10 probability of every piece of a block, left to right, many pieces abreast.
+
+        Long pieces go in lanes, each of which first reads the two tokens before it; these fix its state.
         """
-        states = np.concatenate([[BEGIN], words[:-1]])
-        keys = states * self.width + words
-        at = np.searchsorted(self.arcs, keys)
-        at[at == len(self.arcs)] = 0
-        taken = self.arcs[at] == keys if len(self.arcs) else np.zeros(len(keys), bool)
-        failed = self.failure[states] + self.root[words]
-        return float((np.where(taken, self.weights[at], failed) if len(self.arcs) else failed).sum())
-
-
-def compile_automaton(width: int, words: np.ndarray, contexts: np.ndarray, firsts: np.ndarray, seconds: np.ndarray, pairs: np.ndarray, n: int, v: int, heaps: float) -> Automaton:
-    """words: token counts by word; contexts: context counts by word; pairs: counts of the bigrams (firsts, seconds); heaps: the factor a."""
-    p = (words + 1) / (n + v + 1)
-    t = np.minimum(contexts, np.maximum(1.0, heaps * np.power(contexts.astype(np.float64), HEAPS)))
-    state = contexts > 0
-    failure = np.zeros(width)
-    failure[state] = np.log10(t[state] / (contexts[state] + t[state]))
-    arc = pairs > 0
-    a, b, c = firsts[arc], seconds[arc], pairs[arc]
-    weights = np.log10((c + t[a] * p[b]) / (contexts[a] + t[a]))
-    keys = a * width + b
-    order = np.argsort(keys)
-    return Automaton(width, keys[order], weights[order], failure, np.log10(p))
-
-
-def _score(blocks: DataFrame, answers: DataFrame, n: int, v: int, heaps: float) -> DataFrame:
-    """Scores of every text, block by block: its row first, then what the parts answered it."""
-
-    def texts(b: Block, words: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
-        (_, order), (_, first, _) = b.asked()
-        counts = np.empty(len(b.hashes), np.int64)
-        counts[order] = words
-        contexts = counts.copy()
-        contexts[END] = counts[BEGIN] = 0
-        before = b.contexts()
-        model = compile_automaton(len(b.hashes), counts, contexts, before[first], b.tokens[first], pairs, n, v, heaps)
-        base, known = np.log10((counts + 1) / (n + v + 1)), counts > 0
-        rows: tuple[list, ...] = ([], [], [])
-        at = 0
-        for size in b.lengths:
-            own = b.tokens[at : at + size]
-            for column, x in zip(rows, (int(known[own].sum()), float(base[own].sum()), model.score(own)), strict=True):
-                column.append(x)
-            at += size
-        return pa.record_batch([pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.lengths, pa.int64()), pa.array(rows[0], pa.int64()), pa.array([n] * len(b.ids), pa.int64()), pa.array(rows[1], pa.float64()), pa.array(rows[2], pa.float64())], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        piece = np.repeat(np.arange(len(block.lengths)), np.maximum(1, -(-(block.lengths - block.leads) // lane)))
+        turn = np.arange(len(piece)) - np.searchsorted(piece, piece)
+        start = block.starts[piece] + block.leads[piece] + turn * lane
+        steps = np.minimum(block.starts[piece] + block.lengths[piece] - start, lane)
+        order = np.argsort(-steps, kind="stable")
+        start, steps, piece, turn = start[order], steps[order], piece[order], turn[order]
+        states = np.zeros(len(piece), np.int64)
+        fresh = (turn == 0) & (block.leads[piece] == 1)
+        states[fresh] = self.first[BEGIN]
+        warm = np.flatnonzero(~fresh)
+        for back in (2, 1):
+            _, states[warm] = self.step(states[warm], block.tokens[start[warm] - back])
+        total = np.zeros(len(piece))
+        for k in range(int(steps[0]) if len(steps) else 0):
+            n = int(np.searchsorted(-steps, -k))  # lanes with a word left
+            gained, states[:n] = self.step(states[:n], block.tokens[start[:n] + k])
+            total[:n] += gained
+        return np.bincount(piece, weights=total, minlength=len(block.lengths))
+
+
+def compile_automaton(words: np.ndarray, bigrams: Ngrams, pairs: np.ndarray, trigrams: Ngrams, triples: np.ndarray, n: int, v: int) -> Automaton:
+    """words, pairs, triples: training totals of the block's words (of the beginning: texts), bigrams and trigrams."""
+    width = len(words)
+    p1 = (words + 1) / (n + v + 1)
+    contexts = words.copy()
+    contexts[END] = 0
+    word_state = np.where(contexts > 0, np.arange(width) + 1, 0)
+    a, b = bigrams.codes // width, bigrams.codes % width
+    p2 = (pairs + MASS[0] * p1[b]) / (contexts[a] + MASS[0])
+    own = is_state(bigrams, pairs, width)
+    after = np.where(own, 1 + width + np.arange(len(own)), word_state[b])  # state that a bigram leaves
+    two = np.flatnonzero(pairs > 0)
+    context, w = trigrams.codes // width, trigrams.codes % width
+    # the bigram of the last two words is in the block too
+    last = np.searchsorted(bigrams.codes, b[context] * width + w) if len(context) else context
+    three = np.flatnonzero(triples > 0)
+    weights3 = (triples[three] + MASS[1] * p2[last[three]]) / (pairs[context[three]] + MASS[1])
+    arcs = np.concatenate([(1 + a[two]) * width + b[two], (1 + width + context[three]) * width + w[three]])
+    failure, back = np.zeros(1 + width + len(own)), np.zeros(1 + width + len(own), np.int64)
+    failure[1 : 1 + width] = np.log10(MASS[0] / (contexts + MASS[0]))
+    failure[1 + width :] = np.log10(MASS[1] / (pairs + MASS[1]))
+    back[1 + width :] = word_state[b]
+    # both parts are sorted, and the second's states are higher
+    return Automaton(width, arcs, np.log10(np.concatenate([p2[two], weights3])), np.concatenate([after[two], after[last[three]]]), failure, back, np.log10(p1), word_state)
+
+
+def is_state(bigrams: Ngrams, pairs: np.ndarray, width: int) -> np.ndarray:
+    """Which bigrams are states: learnt often enough, and not the end of a text."""
+    return (pairs >= MIN_CONTEXT) & (bigrams.codes % width != END)
+
+
+def _meet(blocks: DataFrame, answers: DataFrame, work, schema: str) -> DataFrame:
+    """``work(block, sums by kind)`` for every block with what it was answered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, got = None, {1: [], 2: []}
+        block, got = None, {}
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            yield from work(block, {k: np.concatenate(x).astype(np.int64) for k, x in got.items()})
+
         for batch in batches:
             for row in batch.to_pylist():
                 if row["kind"] == 0:
                     if block:
-                        yield texts(block, *(np.concatenate(got[k]).astype(np.int64) for k in (1, 2)))
-                    block, got = _block_of(row), {1: [], 2: []}
+                        yield from settle()
+                    block, got = _block_of(row), {}
                 else:
-                    got[row["kind"]].append(unpack(row["counts"]))
+                    got.setdefault(row["kind"], []).append(unpack(row["sums"]))
         if block:
-            yield texts(block, *(np.concatenate(got[k]).astype(np.int64) for k in (1, 2)))
+            yield from settle()
+
+    own = blocks.withColumns({"kind": F.lit(0).cast("long"), "range": F.lit(0).cast("long"), "sums": F.lit(None).cast("binary")})
+    theirs = answers.select(F.col("node").alias("block"), "kind", "range", "sums")
+    return own.unionByName(theirs, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind", "range").mapInArrow(run, schema)
+
+
+def _ordered(keys: np.ndarray, sums: np.ndarray | None) -> np.ndarray:
+    """Sums that came in the order of the sorted keys, in that of ``keys``."""
+    out = np.zeros(len(keys), np.int64)
+    if sums is not None:
+        out[np.argsort(keys, kind="stable")] = sums
+    return out
+
+
+def _ask_words_and_bigrams(blocks: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = _block_of(row)
+                yield _asked(0, b.number, 1, b.hashes, b.words())
+                pairs = b.bigrams()
+                yield _asked(0, b.number, 2, pairs.keys, pairs.counts)
+
+    return blocks.mapInArrow(run, _ASKED)
+
+
+def _ask_trigrams(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    def work(b: Block, got: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pairs = b.bigrams()
+        triples = b.trigrams(pairs, is_state(pairs, _ordered(pairs.keys, got.get(2)), len(b.hashes)))
+        if len(triples.keys):
+            yield _asked(0, b.number, 3, triples.keys, triples.counts)
+
+    return _meet(blocks, answers.where("kind = 2"), work, _ASKED)
+
+
+_SCORE = "row long, id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(blocks: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
+    """Scores of every piece of a text."""
+
+    def work(b: Block, got: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words, bigrams = _ordered(b.hashes, got.get(1)), b.bigrams()
+        pairs = _ordered(bigrams.keys, got.get(2))
+        trigrams = b.trigrams(bigrams, is_state(bigrams, pairs, len(words)))
+        model = compile_automaton(words, bigrams, pairs, trigrams, _ordered(trigrams.keys, got.get(3)), n, v)
+        base = np.where(b.scored, np.log10((words + 1) / (n + v + 1))[b.tokens], 0.0)
+        known = (b.scored & (words > 0)[b.tokens]).astype(np.int64)
+        columns = [
+            pa.array(b.rows), pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.lengths - b.leads), pa.array(np.add.reduceat(known, b.starts)), pa.array(np.full(len(b.rows), n)),
+            pa.array(np.add.reduceat(base, b.starts)), pa.array(model.scores(b)),
+        ]
+        yield pa.record_batch(columns, names=[c.split()[0] for c in _SCORE.split(", ")])
 
-    own = blocks.select("block", F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("part"), F.lit(None).cast("binary").alias("counts"), "ids", "lengths", "held", "tokens", "hashes")
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<bigint>"), ("lengths", "binary"), ("held", "binary"), ("tokens", "binary"), ("hashes", "binary"))]
-    theirs = answers.where("block >= 0").select("block", "kind", "part", "counts", *empty)
-    dealt = own.union(theirs).repartition("block").sortWithinPartitions("block", "kind", "part")
-    return dealt.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _meet(blocks, answers, work, _SCORE)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: int = 7, rest: int = 2, block: int = BLOCK, part: int = PART) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: int = 7, rest: int = 2, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
     Documents whose CRC-32 of the id modulo ``of`` is ``rest`` are held out: scored, not learnt from.
     Null and blank texts are one token, the end.  Rows with a null id are scored like others
     (their id counts as an empty text); repeated rows are learnt from and scored each; an
-    empty table gives no rows.  Without any training text every token is unknown.
+    empty table gives no rows.  Without any training text every token is unknown.  A text of more than a block is
+    scored in pieces, each of which reads the two tokens before it.
     """
     ws = Workspace(docs.sparkSession, "lm")
     blocks = ws.table(_blocks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), of, rest, block), "blocks")
-    sizes = ws.table(_sizes(blocks), "sizes")
-    tokens, n = (int(x or 0) for x in sizes.agg(F.sum("tokens"), F.sum("learnt")).first())
-    answers = ws.table(_answer(_ask(blocks, max(1, -(-tokens // part)))), "answers")
-    stats = {r.kind: r for r in answers.where("block = -1").groupBy("kind").agg(F.sum("types").alias("types"), F.sum("heaps").alias("heaps")).collect()}
-    v = stats[1].types if 1 in stats else 0
-    heaps = stats[2].types / stats[1].heaps if 1 in stats and stats[1].heaps else 1.0
-    return ws.table(_score(blocks, answers, n, v, round(heaps, 9)), "scores")
+    nodes, n = blocks.count(), int(_learnt(blocks).agg(F.sum("learnt")).first()[0] or 0)
+    first, stats = totals(ws, _ask_words_and_bigrams(blocks), nodes, fan)
+    v = int(stats.where("kind = 1").agg(F.sum("types")).first()[0] or 0)
+    second, _ = totals(ws, ws.table(_ask_trigrams(blocks, first), "trigrams"), nodes, fan)
+    pieces = ws.table(_score(blocks, first.union(second), n, v), "scores")
+    whole = [F.sum(c).alias(c) for c in ("n_tokens", "n_known")] + [F.first("train_tokens").alias("train_tokens")] + [F.sum(c).alias(c) for c in ("base_score", "score")]
+    return pieces.groupBy("row", "id", "held_out").agg(*whole).drop("row")
 
 
-def _sizes(blocks: DataFrame) -> DataFrame:
-    """Tokens of each block, and of those the learnt."""
+def _learnt(blocks: DataFrame) -> DataFrame:
+    """Tokens of each block that are learnt from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = [unpack(x.as_py()).astype(np.int64) for x in batch.column(0)]
-            held = [unpack(x.as_py()).astype(bool) for x in batch.column(1)]
-            yield pa.record_batch([pa.array([int(x.sum()) for x in lengths], pa.int64()), pa.array([int(x[~h].sum()) for x, h in zip(lengths, held, strict=True)], pa.int64())], names=["tokens", "learnt"])
+            lengths, leads, held = ([unpack(x.as_py()).astype(np.int64) for x in batch.column(k)] for k in range(3))
+            yield pa.record_batch([pa.array([int((n - k)[h == 0].sum()) for n, k, h in zip(lengths, leads, held, strict=True)], pa.int64())], names=["learnt"])
 
-    return blocks.select("lengths", "held").mapInArrow(run, "tokens long, learnt long")
+    return blocks.select("lengths", "leads", "held").mapInArrow(run, "learnt long")

@@ -36,7 +36,7 @@ MASS = (4.0, 1.0)
 #: A bigram is a state if it was seen so often in training.
 MIN_CONTEXT = 2
 #: Tokens of a block; a longer text is cut into pieces of that length.
-BLOCK = 1 << 20
+BLOCK = 3 << 18
 #: Nodes that combine their counts at a time.
 FAN = 256
 #: Tokens that are scored one after the other; longer pieces are read in so many lanes.

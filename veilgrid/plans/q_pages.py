@@ -223,33 +223,32 @@ def s10_s11_word_boxes(spark, sf_dir):
 
 
 # ---- joins: pages of ten entities and ten elements, from events
-_PAIR = "SELECT event_id % 200 AS page_id, event_id // 200 % 10 AS idx, event_id AS id FROM events WHERE event_id < 2000"
 _ELEMENT_NAMES = ("password", "e-mail box", "row 3", "plain", "sign-in", "cc", "", "telephone", "grid", "x")
 
 
 def _page_elements(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 2000")
+    e = table(spark, sf_dir, "events")
     i = F.col("event_id")
-    idx = (F.floor(i / 200) % 10).cast("int")
+    idx, kind = (i % 10).cast("int"), (i + F.floor(i / 10)) % 10
     none = lambda n: F.lit(None).cast("string").alias(n)
     box = F.struct(*[F.expr(x).cast("double").alias(n) for x, n in zip(_BOX[:4], ("x", "y", "width", "height"), strict=True)])
     return e.select(
-        (i % 200).alias("page_id"), idx.alias("idx"), F.lit("div").alias("tag_name"), F.element_at(F.array(*[F.lit(x) for x in _ELEMENT_NAMES]), (i % 10).cast("int") + 1).alias("text"), none("type"), none("name"), none("placeholder"), none("value"), none("id"), none("class_name"),
-        F.concat(F.lit("#e"), idx.cast("string")).alias("selector"), F.when(i % 10 == 5, "cc-csc").when(i % 10 == 7, "tel").alias("autocomplete"), none("aria_label"), F.lit("text").alias("input_type"), F.lit(True).alias("is_visible"), F.lit(False).alias("is_input"), F.lit(False).alias("is_button"), F.lit(False).alias("is_link"), box.alias("rect"),
+        F.floor(i / 10).alias("page_id"), idx.alias("idx"), F.lit("div").alias("tag_name"), F.element_at(F.array(*[F.lit(x) for x in _ELEMENT_NAMES]), kind.cast("int") + 1).alias("text"), none("type"), none("name"), none("placeholder"), none("value"), none("id"), none("class_name"),
+        F.concat(F.lit("#e"), idx.cast("string")).alias("selector"), F.when(kind == 5, "cc-csc").when(kind == 7, "tel").alias("autocomplete"), none("aria_label"), F.lit("text").alias("input_type"), F.lit(True).alias("is_visible"), F.lit(False).alias("is_input"), F.lit(False).alias("is_button"), F.lit(False).alias("is_link"), box.alias("rect"),
     )
 
 
 def _page_entities(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 2000 AND event_id % 3 = 0")
+    e = table(spark, sf_dir, "events")
     i = F.col("event_id")
     box = F.struct(*[F.expr(x).cast("double").alias(n) for x, n in zip(_BOX[4:], ("x", "y", "width", "height"), strict=True)])
     kind = F.element_at(F.array(*[F.lit(x) for x in fixed.CATEGORIES]), (i % 15).cast("int") + 1)
-    return e.select((i % 200).alias("page_id"), i.cast("string").alias("entity_id"), i.alias("pos"), kind.alias("type"), F.element_at(F.array(*[F.lit(x) for x in ("plain", "box", "none here", "row")]), (i % 4).cast("int") + 1).alias("value"), F.when(i % 5 == 0, F.concat(F.lit("#e"), (i % 10).cast("string"))).alias("dom_selector"), box.alias("bbox"), F.lit(0.8).alias("confidence"), F.lit("REGEX").alias("source"))
+    return e.select(F.floor(i / 10).alias("page_id"), i.cast("string").alias("entity_id"), i.alias("pos"), kind.alias("type"), F.element_at(F.array(*[F.lit(x) for x in ("plain", "box", "none here", "row")]), (i % 4).cast("int") + 1).alias("value"), F.when(i % 5 == 0, F.concat(F.lit("#e"), (F.floor(i / 5) % 10).cast("string"))).alias("dom_selector"), box.alias("bbox"), F.lit(0.8).alias("confidence"), F.lit("REGEX").alias("source"))
 
 
 _B = dict(zip(("ax", "ay", "aw", "ah", "bx", "by_", "bw", "bh"), _BOX, strict=True))
-_EL_ROWS = f"SELECT event_id % 200 AS page_id, CAST(event_id // 200 % 10 AS INT) AS idx, [{names(_ELEMENT_NAMES)}][CAST(event_id % 10 AS INT) + 1] AS text, '#e' || CAST(event_id // 200 % 10 AS VARCHAR) AS selector, CASE event_id % 10 WHEN 5 THEN 'cc-csc' WHEN 7 THEN 'tel' END AS autocomplete, {', '.join(f'CAST({_B[n]} AS DOUBLE) AS {n}' for n in ('ax', 'ay', 'aw', 'ah'))} FROM events WHERE event_id < 2000"
-_EN_ROWS = f"SELECT event_id % 200 AS page_id, CAST(event_id AS VARCHAR) AS entity_id, event_id AS pos, [{names(fixed.CATEGORIES)}][CAST(event_id % 15 AS INT) + 1] AS type, ['plain', 'box', 'none here', 'row'][CAST(event_id % 4 AS INT) + 1] AS value, CASE WHEN event_id % 5 = 0 THEN '#e' || CAST(event_id % 10 AS VARCHAR) END AS dom_selector, {', '.join(f'CAST({_B[n]} AS DOUBLE) AS {n}' for n in ('bx', 'by_', 'bw', 'bh'))} FROM events WHERE event_id < 2000 AND event_id % 3 = 0"
+_EL_ROWS = f"SELECT event_id // 10 AS page_id, CAST(event_id % 10 AS INT) AS idx, [{names(_ELEMENT_NAMES)}][CAST((event_id + event_id // 10) % 10 AS INT) + 1] AS text, '#e' || CAST(event_id % 10 AS VARCHAR) AS selector, CASE (event_id + event_id // 10) % 10 WHEN 5 THEN 'cc-csc' WHEN 7 THEN 'tel' END AS autocomplete, {', '.join(f'CAST({_B[n]} AS DOUBLE) AS {n}' for n in ('ax', 'ay', 'aw', 'ah'))} FROM events"
+_EN_ROWS = f"SELECT event_id // 10 AS page_id, CAST(event_id AS VARCHAR) AS entity_id, event_id AS pos, [{names(fixed.CATEGORIES)}][CAST(event_id % 15 AS INT) + 1] AS type, ['plain', 'box', 'none here', 'row'][CAST(event_id % 4 AS INT) + 1] AS value, CASE WHEN event_id % 5 = 0 THEN '#e' || CAST(event_id // 5 % 10 AS VARCHAR) END AS dom_selector, {', '.join(f'CAST({_B[n]} AS DOUBLE) AS {n}' for n in ('bx', 'by_', 'bw', 'bh'))} FROM events"
 _EL_SCORE = "CASE " + " ".join(f"WHEN regexp_matches(text, {rx('(?i)' + '|'.join(w))}) THEN {v}" for w, v in fixed.ELEMENT_TIERS) + " " + " ".join(f"WHEN contains(autocomplete, {lit(p)}) THEN {v}" for p, v in fixed.ELEMENT_AUTOCOMPLETE) + " END"
 
 
@@ -293,14 +292,14 @@ def _fuzzy_sql(a: str, b: str) -> str:
  FROM (SELECT id, {x} AS x, {y} AS y, {p} AS p, {q} AS q, {short} AS s, {long} AS l FROM ({{source}}))"""
 
 
-_FUZZY_SRC = f"SELECT event_id AS id, [{names(_FUZZY_A)}][CAST(event_id % 7 AS INT) + 1] AS a, [{names(_FUZZY_B)}][CAST(event_id // 7 % 7 AS INT) + 1] AS b FROM events WHERE event_id < 490"
+_FUZZY_SRC = f"SELECT event_id AS id, [{names(_FUZZY_A)}][CAST(event_id % 7 AS INT) + 1] AS a, [{names(_FUZZY_B)}][CAST(event_id // 7 % 7 AS INT) + 1] AS b FROM events"
 
 
 @query("j5_fuzzy_match", _fuzzy_sql("a", "b").replace("{source}", _FUZZY_SRC))
 def j5_fuzzy_match(spark, sf_dir):
     i = F.col("event_id")
     pick = lambda seq, e: F.element_at(F.array(*[F.lit(x) for x in seq]), e.cast("int") + 1)
-    return table(spark, sf_dir, "events").where("event_id < 490").select(i.alias("id"), text.fuzzy(pick(_FUZZY_A, i % 7), pick(_FUZZY_B, F.floor(i / 7) % 7)).alias("score"))
+    return table(spark, sf_dir, "events").select(i.alias("id"), text.fuzzy(pick(_FUZZY_A, i % 7), pick(_FUZZY_B, F.floor(i / 7) % 7)).alias("score"))
 
 
 @query("j4_combined_entities")
@@ -317,11 +316,11 @@ def j6_word_boxes(spark, sf_dir):
     return matching.word_boxes(e, words).select("page_id", "entity_id", "bbox.*", "confidence", "source")
 
 
-@query("j6_text_lines", "WITH w AS (SELECT event_id % 200 AS page_id, event_id // 200 % 10 AS idx, CAST(event_id * 7 % 40 AS DOUBLE) AS y FROM events WHERE event_id < 2000), m AS (SELECT *, CASE WHEN abs(y - lag(y) OVER (PARTITION BY page_id ORDER BY idx)) > 8 THEN 1 ELSE 0 END AS mv FROM w), n AS (SELECT *, sum(mv) OVER (PARTITION BY page_id ORDER BY idx) AS line FROM m) SELECT page_id, CAST(line AS BIGINT) AS line, count(*) AS n_words, min(y) AS y FROM n GROUP BY page_id, line")
+@query("j6_text_lines", "WITH w AS (SELECT event_id // 10 AS page_id, event_id % 10 AS idx, CAST(event_id * 7 % 40 AS DOUBLE) AS y FROM events), m AS (SELECT *, CASE WHEN abs(y - lag(y) OVER (PARTITION BY page_id ORDER BY idx)) > 8 THEN 1 ELSE 0 END AS mv FROM w), n AS (SELECT *, sum(mv) OVER (PARTITION BY page_id ORDER BY idx) AS line FROM m) SELECT page_id, CAST(line AS BIGINT) AS line, count(*) AS n_words, min(y) AS y FROM n GROUP BY page_id, line")
 def j6_text_lines(spark, sf_dir):
     i = F.col("event_id")
     box = F.struct(F.lit(0.0).alias("x"), (i * 7 % 40).cast("double").alias("y"), F.lit(5.0).alias("width"), F.lit(5.0).alias("height"))
-    words = table(spark, sf_dir, "events").where("event_id < 2000").select((i % 200).alias("page_id"), (F.floor(i / 200) % 10).alias("idx"), F.lit("w").alias("text"), box.alias("bbox"))
+    words = table(spark, sf_dir, "events").select(F.floor(i / 10).alias("page_id"), (i % 10).alias("idx"), F.lit("w").alias("text"), box.alias("bbox"))
     return matching.text_lines(words).select("page_id", F.col("line").cast("long").alias("line"), "n_words", "bbox.y")
 
 
@@ -331,17 +330,18 @@ def j7_located_boxes(spark, sf_dir):
     return r.select("page_id", "entity_id", F.to_json("boxes").alias("boxes"))
 
 
-@query("j8_append_new", "SELECT page_id, type, value FROM (SELECT event_id % 200 AS page_id, 'EMAIL' AS type, 'v' || CAST(event_id % 7 AS VARCHAR) AS value FROM events WHERE event_id < 600) UNION ALL SELECT DISTINCT ON (page_id, value, k) page_id, 'EMAIL', value FROM (SELECT event_id % 200 AS page_id, 'v' || CAST(event_id % 11 AS VARCHAR) AS value, event_id AS k FROM events WHERE event_id BETWEEN 600 AND 1199) x WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id < 600 AND e.event_id % 200 = x.page_id AND 'v' || CAST(e.event_id % 7 AS VARCHAR) = x.value)")
+@query("j8_append_new", "SELECT page_id, type, value FROM (SELECT event_id // 10 AS page_id, 'EMAIL' AS type, 'v' || CAST(event_id % 7 AS VARCHAR) AS value FROM events) UNION ALL SELECT DISTINCT ON (page_id, value, k) page_id, 'EMAIL', value FROM (SELECT event_id // 10 AS page_id, 'v' || CAST(event_id % 11 AS VARCHAR) AS value, event_id AS k FROM events) x WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id // 10 = x.page_id AND 'v' || CAST(e.event_id % 7 AS VARCHAR) = x.value)")
 def j8_append_new(spark, sf_dir):
     e, i = table(spark, sf_dir, "events"), F.col("event_id")
-    one = lambda w, m: e.where(w).select((i % 200).alias("page_id"), F.lit("EMAIL").alias("type"), F.concat(F.lit("v"), (i % m).cast("string")).alias("value"))
-    return matching.append_new(one("event_id < 600", 7), one("event_id BETWEEN 600 AND 1199", 11))
+    one = lambda m: e.select(F.floor(i / 10).alias("page_id"), F.lit("EMAIL").alias("type"), F.concat(F.lit("v"), (i % m).cast("string")).alias("value"))
+    return matching.append_new(one(7), one(11))
 
 
 @query("j9_find_element")
 def j9_find_element(spark, sf_dir):
     safe = firewall.safe_elements(_page_elements(spark, sf_dir))
-    asked = table(spark, sf_dir, "events").where("event_id < 200").select(F.col("event_id").alias("page_id"), F.lit(1).alias("query_id"), F.element_at(F.array(F.lit("the password field"), F.lit("telephone"), F.lit("grid row"), F.lit("zzz")), (F.col("event_id") % 4).cast("int") + 1).alias("description"))
+    asked = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10).alias("page_id")).distinct()
+    asked = asked.select("page_id", F.lit(1).alias("query_id"), F.element_at(F.array(F.lit("the password field"), F.lit("telephone"), F.lit("grid row"), F.lit("zzz")), (F.col("page_id") % 4).cast("int") + 1).alias("description"))
     return matching.find_element(safe, asked)
 
 
@@ -529,10 +529,10 @@ def f7_valid_actions(spark, sf_dir):
 _ASKED = ("search for cheap flights", "Find  Oak Street ", "click submit", "fill in my name", "what is here", "tell a joke", "look for pins")
 
 
-@query("f8_direct_search", f"SELECT id, regexp_extract(t, {rx(patterns.SEARCH_REQUEST)}, 1) AS wanted FROM (SELECT event_id AS id, [{names(_ASKED)}][CAST(event_id % 7 AS INT) + 1] AS t FROM events WHERE event_id < 700) WHERE regexp_extract(t, {rx(patterns.SEARCH_REQUEST)}, 1) <> ''")
+@query("f8_direct_search", f"SELECT id, regexp_extract(t, {rx(patterns.SEARCH_REQUEST)}, 1) AS wanted FROM (SELECT event_id AS id, [{names(_ASKED)}][CAST(event_id % 7 AS INT) + 1] AS t FROM events) WHERE regexp_extract(t, {rx(patterns.SEARCH_REQUEST)}, 1) <> ''")
 def f8_direct_search(spark, sf_dir):
     t = F.element_at(F.array(*[F.lit(x) for x in _ASKED]), (F.col("event_id") % 7).cast("int") + 1)
-    return table(spark, sf_dir, "events").where("event_id < 700").select(F.col("event_id").alias("id"), firewall.direct_search(t).alias("wanted")).where("wanted is not null")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), firewall.direct_search(t).alias("wanted")).where("wanted is not null")
 
 
 @query("f9_outbound_requests")

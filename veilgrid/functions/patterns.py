@@ -8,23 +8,26 @@ Java's own ``\\b`` isn't ASCII, and neither dialect's ``\\s`` knows the Unicode
 from __future__ import annotations
 
 _SPACES = r"\t\n\x0B\x0C\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same as text.
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _JAVA = {"{L}": "(?<![A-Za-z0-9_])", "{R}": "(?![A-Za-z0-9_])", "{B}": "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"}
 _RE2 = dict.fromkeys(("{L}", "{R}", "{B}"), r"\b")
 
 
-def _spell(pattern: str, boundaries: dict[str, str]) -> str:
+def _spell(pattern: str, boundaries: dict[str, str], space: str, other: str) -> str:
     for k, v in boundaries.items():
         pattern = pattern.replace(k, v)
     # inside a class the spaces stand alone, outside they are one
-    return pattern.replace("[{s}", "[" + _SPACES).replace("[^{s}", "[^" + _SPACES).replace("{s}]", _SPACES + "]").replace("{s}", f"[{_SPACES}]").replace("{S}", f"[^{_SPACES}]")
+    return pattern.replace("[{s}", "[" + _SPACES).replace("[^{s}", "[^" + _SPACES).replace("{s}]", _SPACES + "]").replace("{s}", space).replace("{S}", other)
 
 
 def java(pattern: str) -> str:
-    return _spell(pattern, _JAVA)
+    """In Java's dialect; printable ASCII is told apart first, as Java tests a class range by range."""
+    return _spell(pattern, _JAVA, f"[[^!-~]&&[{_SPACES}]]", f"[!-~[^{_SPACES}]]")
 
 
 def re2(pattern: str) -> str:
-    return _spell(pattern, _RE2)
+    return _spell(pattern, _RE2, f"[{_SPACES}]", f"[^{_SPACES}]")
 
 
 # Patterns whose matches are entities, in the order in which they are tried.

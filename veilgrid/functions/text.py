@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgrid.functions import fixed
-from veilgrid.functions.patterns import java
+from veilgrid.functions.patterns import SPACES, java
+
 
-_EDGES = java(r"^{s}+|{s}+$")
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once.
+
+    What a lambda takes from outside is evaluated again for each element, unless it is a column or another lambda's variable.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def trim(text: Column) -> Column:
     """Without any white space at both ends."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def strip(text: Column, pattern: str) -> Column:
@@ -27,7 +35,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces between runs of sentence punctuation that white space or the end follows; blank pieces dropped."""
-    return F.filter(F.split(text, java(r"[.!?]+(?={s}|$)")), lambda s: trim(s) != "")
+    return F.filter(F.split(text, java(r"[.!?]+(?={s}|$)")), lambda s: s.rlike(java("{S}")))
 
 
 def text_chunks(text: Column) -> Column:
@@ -36,10 +44,12 @@ def text_chunks(text: Column) -> Column:
     Words of the untrimmed sentence count, so a pair can begin or end with a space.
     """
 
+    def pairs(words: Column) -> Column:
+        both = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(F.size(words) > 1, F.filter(both, lambda p: F.length(p) > 5)).otherwise(F.array().cast("array<string>"))
+
     def chunks(sentence: Column) -> Column:
-        words = F.split(sentence, java("{s}+"))
-        pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.concat(F.array(trim(sentence)), F.when(F.size(words) > 1, F.filter(pairs, lambda p: F.length(p) > 5)).otherwise(F.array().cast("array<string>")))
+        return F.concat(F.array(trim(sentence)), let(F.split(sentence, java("{s}+")), pairs))
 
     return F.flatten(F.transform(sentences(F.coalesce(text, F.lit(""))), chunks))
 
@@ -113,11 +123,15 @@ def replace_all(text: Column, pairs: list[tuple[Column, Column]]) -> Column:
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits has a valid check digit."""
-    n = F.length(digits)
-    # from the right, every second digit is doubled and its digits added
-    value = lambda i: F.substring(digits, n - i, F.lit(1)).cast("int")
-    weigh = lambda i: F.when(i % 2 == 1, F.when(value(i) > 4, value(i) * 2 - 9).otherwise(value(i) * 2)).otherwise(value(i))
-    return F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0), lambda s, i: s + F.coalesce(weigh(i), F.lit(0))) % 10 == 0
+
+    def valid(text: Column) -> Column:
+        n = F.length(text)
+        # from the right, every second digit is doubled and its digits added
+        value = lambda i: F.substring(text, n - i, F.lit(1)).cast("int")
+        weigh = lambda i: F.when(i % 2 == 1, F.when(value(i) > 4, value(i) * 2 - 9).otherwise(value(i) * 2)).otherwise(value(i))
+        return F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0), lambda s, i: s + F.coalesce(weigh(i), F.lit(0))) % 10 == 0
+
+    return let(digits, valid)
 
 
 def fuzzy(a: Column, b: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from veilgrid.functions import fixed, patterns
 from veilgrid.functions.patterns import java
-from veilgrid.functions.text import luhn, matches, strip, surrounding, trim
+from veilgrid.functions.text import let, luhn, matches, strip, surrounding, trim
 
 FOUND = "array<struct<type:string,value:string,confidence:double>>"
 
@@ -36,9 +36,11 @@ def _entries(kind: str, values: Column, grade: Callable[[Column], Column]) -> Co
 
 
 def _first_of(values: Column, key: Callable[[Column], Column]) -> Column:
-    """Values whose key hasn't come before."""
-    keys = F.transform(values, key)
-    return F.filter(values, lambda v, i: F.array_position(keys, key(v)) == i + 1)
+    """Values whose key hasn't come before, in their order; sorted once, so many matches in one text stay cheap."""
+    marked = F.sort_array(F.transform(values, lambda v, i: F.struct(key(v).alias("k"), i.alias("i"), v.alias("v"))))
+    first = let(marked, lambda m: F.filter(m, lambda e, j: (j == 0) | ~F.get(m, j - 1)["k"].eqNullSafe(e["k"])))
+    ordered = F.sort_array(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v"))))
+    return F.transform(ordered, lambda e: e["v"])
 
 
 def _graded(value: Column, grades: tuple, last: Column | None = None) -> Column:
@@ -79,7 +81,7 @@ def valid_card(value: Column) -> Column:
 class Seen:
     """Cheap tests of a text that let most texts skip most patterns.
 
-    As columns of their own (``columns``, each with its prefix) they are evaluated once for all detectors, otherwise where they are used.
+    As columns of their own (``columns``, each with the prefix given) they are evaluated once for all detectors, otherwise where they are used.
     They are single columns, not a struct: a struct of which only fields are read is inlined into every use.
     """
 
@@ -88,21 +90,20 @@ class Seen:
         "at": (None, "@"), "digit": (None, "[0-9]"), "digits3": ("digit", "[0-9]{3}"), "digits4": ("digits3", "[0-9]{4}"), "digits6": ("digits4", "[0-9]{6}"),
         "run16": (None, "[A-Za-z0-9_-]{16}"), "key": ("run16", "(?i)key"), "eyj": (None, "eyJ"), "bearer": (None, "(?i)bearer"), "session": ("run16", "(?i)sess|sid|token|jwt"),
     }
-    PREFIX = "__seen_"
 
-    def __init__(self, text: Column, as_columns: bool = False):
-        self._text, self._as_columns = text, as_columns
+    def __init__(self, text: Column, prefix: str | None = None):
+        self._text, self._prefix = text, prefix
 
     def __getattr__(self, name: str) -> Column:
-        if self._as_columns:
-            return F.col(self.PREFIX + name)
+        if self._prefix is not None:
+            return F.col(self._prefix + name)
         needs, pattern = self.TESTS[name]
         return self._text.rlike(pattern) if needs is None else getattr(self, needs) & self._text.rlike(pattern)
 
     @classmethod
-    def columns(cls, text: Column) -> dict[str, Column]:
+    def columns(cls, text: Column, prefix: str) -> dict[str, Column]:
         own = cls(text)
-        return {cls.PREFIX + n: getattr(own, n) for n in cls.TESTS}
+        return {prefix + n: getattr(own, n) for n in cls.TESTS}
 
 
 def email_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None) -> Column:
@@ -122,7 +123,7 @@ def phone_entities(text: Column, mode: str = "lib", hints: Column | None = None,
     kept = _first_of(F.filter(found, valid_phone), phone_key)
     if mode == "strict":
         cards = F.array_join(F.transform(F.flatten(F.array(*[F.filter(matches(text, p), valid_card) for p in (*patterns.CARD, patterns.CARD_15)])), digits_of), " ")
-        kept = F.filter(kept, lambda v: ~F.contains(cards, digits_of(v)))
+        kept = let(F.struct(kept.alias("v"), cards.alias("cards")), lambda x: F.filter(x["v"], lambda v: ~F.contains(x["cards"], digits_of(v))))
     confidence = F.when(_hint(hints, "has_phone"), F.lit(0.85) + 0.1).otherwise(0.85)
     return F.when((seen or Seen(text)).digits3, F.transform(kept, lambda v: _entry("PHONE", v, confidence))).otherwise(_none())
 
@@ -183,8 +184,7 @@ def bank_entities(text: Column, mode: str = "lib", hints: Column | None = None,
     bare = matches(text, patterns.BANK[2])
     grade = F.lit(0.82) if mode == "rt" else F.lit(0.8)
     every = F.concat(F.transform(labelled, lambda v: _entry("BANK_ACCOUNT", v, F.lit(0.82))), F.transform(bare, lambda v: _entry("BANK_ACCOUNT", v, grade)))
-    values = F.transform(every, lambda e: e["value"])
-    first = F.filter(every, lambda e, i: F.array_position(values, e["value"]) == i + 1)
+    first = _first_of(every, lambda e: e["value"])
     return F.when(_hint(hints, "has_financial") & (seen or Seen(text)).digits6, first).otherwise(_none())
 
 
@@ -204,7 +204,7 @@ def address_entities(text: Column, mode: str = "lib", hints: Column | None = Non
     if mode == "rt":
         return F.when(has, found).otherwise(_none())
     whole = F.filter(F.array(_entry("ADDRESS", text, _address(text, mode))), lambda e: e["confidence"].isNotNull())
-    return F.when(has, F.when(F.size(found) > 0, found).otherwise(whole)).otherwise(_none())
+    return F.when(has, let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(whole))).otherwise(_none())
 
 
 def financial_entities(text: Column, mode: str = "lib", hints: Column | None = None, seen: Seen | None = None) -> Column:
@@ -298,20 +298,29 @@ def detect(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("doc_
     distinct keeps the first of equal type and value of a text.  context is the text in which surroundings are
     looked up, the text itself by default.
     """
-    said = context if context is not None else F.col(text_col)
-    one = df.withColumn("__context", said).withColumns(Seen.columns(F.col(text_col)))
-    one = one.select(*keys, "__context", entities(F.col(text_col), mode, hints, seen=Seen(F.col(text_col), True), **options).alias("__all"))
+    own = _own_prefix(df)
+    said, at, e = own + "context", own + "pos", own + "entity"
+    text = F.col(text_col)
+    one = df.withColumn(said, context if context is not None else text).withColumns(Seen.columns(text, own))
+    every = entities(text, mode, hints, seen=Seen(text, own), **options)
     if distinct:
-        same = lambda e: F.concat_ws("\u0000", e["type"], e["value"])
-        one = one.withColumn("__keys", F.transform("__all", same))
-        one = one.withColumn("__all", F.filter("__all", lambda e, i: F.array_position("__keys", same(e)) == i + 1))
-    rows = one.select(*keys, "__context", F.posexplode("__all").alias("pos", "e"))
+        every = _first_of(every, lambda x: F.struct(x["type"], x["value"]))
+    rows = one.select(*keys, said, F.posexplode(every).alias(at, e))
+    found = F.col(e)
     return rows.select(
-        *keys, "pos", F.col("e.type").alias("type"), F.col("e.value").alias("value"), F.round("e.confidence", 3).alias("confidence"), base_risk(F.col("e.type")).alias("risk"),
-        F.lit("REGEX").alias("source"), surrounding(F.col("e.value"), F.coalesce(F.col("__context"), F.lit(""))).alias("context"),
+        *keys, F.col(at).alias("pos"), found["type"].alias("type"), found["value"].alias("value"), F.round(found["confidence"], 3).alias("confidence"), base_risk(found["type"]).alias("risk"),
+        F.lit("REGEX").alias("source"), surrounding(found["value"], F.coalesce(F.col(said), F.lit(""))).alias("context"),
     )
 
 
+def _own_prefix(df: DataFrame) -> str:
+    """A prefix that no column of a frame begins with."""
+    own = "__"
+    while any(c.lower().startswith(own) for c in df.columns):
+        own += "_"
+    return own
+
+
 def page_hints(fields: Column, page_type: Column) -> Column:
     """Booleans of a page from its form fields (an array of structs)."""
     label = lambda f: F.lower(F.concat_ws(" ", *[F.when(f[c] != "", f[c]) for c in ("name", "placeholder", "label", "autocomplete", "type")]))
@@ -367,8 +376,7 @@ def sample_entities(text: Column, with_hints: bool = True) -> Column:
         email_entities(text, "rt"), phone_entities(text, "rt"), card_entities(text, "rt"), government_entities(text, "rt"), key_entities(text, "rt"), token_entities(text, "rt"),
         medical_entities(text, "rt"), bank, address_entities(text, "rt"), financial_entities(text, "rt"), date,
     )
-    same = F.transform(found, lambda e: F.concat_ws("\u0000", e["type"], e["value"]))
-    found = F.filter(found, lambda e, i: F.array_position(same, F.concat_ws("\u0000", e["type"], e["value"])) == i + 1)
+    found = _first_of(found, lambda e: F.struct(e["type"], e["value"]))
     if not with_hints:
         return F.when(trim(text) != "", found).otherwise(_none())
     hints = text_hints(text)

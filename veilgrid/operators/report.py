@@ -21,10 +21,14 @@ def counts_by(found: DataFrame, column: str, names: tuple[str, ...], out: str =
 
 def page_counts(found: DataFrame, keys: tuple[str, ...], categories: tuple[str, ...] = fixed.CATEGORIES) -> DataFrame:
     """A map of counts by category for each page, 0 for those that don't occur, and OTHER for names outside the list."""
+    return found.groupBy(*keys).agg(_counts_of(categories).alias("counts"))
+
+
+def _counts_of(categories: tuple[str, ...]) -> Column:
     one = lambda c: F.count(F.when(F.col("type") == c, 1))
     other = F.count(F.when(~F.col("type").isin(*categories), 1))
     pairs = [x for c in categories for x in (F.lit(c), one(c))] + [F.lit("OTHER"), other]
-    return found.groupBy(*keys).agg(F.create_map(*pairs).alias("counts"))
+    return F.create_map(*pairs)
 
 
 def safe_to_transmit(pages: DataFrame, scored: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -39,12 +43,20 @@ def sources_of(found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def privacy_report(found: DataFrame, scored: DataFrame, redactions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """One row for each page with entities: counts, highest level, redactions, and whether it may leave."""
-    risk = scored.groupBy(*keys).agg(F.max(level_order(F.col("level"))).alias("__w"))
-    red = redactions.groupBy(*keys).agg(F.count("*").alias("redactions"))
-    n = found.groupBy(*keys).agg(F.count("*").alias("entities"))
-    rows = page_counts(found, keys).join(n, list(keys)).join(risk, list(keys), "left").join(red, list(keys), "left")
-    level = F.element_at(F.array(*[F.lit(x) for x in fixed.LEVELS]), F.coalesce("__w", F.lit(0)) + 1)
-    return rows.select(*keys, "entities", "counts", level.alias("overall_risk"), F.coalesce("redactions", F.lit(0)).alias("redactions"), (F.coalesce("__w", F.lit(0)) < 2).alias("is_safe"))
+    level_of = level_order(F.col("level"))
+    none, no, yes = F.lit(None).cast("int"), F.lit(False), F.lit(True)
+    # each frame fills its own columns, so that one aggregation does for all three
+    row = lambda df, kind, level, entity, redaction: df.select(*keys, kind.cast("string").alias("type"), level.alias("__level"), entity.alias("__entity"), redaction.alias("__redaction"))
+    if scored is found:
+        rows = row(found, F.col("type"), level_of, yes, no)
+    else:
+        rows = row(found, F.col("type"), none, yes, no).unionByName(row(scored, F.lit(None), level_of, no, no))
+    rows = rows.unionByName(row(redactions, F.lit(None), none, no, yes))
+    total = rows.groupBy(*keys).agg(
+        F.count_if("__entity").alias("entities"), _counts_of(fixed.CATEGORIES).alias("counts"), F.coalesce(F.max("__level"), F.lit(0)).alias("__worst"), F.count_if("__redaction").alias("redactions")
+    )
+    level = F.element_at(F.array(*[F.lit(x) for x in fixed.LEVELS]), F.col("__worst") + 1)
+    return total.where("entities > 0").select(*keys, "entities", "counts", level.alias("overall_risk"), "redactions", (F.col("__worst") < 2).alias("is_safe"))
 
 
 def popup_groups(found: DataFrame, keys: tuple[str, ...]) -> DataFrame:

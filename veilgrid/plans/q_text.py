@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.functions import fixed, patterns, text
+from veilgrid.functions.patterns import java
 from veilgrid.operators import detect, report, risk
-from veilgrid.plans.registry import SYNTH_SQL, case, first_matches, lit, names, query, rx, synth, table
+from veilgrid.plans.registry import SYNTH_SQL, case, first_matches, lit, names, query, rx, spread, synth, table
 from veilgrid.plans.scan import scan_documents
 
 DOCS = "SELECT doc_id AS id, text FROM documents"
@@ -16,7 +17,7 @@ _STRIP = lambda c, p: f"regexp_replace({c}, {rx(p)}, '', 'g')"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 # ---- preparation
@@ -32,8 +33,12 @@ c AS (SELECT id, {_TRIM('sent')} AS c FROM w UNION ALL
       SELECT id, unnest(list_filter(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), lambda p: length(p) > 5)) FROM w)
 SELECT id, count(*) AS n_chunks, sum(length(c)) AS chars, count(DISTINCT c) AS n_distinct FROM c GROUP BY id""")
 def t1_text_chunks(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("id", F.explode(text.text_chunks(F.col("text"))).alias("c"))
-    return rows.groupBy("id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("c")).alias("chars"), F.count_distinct(F.xxhash64("c")).alias("n_distinct"))
+    # a text has chunks if it has more than white space and ends of sentences
+    rows = _docs(spark, sf_dir).where(F.col("text").rlike(java(r"[^{s}.!?]")))
+    counts = lambda c: F.struct(
+        F.size(c).cast("long").alias("n_chunks"), F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("chars"), F.size(F.array_distinct(c)).cast("long").alias("n_distinct")
+    )
+    return rows.select("id", text.let(text.text_chunks(F.col("text")), counts).alias("c")).select("id", "c.*")
 
 
 @query("t2_model_chunks", f"""
@@ -117,11 +122,11 @@ def _found(df: DataFrame, kind: str, mode: str = "lib", hints=None, **options) -
     return detect.detect(df, "text", ("id",), mode, hints, categories=(kind,), **options).select("id", "value", "confidence")
 
 
-def _email_sql(source: str, mode: str) -> str:
+def _email_sql(source: str, mode: str, more: str = "") -> str:
     domain = "lower(split_part(v, '@', 2))"
     roles = "(?i)^(?:" + "|".join(fixed.ROLE_SENDERS[mode]) + ")@"
     return (
-        f"SELECT id, v AS value, CASE WHEN {domain} IN ({names(fixed.TRUSTED_DOMAINS)}) THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence FROM ("
+        f"SELECT id, v AS value, CASE WHEN {domain} IN ({names(fixed.TRUSTED_DOMAINS)}) THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence{more} FROM ("
         + first_matches(source, (patterns.EMAIL,), f"{domain} NOT IN ({names(fixed.EXCLUDED_DOMAINS[mode])}) AND NOT regexp_matches(v, {lit(roles)})") + ")"
     )
 
@@ -130,16 +135,16 @@ _PHONE_KEY = _STRIP("v", r"[{s}()+.\-]")
 _PHONE_OK = rf"length({_PHONE_KEY}) BETWEEN 7 AND 15 AND NOT regexp_full_match({_PHONE_KEY}, '\d{{7,8}}') AND length(regexp_replace(v, '[^0-9]', '', 'g')) >= 7"
 
 
-def _phone_sql(source: str, mode: str) -> str:
-    return f"SELECT id, v AS value, 0.85::DOUBLE AS confidence FROM ({first_matches(source, patterns.PHONE[:4] if mode == 'rt' else patterns.PHONE, _PHONE_OK, _PHONE_KEY)})"
+def _phone_sql(source: str, mode: str, more: str = "") -> str:
+    return f"SELECT id, v AS value, 0.85::DOUBLE AS confidence{more} FROM ({first_matches(source, patterns.PHONE[:4] if mode == 'rt' else patterns.PHONE, _PHONE_OK, _PHONE_KEY)})"
 
 
 _CARD_KEY = "regexp_replace(v, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_CARD_KEY}) + 1), lambda k: CASE WHEN (length({_CARD_KEY}) - k) % 2 = 1 THEN CASE WHEN CAST(substr({_CARD_KEY}, k, 1) AS INT) > 4 THEN CAST(substr({_CARD_KEY}, k, 1) AS INT) * 2 - 9 ELSE CAST(substr({_CARD_KEY}, k, 1) AS INT) * 2 END ELSE CAST(substr({_CARD_KEY}, k, 1) AS INT) END)) % 10 = 0"
 
 
-def _card_sql(source: str) -> str:
-    return f"SELECT id, v AS value, 0.95::DOUBLE AS confidence FROM ({first_matches(source, patterns.CARD, f'length({_CARD_KEY}) BETWEEN 13 AND 19 AND {_LUHN}', _CARD_KEY)})"
+def _card_sql(source: str, more: str = "", tried: tuple[str, ...] = patterns.CARD) -> str:
+    return f"SELECT id, v AS value, 0.95::DOUBLE AS confidence{more} FROM ({first_matches(source, tried, f'length({_CARD_KEY}) BETWEEN 13 AND 19 AND {_LUHN}', _CARD_KEY)})"
 
 
 def _grades(v: str, grades: tuple, last: str = "NULL") -> str:
@@ -246,18 +251,23 @@ def _has(pattern: str, v: str) -> str:
     return f"regexp_matches({v}, {rx(pattern)})"
 
 
-def _address_sql(v: str, mode: str) -> str:
+def _address_sql(v: str, mode: str, street: str = patterns.STREET) -> str:
     more = "" if mode == "rt" else f" WHEN {_has(patterns.PO_BOX, v)} THEN 0.82 WHEN {_has(patterns.ZIP, v)} AND length({v}) BETWEEN 11 AND 199 THEN 0.55"
-    return f"CASE WHEN {_has(patterns.STREET, v)} AND {_has(patterns.ZIP, v)} THEN 0.88 WHEN {_has(patterns.STREET, v)} THEN 0.75{more} END"
+    return f"CASE WHEN {_has(street, v)} AND {_has(patterns.ZIP, v)} THEN 0.88 WHEN {_has(street, v)} THEN 0.75{more} END"
 
 
-def _addresses(source: str, mode: str) -> str:
+def _address_parts(source: str, mode: str, street: str = patterns.STREET) -> tuple[str, ...]:
+    """SQL of the addresses among a text's parts, and unless at runtime of texts that are one as a whole."""
+    grade = lambda v: _address_sql(v, mode, street)
     parts = f"SELECT id, unnest(l) AS v, unnest(range(len(l))) AS i FROM (SELECT id, list_transform(regexp_split_to_array(text, '[;|\\n]'), lambda x: {_TRIM('x')}) AS l FROM ({source}))"
-    found = f"SELECT id, v AS value, {_address_sql('v', mode)} AS confidence, 0 AS p, i FROM ({parts}) WHERE length(v) BETWEEN 6 AND 199 AND ({_address_sql('v', mode)}) IS NOT NULL"
+    found = f"SELECT id, v AS value, {grade('v')} AS confidence, 0 AS p, i FROM ({parts}) WHERE length(v) BETWEEN 6 AND 199 AND ({grade('v')}) IS NOT NULL"
     if mode == "rt":
-        return _union_first(found)
-    whole = f"SELECT id, text AS value, {_address_sql('text', mode)} AS confidence, 1 AS p, 0 AS i FROM ({source}) WHERE ({_address_sql('text', mode)}) IS NOT NULL AND id NOT IN (SELECT id FROM ({found}))"
-    return _union_first(found, whole)
+        return (found,)
+    return found, f"SELECT id, text AS value, {grade('text')} AS confidence, 1 AS p, 0 AS i FROM ({source}) WHERE ({grade('text')}) IS NOT NULL AND id NOT IN (SELECT id FROM ({found}))"
+
+
+def _addresses(source: str, mode: str) -> str:
+    return _union_first(*_address_parts(source, mode))
 
 
 @query("d9_address_lib", _addresses(SYNTH_SQL, "lib"))
@@ -318,14 +328,50 @@ def d17_enabled_categories(spark, sf_dir):
     return detect.detect(synth(spark, sf_dir), "text", ("id",), categories=("EMAIL", "CREDIT_CARD")).select("id", "type", "value")
 
 
-@query("o1_all_detectors_rt")
-def o1_all_detectors_rt(spark, sf_dir):
-    return detect.detect(_docs(spark, sf_dir), "text", ("id",), "rt").select("id", "pos", "type", "value", "confidence", "risk")
+def _ordered(kinds: dict[str, tuple[str, ...]]) -> str:
+    """SQL of ``(id, pos, type, value, confidence, risk)``: first of equal type and value, numbered in the order of detectors, their lists, patterns and places."""
+    every = " UNION ALL ".join(f"SELECT id, '{kind}' AS type, value, confidence::DOUBLE AS confidence, {k} AS k, {j} AS j, p, i FROM ({x})" for k, (kind, parts) in enumerate(kinds.items()) for j, x in enumerate(parts))
+    first = f"SELECT * FROM ({every}) QUALIFY row_number() OVER (PARTITION BY id, type, value ORDER BY k, j, p, i) = 1"
+    return f"SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k, j, p, i) - 1 AS INTEGER) AS pos, type, value, round(confidence, 3)::DOUBLE AS confidence, {case('type', fixed.BASE_RISK, 'LOW')} AS risk FROM ({first})"
 
 
-@query("o1_all_detectors_strict")
-def o1_all_detectors_strict(spark, sf_dir):
-    return detect.detect(_docs(spark, sf_dir), "text", ("id",), "strict").select("id", "pos", "type", "value", "confidence", "risk")
+def _one(source: str, grade: str, valid: str) -> str:
+    """SQL of a finding that is the whole text."""
+    return f"SELECT id, {_TRIM('text')} AS value, {grade} AS confidence, 0 AS p, 0 AS i FROM ({source}) WHERE {valid}"
+
+
+def _detectors(source: str, mode: str) -> dict[str, tuple[str, ...]]:
+    """SQL of each detector of a mode in order, without a page; its tokens must have the header that ``_JWT_SQL`` knows."""
+    at, bare = ", p, i", _STRIP("v", "[{s}-]")
+    jwt, bearer = _all(source, (patterns.JWT,), "CASE WHEN starts_with(v, 'eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.') THEN 0.97 ELSE 0.7 END"), _all(source, (patterns.BEARER,), "0.95")
+    if mode == "rt":
+        trimmed = f"SELECT id, {_TRIM('text')} AS text FROM ({source})"
+        return {
+            "EMAIL": (_email_sql(source, "rt", at),), "PHONE": (_phone_sql(source, "rt", at),), "CREDIT_CARD": (_card_sql(source, at),), "GOVERNMENT_ID": (_all(source, patterns.GOV_RT, _GOV),),
+            "API_KEY": (_all(source, patterns.KEY_RT, _grades("v", patterns.KEY_GRADES, "0.7")),), "AUTH_TOKEN": (jwt, bearer, _all(source, (patterns.SESSION,), "0.85")),
+            "MEDICAL_ID": (_all(source, patterns.MEDICAL[:1], _grades("v", patterns.MEDICAL_GRADES[:1], "0.75")),), "ADDRESS": _address_parts(source, "rt"), "FINANCIAL_DATA": (_one(trimmed, _FIN, f"({_MONEY}) AND {_AMOUNT} > 0"),),
+        }
+    every_card = _card_sql(source, at, (*patterns.CARD, patterns.CARD_15))
+    cards = f"SELECT id, string_agg(regexp_replace(value, '[^0-9]', '', 'g'), ' ') AS cards FROM ({every_card}) GROUP BY id"
+    phone = f"SELECT f.* FROM ({_phone_sql(source, 'lib', at)}) f LEFT JOIN ({cards}) c ON f.id = c.id WHERE NOT contains(coalesce(cards, ''), regexp_replace(value, '[^0-9]', '', 'g'))"
+    assigned = f"SELECT id, v AS value, {_KEY} AS confidence, 0 AS p, 0 AS i FROM (SELECT id, regexp_extract(text, {rx(patterns.KEY_ASSIGNED)}, 1) AS v FROM ({source})) WHERE v <> '' AND {_KEY} > 0.5"
+    born = f"CASE WHEN {_AGE} BETWEEN 18 AND 80 THEN 0.55 WHEN {_AGE} BETWEEN 13 AND 100 THEN 0.5 END"
+    return {
+        "EMAIL": (_email_sql(source, "lib", at),), "PHONE": (phone,), "CREDIT_CARD": (every_card,), "API_KEY": (assigned, _all(source, (patterns.KEY_PREFIXED,), _KEY)),
+        "AUTH_TOKEN": (jwt, bearer, _all(source, (patterns.SESSION,), _SESSION_OK)), "GOVERNMENT_ID": (_all(source, patterns.GOV, _GOV),), "MEDICAL_ID": (_all(source, patterns.MEDICAL, _grades(bare, patterns.MEDICAL_GRADES)),),
+        "ADDRESS": _address_parts(source, "strict", patterns.STREET_WORD), "FINANCIAL_DATA": (_one(source, _FIN, f"({_MONEY}) AND {_AMOUNT} > 0"),),
+        "DATE_OF_BIRTH": (_one(source, born, f"({' OR '.join(f'regexp_matches(text, {rx(p)})' for p in patterns.DATE)}) AND ({born}) IS NOT NULL"),),
+        "USERNAME": (_one(source, "0.35", f"length(text) BETWEEN 3 AND 30 AND regexp_matches(text, {rx(patterns.USERNAME)})"),),
+    }
+
+
+_EVERY = "id", "pos", "type", "value", "confidence", "risk"
+for _mode in ("rt", "strict"):
+    for _name, _src, _sql in (("", _docs, DOCS), ("_customers", synth, SYNTH_SQL)):
+        def _detected(spark, sf_dir, m=_mode, s=_src):
+            return detect.detect(s(spark, sf_dir), "text", ("id",), m).select(*_EVERY)
+
+        query(f"o1_all_detectors_{_mode}{_name}", _ordered(_detectors(_sql, _mode)))(_detected)
 
 
 # ---- findings in documents by three detectors, with their risk
@@ -351,7 +397,7 @@ _SCORED = f"SELECT id, type, det, value, confidence, {case('type', fixed.SENSITI
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_documents(table(spark, sf_dir, "documents"), categories=_THREE)
+    return scan_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), categories=_THREE)
 
 
 FLAGSHIP_SQL = f"SELECT type, level, count(*) AS n, count(DISTINCT id) AS n_docs, count(DISTINCT value) AS n_values FROM ({_SCORED}) GROUP BY type, level"
@@ -520,9 +566,18 @@ def l3_top_by_page(spark, sf_dir):
     return report.top_by_page(scored_grid(spark, sf_dir), ("page_id",), 12, ("id",)).select("page_id", "id", "level", F.col("rank").cast("long").alias("rank"))
 
 
-@query("privacy_report")
+_REPORTED = f"SELECT f.*, {_CTX('value')} AS context FROM ({_ordered(_detectors(DOCS, 'rt'))}) f JOIN ({DOCS}) d ON f.id = d.id"
+_COUNTED = (*fixed.CATEGORIES, "OTHER")
+_COUNTS_SQL = "'{' || " + " || ',' || ".join(f"""'"{c}":' || count(*) FILTER (type = '{c}')""" for c in _COUNTED) + " || '}'"
+_WORST = "max(CASE level WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END)"
+
+
+@query("privacy_report", f"""
+WITH f AS (SELECT id, type, {LEVEL_SQL(f'round({_OVERALL}, 12)')} AS level FROM ({_REPORTED}))
+SELECT id AS doc_id, count(*) AS entities, {_COUNTS_SQL} AS counts, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][{_WORST} + 1] AS overall_risk, count(*) FILTER (level IN ('HIGH', 'CRITICAL')) AS redactions, {_WORST} < 2 AS is_safe
+FROM f GROUP BY id""")
 def privacy_report(spark, sf_dir):
     from veilgrid.plans.scan import scan_texts
 
-    r = scan_texts(table(spark, sf_dir, "documents"), mode="rt").report
+    r = scan_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), mode="rt").report
     return r.select("doc_id", "entities", F.to_json("counts").alias("counts"), "overall_risk", "redactions", "is_safe")

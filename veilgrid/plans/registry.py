@@ -30,6 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores, for work that is heavy by row; a large one as its files are split.
+
+    Only where there are less than 16 MB a core, which bounds what is moved; a file of one row group is one task otherwise.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def lit(text: str) -> str:
     """A DuckDB string literal."""
     return "'" + text.replace("'", "''") + "'"

@@ -27,11 +27,12 @@ class ScanResult(NamedTuple):
     redactions: DataFrame
     safe: DataFrame
     report: DataFrame
+    kept: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
-        """Drops what is kept for the other frames."""
-        self.pages.unpersist()
-        self.entities.unpersist()
+        """Drops all that is kept on disk for the frames."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def scan_documents(docs: DataFrame, key: str = "doc_id", text_col: str = "text", mode: str = "rt", page_type: str = "unknown", categories: tuple[str, ...] = fixed.CATEGORIES) -> DataFrame:
@@ -46,7 +47,7 @@ def scan_texts(docs: DataFrame, key: str = "doc_id", text_col: str = "text", **o
     scored = _keep(scored)
     red = redact.redaction_actions(scored)
     safe = redact.redact_documents(docs.select(key, F.col(text_col)), scored, key, text_col, "redacted")
-    return ScanResult(docs, scored, red, safe, report.privacy_report(scored, scored, red, (key,)))
+    return ScanResult(docs, scored, red, safe, report.privacy_report(scored, scored, red, (key,)), (scored,))
 
 
 def entity_id(key: str):
@@ -60,34 +61,36 @@ def _keep(df: DataFrame) -> DataFrame:
 
 def scan_pages_rt(pages: DataFrame) -> ScanResult:
     """The runtime's scan of raw pages: whole text and field values, additive page type, constant element context."""
-    p = classify.classify_additive(_keep(html.extract_pages(pages)), F.col("form_hints"))
+    parsed = _keep(html.extract_pages(pages))
+    p = classify.classify_additive(parsed, F.col("form_hints"))
     p = _keep(p.withColumn("hints", detect.page_hints(F.col("form_fields"), F.col("page_type"))))
-    text = detect.detect(p, "visible_text", ("page_id",), "rt", F.col("hints"))
+    text = _keep(detect.detect(p, "visible_text", ("page_id",), "rt", F.col("hints")))
     values = p.select("page_id", "hints", "visible_text", F.explode("form_fields").alias("f")).select("page_id", "hints", "visible_text", F.col("f.idx").alias("idx"), F.col("f.value").alias("value_text")).where("value_text <> ''")
     fields = detect.detect(values, "value_text", ("page_id", "idx"), "rt", F.col("hints"), context=F.col("visible_text"))
     fields = detect.first_of_page(fields, ("page_id",), ("idx", "pos")).drop("idx").withColumn("pos", F.col("pos") + (1 << 20))
-    return _finish(p, matching.append_new(_keep(text), fields), "rt")
+    return _finish(p, matching.append_new(text, fields), "rt", (parsed, p, text))
 
 
 def scan_pages_lib(pages: DataFrame) -> ScanResult:
     """The library's scan: form values, then sentences and word pairs; weighted page type."""
-    p = classify.classify_weighted(_keep(html.extract_pages(pages)), "elements")
+    parsed = _keep(html.extract_pages(pages))
+    p = classify.classify_weighted(parsed, "elements")
     p = _keep(p.withColumn("hints", detect.page_hints(F.col("form_fields"), F.col("page_type"))))
     values = F.filter(F.transform("form_fields", lambda f: f["value"]), lambda v: F.trim(v) != "")
     chunks = p.select("page_id", "hints", "visible_text", F.posexplode(F.concat(values, F.filter(text_chunks(F.col("visible_text")), lambda c: F.length(c) >= 2))).alias("chunk_pos", "chunk"))
     found = detect.detect(chunks, "chunk", ("page_id", "chunk_pos"), "lib", F.col("hints"), distinct=False, context=F.col("visible_text"))
     first = detect.first_of_page(found)
     first = first.withColumn("pos", F.col("chunk_pos").cast("long") * 1024 + F.col("pos")).drop("chunk_pos")
-    return _finish(p, first, "lib")
+    return _finish(p, first, "lib", (parsed, p))
 
 
-def _finish(p: DataFrame, found: DataFrame, mode: str) -> ScanResult:
+def _finish(p: DataFrame, found: DataFrame, mode: str, kept: tuple[DataFrame, ...]) -> ScanResult:
     typed = found.join(p.select("page_id", "page_type", F.substring("visible_text", 1, 500).alias("__page")), "page_id")
     scored = risk.score(typed, F.col("page_type"), mode, fallback=F.col("__page") if mode == "lib" else None).drop("__page").withColumn("entity_id", entity_id("page_id"))
     scored = _keep(scored)
     red = redact.redaction_actions(scored)
     safe = redact.redact_documents(p.select("page_id", "url", "title", "page_type", "visible_text"), scored, "page_id", "visible_text", "redacted" if mode == "rt" else "type")
-    return ScanResult(p, scored, red, safe, report.privacy_report(scored, scored, red, ("page_id",)))
+    return ScanResult(p, scored, red, safe, report.privacy_report(scored, scored, red, ("page_id",)), (*kept, scored))
 
 
 def sanitized_context(scan: ScanResult) -> DataFrame:

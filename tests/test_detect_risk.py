@@ -108,3 +108,20 @@ def test_classifier_addition(spark):
     p = spark.createDataFrame([(1, "Bob Ray", "NAME", 0.7), (2, "x@post.net", "EMAIL", 0.9), (3, "plain", "NONE", 0.9)], "doc_id long, text string, label string, score double")
     out = {(r.doc_id, r.type, r.source, r.confidence) for r in models.add_classified(got, p, ("doc_id",)).collect()}
     assert out == {(1, "NAME", "CLASSIFIER", 0.8), (2, "EMAIL", "REGEX", 0.9)}
+
+
+def test_first_of_many_matches_in_order(spark):
+    """Repeated values count once, at their first place; a text with very many ends soon."""
+    numbers = [f"555-{k % 5000:03d}-{k % 5000:04d}" if k % 5000 < 1000 else f"{k % 5000:03d}-555-{k % 5000:04d}"[-12:] for k in range(20_000)]
+    df = spark.createDataFrame([(1, ", ".join(numbers)), (2, ""), (3, None)], "doc_id int, text string")
+    got = [r.value for r in detect.detect(df, categories=("PHONE",)).orderBy("pos").collect()]
+    assert len(got) == len(set(got)) >= 1000
+    text = df.first().text
+    two = [r.value for r in detect.detect(spark.createDataFrame([(1, "b@x.org a@x.org b@x.org")], "doc_id int, text string"), categories=("EMAIL",)).orderBy("pos").collect()]
+    assert two == ["b@x.org", "a@x.org"] and all(v in text for v in got)
+
+
+def test_own_columns_dont_touch_the_callers(spark):
+    df = spark.createDataFrame([("k", "p", "e", "a", "write to a@x.org")], "__context string, __pos string, __entity string, __at string, text string")
+    got = detect.detect(df, keys=("__context", "__pos", "__entity", "__at")).collect()
+    assert [tuple(r[:4]) + (r.value,) for r in got] == [("k", "p", "e", "a", "a@x.org")]

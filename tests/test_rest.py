@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilgrid.functions import fixed
-from veilgrid.operators import firewall, images, matching, models, redact
+from veilgrid.operators import firewall, images, matching, models, redact, report
 from veilgrid.plans import scan
 from veilgrid.plans.q_pages import FORM_PAGES
 from veilgrid.sources import generate, html, stores
@@ -209,3 +209,34 @@ def test_audit_stream(spark, tmp_path):
     q.awaitTermination()
     got = spark.sql("select source, message from ring").collect()
     assert {(r.source, int(r.message)) for r in got} == {(str(i % 2), i) for i in range(20, 30)}
+
+
+def test_a_failing_classifier_gives_null(spark):
+    class Moody:
+        def classify(self, texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("no")
+            return [("EMAIL", float(len(t))) for t in texts]
+
+    texts = ["a", "bad", None, "abc", "very bad", ""]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1).select("id", models.classify_with(Moody(), F.col("text")).alias("p")).orderBy("id").collect()
+    assert [r.p.label for r in got] == ["EMAIL", None, None, "EMAIL", None, "EMAIL"]
+    assert got[0].p.score == 1 and got[3].p.score == 3
+
+
+def test_release_lets_all_go(spark):
+    kept = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = kept()
+    for run in (scan.scan_pages_rt, scan.scan_pages_lib):
+        s = run(spark.createDataFrame([(1, "https://site.test/", FORM_PAGES[0])], "page_id long, url string, html string"))
+        s.report.collect()
+        assert kept() > before
+        s.release()
+        assert kept() == before
+
+
+def test_report_of_separate_frames_is_that_of_one(spark, small):
+    scored = scan.scan_documents(spark.read.parquet(f"{small}/documents.parquet"))
+    red = redact.redaction_actions(scored)
+    rows = lambda found: sorted(map(repr, report.privacy_report(found, scored, red, ("doc_id",)).collect()))
+    assert rows(scored) == rows(scored.drop("level"))

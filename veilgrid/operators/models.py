@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -144,16 +144,24 @@ def train_from(samples: DataFrame, names: tuple[str, ...] = fixed.MODEL_LABELS,
     return train(texts, labels, names, held if held[0] else None, **options)
 
 
-def predict(spark: SparkSession, model: TextModel, text: Column) -> Column:
-    """``(label, score)`` of a text; null where there is no text."""
-    shared = spark.sparkContext.broadcast(model.to_json())
+def answers(classifier: Classifier, texts: list[str]) -> list[tuple[str | None, float | None]]:
+    """An answer for each text; where a batch fails it is asked in halves, so only the texts that fail have none."""
+    try:
+        return list(classifier.classify(texts))
+    except Exception:  # any failure of a classifier is the text's lack of an answer
+        if len(texts) < 2:
+            return [(None, None)] * len(texts)
+        half = len(texts) // 2
+        return answers(classifier, texts[:half]) + answers(classifier, texts[half:])
 
+
+def _classified(load: Callable[[], Classifier], text: Column) -> Column:
     @F.pandas_udf("struct<label:string,score:double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = TextModel.from_json(shared.value)
+        own = load()
         for s in batches:
             there = s.notna()
-            got = own.classify(s[there].tolist())
+            got = answers(own, s[there].tolist())
             out = pd.DataFrame({"label": pd.Series(None, s.index, object), "score": pd.Series(np.nan, s.index)})
             out.loc[there, "label"], out.loc[there, "score"] = [g[0] for g in got], [g[1] for g in got]
             yield out
@@ -161,6 +169,17 @@ def predict(spark: SparkSession, model: TextModel, text: Column) -> Column:
     return run(text)
 
 
+def predict(spark: SparkSession, model: TextModel, text: Column) -> Column:
+    """``(label, score)`` of a text; null where there is no text."""
+    shared = spark.sparkContext.broadcast(model.to_json())
+    return _classified(lambda: TextModel.from_json(shared.value), text)
+
+
+def classify_with(classifier: Classifier, text: Column) -> Column:
+    """The same of a classifier of the caller's, which travels by pickle; null also where it fails."""
+    return _classified(lambda: classifier, text)
+
+
 def predict_top(spark: SparkSession, model: TextModel, text: Column, k: int = 3) -> Column:
     """The k best labels of a text."""
     shared = spark.sparkContext.broadcast(model.to_json())

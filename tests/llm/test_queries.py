@@ -11,7 +11,7 @@ from veilgrid.llm.queries import ORACLE_SQL, QUERIES
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == [*range(1, 11), 12]
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == [*range(1, 11), 12, 13]
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
@@ -61,6 +61,8 @@ def test_whole_tables(spark, small, name):
     key = {"op6_warc": ("pages", "page_id"), "op7_embedding_neardup": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
     if name == "op3_chat_format":
         assert df.count() == 1 + spark.read.parquet(f"{small}/conversations.parquet").select("conv_id").distinct().count()
+    elif name == "op13_collocations":
+        assert df.groupBy("lang").count().where("count > 2000").isEmpty()
     elif name == "op9_bestfit_packing":
         assert df.selectExpr("explode(doc_ids) i").distinct().count() == spark.read.parquet(f"{small}/documents.parquet").count()
     else:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrid.llm import chat_format, embedding_dedup, lm_scoring, mixing, packing, periodic_runs, quality_classifier, quality_rules, secrets, simhash, warc
+from veilgrid.llm import chat_format, collocations, embedding_dedup, lm_scoring, mixing, packing, periodic_runs, quality_classifier, quality_rules, secrets, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digest(periodic_runs.with_planted_runs(_read(spark, sf_dir, "documents")))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_secret_scan": op2_secret_scan,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bestfit_packing": op9_bestfit_packing,
     "op10_quality_classifier": op10_quality_classifier,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 def _control_pattern() -> str:
@@ -121,4 +126,16 @@ p AS (SELECT m, greatest(1.0, least(1000.0, 1 / greatest(CASE WHEN m * (1 - m) >
 z AS (SELECT m, q, least(m + 3 * sqrt(m * (1 - m) / (q + 1)), (m + 1) / 2) AS lim FROM p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ((h.b + z.m * z.q) / (h.n + z.q) > z.lim) AS kept
 FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, z""",
+    "op13_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(ws) >= k)),
+c AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+d AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c q ON s.lang = q.lang AND q.k > s.k AND contains(' ' || q.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * q.f >= 100 * s.f),
+x AS (SELECT lang, phrase, f, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM c ANTI JOIN d USING (lang, phrase) WHERE k >= 2),
+y AS (SELECT x.lang, x.phrase, cut, x.f AS a, l.f AS l, r.f AS r, t.n, (1000 * x.f * t.n) // (l.f * r.f) AS score FROM x JOIN t ON t.lang = x.lang
+  JOIN c l ON l.lang = x.lang AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN c r ON r.lang = x.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM z QUALIFY rank <= 2000""",
 }

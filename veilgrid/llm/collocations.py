@@ -59,14 +59,14 @@ def blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
-        held = 0
+        held: dict[str, int] = {}
 
-        def close() -> Iterator[pa.RecordBatch]:
-            for lang, (numbers, parts) in open_.items():
-                words = pa.array(list(numbers)[1:], pa.binary()).cast(pa.string())
-                columns = [pa.array([lang]), pa.ListArray.from_arrays([0, len(words)], words), pa.array([np.concatenate(parts).tobytes()], pa.binary())]
-                yield pa.record_batch(columns, names=["lang", "words", "ids"])
-            open_.clear()
+        def close(lang: str) -> pa.RecordBatch:
+            numbers, parts = open_.pop(lang)
+            del held[lang]
+            words = pa.array(list(numbers)[1:], pa.binary()).cast(pa.string())
+            columns = [pa.array([lang]), pa.ListArray.from_arrays([0, len(words)], words), pa.array([np.concatenate(parts).tobytes()], pa.binary())]
+            return pa.record_batch(columns, names=["lang", "words", "ids"])
 
         for batch in slices(batches):
             for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
@@ -76,11 +76,13 @@ def blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size
                 tokens = _tokens(t.as_py() + b"\n")
                 ids = np.array([numbers[w] for w in tokens if w], np.int32)
                 parts.append(ids)
-                held += len(ids)
-                if held >= size:
-                    yield from close()
-                    held = 0
-        yield from close()
+                held[lang] = held.get(lang, 0) + len(ids)
+                if held[lang] >= size:
+                    yield close(lang)
+                elif sum(held.values()) >= 4 * size:  # many languages
+                    yield close(max(held, key=held.get))
+        for lang in list(open_):
+            yield close(lang)
 
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return source.mapInArrow(run, "lang string, words array<string>, ids binary")
@@ -106,7 +108,7 @@ class _Block:
     def __init__(self, lang: str, words: pa.Array, ids: bytes):
         self.words, self.ids = words, np.frombuffer(ids, np.int32)
         seed = xxh64_intdigest(lang.encode())
-        one = np.fromiter((xxh64_intdigest(w.as_py(), seed) for w in words.cast(pa.binary())), np.uint64, len(words))
+        one = np.fromiter((xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
         self.one = np.concatenate([np.zeros(1, np.uint64), one])[self.ids]
         self.length, self.h, self.whole = 1, self.one, self.ids > 0
 
@@ -135,7 +137,7 @@ def _pass(ws: Workspace, blocks: DataFrame, k: int, most: int, least: int, bits:
     small = np.uint8 if least <= 255 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << bits[0], small) if k < most else None
+        sums = np.zeros(1 << bits[0], np.uint32) if k < most else None
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("h", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for r in range(batch.num_rows):
@@ -162,10 +164,9 @@ def _pass(ws: Workspace, blocks: DataFrame, k: int, most: int, least: int, bits:
                 if sums is not None and len(b.h) > 1:
                     b.longer()
                     both = b.whole & maybe[:-1] & maybe[1:]
-                    held = np.bincount(_bucket(b.h[both], bits[0]), minlength=len(sums))
-                    sums[:] = np.minimum(sums + held, least)
+                    np.add.at(sums, _bucket(b.h[both], bits[0]), 1)
         if sums is not None:
-            for part, piece in enumerate(np.split(sums, PARTS)):
+            for part, piece in enumerate(np.split(np.minimum(sums, least).astype(small), PARTS)):
                 if piece.any():
                     yield pa.record_batch([pa.nulls(1).cast(f.type) if f.name not in ("part", "counts") else pa.array([part if f.name == "part" else piece.tobytes()], f.type) for f in schema], schema=schema)
 

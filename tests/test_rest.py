@@ -201,16 +201,6 @@ def test_text_stream(spark, tmp_path):
     assert [(r.type, r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("EMAIL", "bob@postbox.net")]
 
 
-def test_audit_stream(spark, tmp_path):
-    rows = spark.range(30).select((F.col("id") % 2).cast("string").alias("source"), F.timestamp_seconds(F.col("id")).alias("ts"), F.lit("info").alias("level"), F.col("id").cast("string").alias("message"), F.create_map(F.lit("k"), F.lit("v")).alias("data"))
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = changes.read_stream(spark, str(tmp_path / "in"), rows.schema)
-    q = changes.audit_ring(stream, keep=5).writeStream.outputMode("update").format("memory").queryName("ring").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.sql("select source, message from ring").collect()
-    assert {(r.source, int(r.message)) for r in got} == {(str(i % 2), i) for i in range(20, 30)}
-
-
 def test_a_failing_classifier_gives_null(spark):
     class Moody:
         def classify(self, texts):

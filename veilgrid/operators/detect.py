@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgrid.functions import fixed, patterns
+from veilgrid.functions.names import own_prefix
 from veilgrid.functions.patterns import java
 from veilgrid.functions.text import let, luhn, matches, strip, surrounding, trim
 
@@ -298,7 +299,7 @@ def detect(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("doc_
     distinct keeps the first of equal type and value of a text.  context is the text in which surroundings are
     looked up, the text itself by default.
     """
-    own = _own_prefix(df)
+    own = own_prefix(df)
     said, at, e = own + "context", own + "pos", own + "entity"
     text = F.col(text_col)
     one = df.withColumn(said, context if context is not None else text).withColumns(Seen.columns(text, own))
@@ -313,14 +314,6 @@ def detect(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("doc_
     )
 
 
-def _own_prefix(df: DataFrame) -> str:
-    """A prefix that no column of a frame begins with."""
-    own = "__"
-    while any(c.lower().startswith(own) for c in df.columns):
-        own += "_"
-    return own
-
-
 def page_hints(fields: Column, page_type: Column) -> Column:
     """Booleans of a page from its form fields (an array of structs)."""
     label = lambda f: F.lower(F.concat_ws(" ", *[F.when(f[c] != "", f[c]) for c in ("name", "placeholder", "label", "autocomplete", "type")]))

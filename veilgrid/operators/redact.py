@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgrid.functions import fixed, patterns
+from veilgrid.functions.names import own_prefix
 from veilgrid.functions.patterns import java
 from veilgrid.operators.detect import digits_of, level_order
 from veilgrid.operators.risk import lookup
+from veilgrid.operators.spans import rebuilt, taken
+from veilgrid.operators.values import value_hits
 
 
 def placeholder(kind: Column, style: str = "category") -> Column:
@@ -18,22 +25,72 @@ def placeholder(kind: Column, style: str = "category") -> Column:
     return F.concat(F.lit("["), kind, F.lit("_REDACTED]" if style == "redacted" else "]"))
 
 
+def _in_order(text: Column, entities: Column, style: str, order: str) -> Column:
+    """The entities as structs ``(a, i, value, by)`` in the order in which they are replaced."""
+    at = lambda e: F.when(F.instr(text, e["value"]) > 0, F.instr(text, e["value"])).otherwise(F.lit(2**31 - 1)) if order == "first" else -F.length(e["value"])
+    return F.array_sort(F.transform(entities, lambda e, i: F.struct(at(e).alias("a"), i.alias("i"), e["value"].alias("value"), placeholder(e["type"], style).alias("by"))))
+
+
 def redact_text(text: Column, entities: Column, style: str = "category", order: str = "longest") -> Column:
     """Every occurrence of every entity's value replaced by its placeholder, one after the other.
 
     entities: array of structs with type and value.  order ``longest`` goes by length, which can't strand the tail
     of a longer value; ``first`` goes by first occurrence, as the library form does.  Ties keep the array's order.
+    For a few entities a text: the text is copied once for each. ``redact_documents`` has no such cost.
     """
-    at = lambda e, i: F.when(F.instr(text, e["value"]) > 0, F.instr(text, e["value"])).otherwise(F.lit(2**31 - 1)) if order == "first" else -F.length(e["value"])
-    keyed = F.transform(entities, lambda e, i: F.struct(at(e, i).alias("a"), i.alias("i"), e["value"].alias("value"), placeholder(e["type"], style).alias("by")))
-    return F.aggregate(F.array_sort(keyed), text, lambda acc, e: F.when(F.coalesce(e["value"], F.lit("")) != "", F.replace(acc, e["value"], e["by"])).otherwise(acc))
+    return F.aggregate(_in_order(text, entities, style, order), text, lambda acc, e: F.when(F.coalesce(e["value"], F.lit("")) != "", F.replace(acc, e["value"], e["by"])).otherwise(acc))
+
+
+def _with_values(df: DataFrame, found: DataFrame, key: str, text_col: str, style: str, order: str) -> tuple[DataFrame, str]:
+    """The documents with an array of their entities' structs in order (null without any), and the array's name."""
+    own = own_prefix(df)
+    mine = found.groupBy(F.col(key).alias(f"{own}key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type", "value"))), lambda e: F.struct(e["type"].alias("type"), e["value"].alias("value"))).alias(f"{own}e"))
+    joined = df.join(mine, F.col(key) == F.col(f"{own}key"), "left").drop(f"{own}key")
+    return joined.withColumn(f"{own}e", _in_order(F.col(text_col), F.col(f"{own}e"), style, order)), f"{own}e"
 
 
 def redact_documents(df: DataFrame, found: DataFrame, key: str = "doc_id", text_col: str = "text", style: str = "category", order: str = "longest", out: str = "safe_text") -> DataFrame:
-    """Adds the redacted text; findings are gathered for each text in their order."""
-    mine = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type", "value"))), lambda e: F.struct(e["type"].alias("type"), e["value"].alias("value"))).alias("__e"))
-    joined = df.join(mine, key, "left")
-    return joined.withColumn(out, F.when(F.col("__e").isNull(), F.col(text_col)).otherwise(redact_text(F.col(text_col), F.col("__e"), style, order))).drop("__e")
+    """Adds the redacted text; equal to ``redact_text`` over a text's findings in their order.
+
+    The places of all findings are found in one reading and the text is rebuilt once, so a text with thousands of findings stays
+    cheap. Texts without findings don't leave the JVM.
+    """
+
+    @F.pandas_udf("string")
+    def rebuild(text: pd.Series, values: pd.Series, by: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or any(v and b is None for v, b in zip(vs, bs, strict=True)) else rebuilt(t, [v or "" for v in vs], list(bs)) for t, vs, bs in zip(text, values, by, strict=True)], dtype=object)
+
+    some, e = _with_values(df, found, key, text_col, style, order)
+    each = F.transform(e, lambda x: x["value"]), F.transform(e, lambda x: x["by"])
+    empty = F.array().cast("array<string>")
+    mine = F.col(e).isNotNull()
+    safe = rebuild(F.when(mine, F.col(text_col)), F.coalesce(each[0], empty), F.coalesce(each[1], empty))
+    return some.withColumn(out, F.when(mine, safe).otherwise(F.col(text_col))).drop(e)
+
+
+def redaction_spans(df: DataFrame, found: DataFrame, key: str = "doc_id", text_col: str = "text", style: str = "category", order: str = "longest") -> DataFrame:
+    """``(key, start, end, value, placeholder)``: every place that redaction replaces, from 0 in characters, end exclusive.
+
+    Values take places in the order of ``redact_documents``, none that an earlier value took. Null texts, keys without findings and empty
+    values give no rows.
+    """
+    some, e = _with_values(df, found, key, text_col, style, order)
+    rows = some.where(F.col(e).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key).alias("key"), F.col(text_col).alias("text"), F.transform(e, lambda x: F.coalesce(x["value"], F.lit(""))).alias("values"), F.transform(e, lambda x: x["by"]).alias("by"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found_ = [], []
+            for r, (text, values, by) in enumerate(zip(*[batch.column(k) for k in (1, 2, 3)], strict=True)):
+                values, by = values.as_py(), by.as_py()
+                for a, z, k in taken(text.as_py(), values):
+                    at.append(r)
+                    found_.append((a, z, values[k], by[k]))
+            columns = zip(*found_, strict=True) if found_ else ((), (), (), ())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=["key", "start", "end", "value", "placeholder"])
+
+    schema = rows.select("key", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("").alias("value"), F.lit("").alias("placeholder")).schema
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def redaction_actions(scored: DataFrame, least: str = "HIGH", methods: dict[str, str] | None = None) -> DataFrame:
@@ -105,15 +162,20 @@ def redact_elements(elements: DataFrame, found: DataFrame, key: str = "page_id")
     """Changes to a page's elements: ``(page, idx, field, before, after)`` where an entity is named by selector or equals a value or text.
 
     Inputs change their value, other elements the first occurrence in their text.  Entities are tried in order; the first decides.
+    Selectors and whole values meet by equi-joins, values inside texts in the page's automata.
     """
-    e = found.select(key, F.col("pos").alias("__pos"), F.col("type").alias("__type"), F.col("value").alias("__value"), F.col("dom_selector").alias("__sel"))
-    met = elements.join(e, key).where((F.col("selector") == F.col("__sel")) | ((F.col("__value") != "") & ((F.coalesce(F.col("value"), F.lit("")) == F.col("__value")) | F.contains(F.coalesce(F.col("text"), F.lit("")), F.col("__value")))))
-    first = F.row_number().over(Window.partitionBy(key, "idx").orderBy("__pos"))
-    met = met.withColumn("__r", first).where("__r = 1")
-    by = placeholder(F.col("__type"))
-    at = F.instr(F.col("text"), F.col("__value"))
-    swapped = F.when(at > 0, F.concat(F.substring(F.col("text"), F.lit(1), at - 1), by, F.substring(F.col("text"), at + F.length("__value"), F.length("text")))).otherwise(by)
-    return met.select(key, "idx", F.when(F.col("is_input"), "value").otherwise("text").alias("field"), F.when(F.col("is_input"), F.col("value")).otherwise(F.col("text")).alias("before"), F.when(F.col("is_input"), by).otherwise(swapped).alias("after"))
+    of = F.struct("pos", "type", "value").alias("__of")
+    e = found.select(key, of, F.col("value").alias("__value"), F.col("dom_selector").alias("__selector"))
+    v = elements.select(key, "idx", F.col("selector").alias("__selector"), F.col("text").alias("__text"), F.col("value").alias("__value"), "is_input")
+    named = v.drop("__value").join(e, [key, "__selector"]).select(key, "idx", "__of")
+    equal = v.where("__value != ''").join(e, [key, "__value"]).select(key, "idx", "__of")
+    held = value_hits(v, e, (key,), "idx", "__text", "__of", "__value").select(key, "idx", "__of")
+    first = named.union(equal).union(held).groupBy(key, "idx").agg(F.min("__of").alias("__of"))
+    met = v.join(first, [key, "idx"])
+    by, text, value = placeholder(F.col("__of.type")), F.col("__text"), F.col("__of.value")
+    at = F.instr(text, value)
+    swapped = F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), by, F.substring(text, at + F.length(value), F.length(text)))).otherwise(by)
+    return met.select(key, "idx", F.when(F.col("is_input"), "value").otherwise("text").alias("field"), F.when(F.col("is_input"), F.col("__value")).otherwise(text).alias("before"), F.when(F.col("is_input"), by).otherwise(swapped).alias("after"))
 
 
 def protected_only(shots: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilgrid.functions import fixed
 from veilgrid.functions.patterns import java
-from veilgrid.functions.text import contains_box
+from veilgrid.operators.boxes import containing
 from veilgrid.operators.detect import level_order
 
 
@@ -98,15 +98,19 @@ def element_score(element: Column) -> Column:
 def dom_context(entities: DataFrame, elements: DataFrame, keys: tuple[str, ...] = ("page_id",), entity_key: str = "entity_id", strict: bool = False) -> DataFrame:
     """Adds ``dom_context``: the score of the element with the entity's selector, else of the first element around its box.
 
-    Both sides meet on the page alone.  strict leaves boxes without width out; otherwise they are points.
+    Selectors meet by an equi-join, boxes on grids, so a page's boxes aren't all compared.  strict leaves boxes without width
+    out; otherwise they are points.
     """
-    e = elements.select(*keys, F.col("idx").alias("__idx"), F.col("selector").alias("__sel"), F.col("rect").alias("__rect"), element_score(F.struct(*elements.columns)).alias("__score")).where("__score is not null")
-    named = (F.col("dom_selector") == F.col("__sel")) & (F.col("dom_selector") != "")
-    around = contains_box(F.col("__rect"), F.col("bbox")) & ((F.col("bbox.width") > 0) if strict else F.lit(True))
-    met = entities.select(*keys, entity_key, "dom_selector", "bbox").join(e, list(keys)).where(named | around)
+    e = elements.select(*keys, F.col("idx").alias("__idx"), F.col("selector").alias("__selector"), F.col("rect").alias("__rect"), element_score(F.struct(*elements.columns)).alias("__score")).where("__score is not null")
+    n = entities.select(*keys, F.col(entity_key).alias("__entity"), F.col("dom_selector").alias("__selector"), F.col("bbox").alias("__box"))
     # elements are tried by selector first; only the first element with the selector counts
-    best = met.groupBy(*keys, entity_key).agg(F.min_by("__score", F.struct((~F.coalesce(named, F.lit(False))).alias("later"), "__idx")).alias("__dom"))
-    return entities.join(best, [*keys, entity_key], "left").withColumn("dom_context", F.coalesce("__dom", F.lit(fixed.DEFAULT_DOM))).drop("__dom")
+    found = lambda df, later: df.select(*keys, "__entity", F.struct(F.lit(later).alias("later"), F.col("__idx").alias("idx"), F.col("__score").alias("score")).alias("__found"))
+    named = found(n.where("__selector != ''").join(e, [*keys, "__selector"]), False)
+    boxed = (n.where("__box.width > 0") if strict else n).select(*keys, "__entity", "__box")
+    around = found(containing(boxed, e.select(*keys, "__idx", "__score", "__rect"), keys, "__box", "__rect"), True)
+    best = named.union(around).groupBy(*keys, "__entity").agg(F.min("__found").alias("__found"))
+    best = best.select(*keys, F.col("__entity").alias(entity_key), F.col("__found.score").alias("dom_context"))
+    return entities.drop("dom_context").join(best, [*keys, entity_key], "left").withColumn("dom_context", F.coalesce("dom_context", F.lit(fixed.DEFAULT_DOM)))
 
 
 def page_risk_mean(scored: DataFrame, keys: tuple[str, ...]) -> DataFrame:

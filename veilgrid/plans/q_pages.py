@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.functions import fixed, patterns, text
-from veilgrid.operators import classify, detect, firewall, matching, redact, report, risk
+from veilgrid.operators import block_rules, classify, detect, firewall, matching, redact, report, risk, rule_tables
 from veilgrid.operators.page_rules import ADDITIVE, WEIGHTED
-from veilgrid.plans.q_text import _TRIM, DOCS, GRID_LEVELS, ORD, _SCORED, grid, scored_documents, scored_grid
-from veilgrid.plans.registry import SYNTH_SQL, case, lit, names, query, rx, synth, table
+from veilgrid.plans.page_sql import PAGE_TEXT
+from veilgrid.plans.q_text import _COUNTS_SQL, _CTX, _SCORED, _TRIM, _WORST, DOCS, GRID_LEVELS, LEVEL_SQL, ORD, _detectors, grid, scored_documents, scored_grid, semantic_sql
+from veilgrid.plans.q_text import _ordered as _ordered_sql
+from veilgrid.plans.registry import ORACLE, SYNTH_SQL, case, lit, names, query, rx, spread, synth, table
+from veilgrid.plans.scan import sanitized_context, scan_pages_lib, scan_pages_rt, tied
 from veilgrid.sources import html
 
 # ---- pages without forms: address, title and text follow from the customer's key
@@ -62,12 +65,16 @@ _EL = {"el_tag": ("input", "div", "form", "select"), "el_name": ("account_no", "
 _EL_SQL = f"SELECT *, {', '.join(f'[{names(v)}][CAST(page_id % {len(v)} AS INT) + 1] AS {k}' for k, v in _EL.items())} FROM ({PAGES_SQL})"
 
 
-@query("p5_element_signals", _weighted_sql(_EL_SQL, True))
-def p5_element_signals(spark, sf_dir):
+def _element_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id")
     pick = lambda seq: F.element_at(F.array(*[F.lit(x) for x in seq]), (k % len(seq)).cast("int") + 1)
     e = F.array(F.struct(pick(_EL["el_tag"]).alias("tag_name"), pick(_EL["el_name"]).alias("name"), pick(_EL["el_class"]).alias("class_name"), pick(_EL["el_type"]).alias("input_type"), F.lit("").alias("type")))
-    return classify.classify_weighted(pages_of(spark, sf_dir).withColumn("elements", e), "elements").select("page_id", "page_type")
+    return pages_of(spark, sf_dir).withColumn("elements", e)
+
+
+@query("p5_element_signals", _weighted_sql(_EL_SQL, True))
+def p5_element_signals(spark, sf_dir):
+    return classify.classify_weighted(_element_pages(spark, sf_dir), "elements").select("page_id", "page_type")
 
 
 def _additive_sql(source: str) -> str:
@@ -91,6 +98,28 @@ def p6_additive_type_pages(spark, sf_dir):
     return classify.classify_additive(rows).select("page_id", "page_type")
 
 
+# the same rules as rows of a table
+@query("p6_additive_type_by_table", ORACLE["p6_additive_type"])
+def p6_additive_type_by_table(spark, sf_dir):
+    return rule_tables.classify_additive_by_table(pages_of(spark, sf_dir)).select("page_id", "page_type")
+
+
+@query("p6_additive_pages_by_table", ORACLE["p6_additive_type_pages"])
+def p6_additive_pages_by_table(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.lit("").alias("title"), F.col("html").alias("visible_text"))
+    return rule_tables.classify_additive_by_table(rows).select("page_id", "page_type")
+
+
+@query("p1_weighted_type_by_table", ORACLE["p1_weighted_type"])
+def p1_weighted_type_by_table(spark, sf_dir):
+    return rule_tables.classify_weighted_by_table(pages_of(spark, sf_dir)).select("page_id", "page_type")
+
+
+@query("p5_element_signals_by_table", ORACLE["p5_element_signals"])
+def p5_element_signals_by_table(spark, sf_dir):
+    return rule_tables.classify_weighted_by_table(_element_pages(spark, sf_dir), "elements").select("page_id", "page_type")
+
+
 # ---- extraction
 
 @query("s2_anchor_counts", "SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS n_links FROM pages")
@@ -99,7 +128,7 @@ def s2_anchor_counts(spark, sf_dir):
     return p.select("page_id", F.size(F.filter("elements", lambda e: e["is_link"] & (e["tag_name"] == "a"))).cast("long").alias("n_links"))
 
 
-@query("s1_page_context")
+@query("s1_page_context", f"SELECT page_id, title, length(visible_text) AS chars, CAST(len(regexp_extract_all(html, '<a[ >]')) AS INTEGER) AS n_elements, 0 AS n_fields, md5(visible_text) AS digest FROM ({PAGE_TEXT}) JOIN pages USING (page_id)")
 def s1_page_context(spark, sf_dir):
     p = html.extract_pages(table(spark, sf_dir, "pages"))
     return p.select("page_id", "title", F.length("visible_text").alias("chars"), F.size("elements").alias("n_elements"), F.size("form_fields").alias("n_fields"), F.md5("visible_text").alias("digest"))
@@ -130,24 +159,57 @@ def s7_elements(spark, sf_dir):
 
 @query("scan_pages_runtime")
 def scan_pages_runtime(spark, sf_dir):
-    from veilgrid.plans.scan import scan_pages_rt
-
-    return scan_pages_rt(form_pages(spark, sf_dir)).entities.select("page_id", "type", "value", "confidence", F.round("overall", 6).alias("overall"), "level", "page_type")
+    scan = scan_pages_rt(form_pages(spark, sf_dir))
+    return tied(scan.entities.select("page_id", "type", "value", "confidence", F.round("overall", 6).alias("overall"), "level", "page_type"), scan)
 
 
 @query("scan_pages_library")
 def scan_pages_library(spark, sf_dir):
-    from veilgrid.plans.scan import scan_pages_lib
+    scan = scan_pages_lib(form_pages(spark, sf_dir))
+    return tied(scan.entities.select("page_id", "type", "value", "confidence", F.round("overall", 6).alias("overall"), "level", "page_type"), scan)
+
+
+# the pages of the table: what they show, findings with risk, page types, safe texts and reports, from raw HTML
+_SHOWN = f"WITH RECURSIVE v AS MATERIALIZED (SELECT page_id, url, title, visible_text FROM ({PAGE_TEXT}) JOIN pages USING (page_id))"
+_SHOWN_TEXT = "SELECT page_id AS id, visible_text AS text FROM v"
+_SHOWN_OVERALL = f"0.30 * {case('type', fixed.SENSITIVITY, 0.5)} + 0.25 * confidence + 0.20 * 0.4 + 0.15 * {case('page_type', fixed.PAGE_SENSITIVITY, 0.3)} + 0.10 * ({semantic_sql('context')})"
+_SHOWN_SCORED = f"SELECT f.id AS page_id, pos, type, value, confidence, round({_SHOWN_OVERALL}, 6)::DOUBLE AS overall, {LEVEL_SQL(f'round({_SHOWN_OVERALL}, 12)')} AS level, page_type FROM (SELECT f.*, {_CTX('value')} AS context, page_type FROM ({_ordered_sql(_detectors(_SHOWN_TEXT, 'rt'))}) f JOIN ({_SHOWN_TEXT}) d ON f.id = d.id JOIN ({_additive_sql('SELECT * FROM v')}) t ON t.page_id = f.id) f"
+
+
+@query("scan_pages_table", f"{_SHOWN} SELECT page_id, type, value, confidence, overall, level, page_type FROM ({_SHOWN_SCORED})")
+def scan_pages_table(spark, sf_dir):
+    """The runtime's scan of all pages of the table."""
+    scan = _scanned(spark, sf_dir)
+    return tied(scan.entities.select("page_id", "type", "value", "confidence", F.round("overall", 6).alias("overall"), "level", "page_type"), scan)
 
-    return scan_pages_lib(form_pages(spark, sf_dir)).entities.select("page_id", "type", "value", "confidence", F.round("overall", 6).alias("overall"), "level", "page_type")
+
+@query("scan_pages_safe_texts", f"""{_SHOWN},
+f AS (SELECT page_id AS id, value, '[' || type || '_REDACTED]' AS ph, row_number() OVER (PARTITION BY page_id ORDER BY length(value) DESC, pos) AS k FROM ({_SHOWN_SCORED})),
+s(id, k, t) AS (SELECT id, 0, text FROM ({_SHOWN_TEXT}) UNION ALL SELECT s.id, f.k, replace(s.t, f.value, f.ph) FROM s JOIN f ON f.id = s.id AND f.k = s.k + 1)
+SELECT id AS page_id, title, page_type, md5(arg_max(t, k)) AS digest, CAST(max(k) AS BIGINT) AS entity_count FROM s JOIN v ON v.page_id = s.id JOIN ({_additive_sql('SELECT * FROM v')}) t ON t.page_id = s.id GROUP BY id, title, page_type""")
+def scan_pages_safe_texts(spark, sf_dir):
+    """What may leave of each page of the table, as of ``f4_sanitized_context``, its text as a digest."""
+    scan = _scanned(spark, sf_dir)
+    return tied(sanitized_context(scan).select("page_id", "title", "page_type", F.md5("safe_text").alias("digest"), "entity_count"), scan)
+
+
+@query("scan_pages_report", f"""{_SHOWN}
+SELECT page_id, count(*) AS entities, {_COUNTS_SQL} AS counts, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][{_WORST} + 1] AS overall_risk, count(*) FILTER (level IN ('HIGH', 'CRITICAL')) AS redactions, {_WORST} < 2 AS is_safe
+FROM ({_SHOWN_SCORED}) GROUP BY page_id""")
+def scan_pages_report(spark, sf_dir):
+    scan = _scanned(spark, sf_dir)
+    return tied(scan.report.select("page_id", "entities", F.to_json("counts").alias("counts"), "overall_risk", "redactions", "is_safe"), scan)
+
+
+def _scanned(spark: SparkSession, sf_dir: str):
+    return scan_pages_rt(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
 @query("f4_sanitized_context")
 def f4_sanitized_context(spark, sf_dir):
-    from veilgrid.plans.scan import sanitized_context, scan_pages_rt
-
-    c = sanitized_context(scan_pages_rt(form_pages(spark, sf_dir)))
-    return c.select("page_id", "url", "title", "page_type", "safe_text", F.to_json("safe_elements").alias("safe_elements"), F.to_json("safe_form_fields").alias("safe_form_fields"), "entity_count")
+    scan = scan_pages_rt(form_pages(spark, sf_dir))
+    c = sanitized_context(scan).select("page_id", "url", "title", "page_type", "safe_text", F.to_json("safe_elements").alias("safe_elements"), F.to_json("safe_form_fields").alias("safe_form_fields"), "entity_count")
+    return tied(c, scan)
 
 
 _NAMES = ("email_addr", "phone", "credit card", "cvv", "expiry", "ssn", "passport", "first name", "street", "birth date", "diagnosis", "api key", "bank", "other", "")
@@ -302,13 +364,35 @@ def j5_fuzzy_match(spark, sf_dir):
     return table(spark, sf_dir, "events").select(i.alias("id"), text.fuzzy(pick(_FUZZY_A, i % 7), pick(_FUZZY_B, F.floor(i / 7) % 7)).alias("score"))
 
 
-@query("j4_combined_entities")
+# one entity of each type on a page, so every even one finds itself
+@query("j4_combined_entities", "SELECT event_id // 10 AS page_id, 0 AS part, event_id AS pos, [" + names(fixed.CATEGORIES) + "][CAST(event_id % 15 AS INT) + 1] AS type, ['plain', 'box', 'none here', 'row'][CAST(event_id % 4 AS INT) + 1] || CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END AS value, CASE WHEN event_id % 2 = 0 THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence, CASE WHEN event_id % 2 = 0 THEN 'HYBRID' ELSE 'REGEX' END AS source FROM events")
 def j4_combined_entities(spark, sf_dir):
     dom = _page_entities(spark, sf_dir)
     ocr = dom.where("pos % 2 = 0").withColumn("value", F.concat("value", F.lit(" "))).withColumn("source", F.lit("OCR")).withColumn("confidence", F.lit(0.9))
     return matching.combine(dom, ocr).select("page_id", "part", "pos", "type", "value", "confidence", "source")
 
 
+# pages of 40 entities of two types, where each has many partners and the order decides
+_DENSE = f"SELECT event_id // 40 AS page_id, event_id AS pos, event_id % 2 AS type, ['plain', 'box', 'none here', 'row'][CAST(event_id // 2 % 4 AS INT) + 1] AS value, {', '.join(f'CAST({_B[n]} AS DOUBLE) AS {n}' for n in ('bx', 'by_', 'bw', 'bh'))} FROM events"
+_DENSE_IOU = "(least(a.bx + a.bw, b.bx + b.bw) - greatest(a.bx, b.bx)) * (least(a.by_ + a.bh, b.by_ + b.bh) - greatest(a.by_, b.by_))"
+
+
+@query("j4_first_free", f"""
+WITH RECURSIVE n AS ({_DENSE}),
+e AS (SELECT a.page_id, a.pos AS dom_pos, b.pos AS ocr_pos, row_number() OVER (PARTITION BY a.page_id ORDER BY a.pos, b.pos) AS k FROM n a JOIN n b ON a.page_id = b.page_id AND a.type = b.type AND b.pos % 3 > 0
+      WHERE a.value = b.value OR (least(a.bx + a.bw, b.bx + b.bw) > greatest(a.bx, b.bx) AND least(a.by_ + a.bh, b.by_ + b.bh) > greatest(a.by_, b.by_) AND {_DENSE_IOU} / (a.bw * a.bh + b.bw * b.bh - {_DENSE_IOU}) > 0.5)),
+s AS (SELECT page_id, 0::BIGINT AS k, []::BIGINT[] AS d, []::BIGINT[] AS o FROM (SELECT DISTINCT page_id FROM e)
+      UNION ALL SELECT page_id, k + 1, CASE WHEN free THEN list_append(d, dom_pos) ELSE d END, CASE WHEN free THEN list_append(o, ocr_pos) ELSE o END
+      FROM (SELECT s.*, e.dom_pos, e.ocr_pos, NOT list_contains(d, dom_pos) AND NOT list_contains(o, ocr_pos) AS free FROM s JOIN e ON e.page_id = s.page_id AND e.k = s.k + 1))
+SELECT page_id, unnest(d) AS dom_pos, unnest(o) AS ocr_pos FROM (SELECT page_id, arg_max(d, k) AS d, arg_max(o, k) AS o FROM s GROUP BY page_id)""")
+def j4_first_free(spark, sf_dir):
+    i = F.col("event_id")
+    box = F.struct(*[F.expr(x).cast("double").alias(n) for x, n in zip(_BOX[4:], ("x", "y", "width", "height"), strict=True)])
+    value = F.element_at(F.array(*[F.lit(x) for x in ("plain", "box", "none here", "row")]), (F.floor(i / 2) % 4).cast("int") + 1)
+    n = table(spark, sf_dir, "events").select(F.floor(i / 40).alias("page_id"), i.alias("pos"), (i % 2).alias("type"), value.alias("value"), box.alias("bbox"))
+    return matching.first_free(matching.candidate_pairs(n, n.where("pos % 3 > 0")), ("page_id",), "dom_pos", "ocr_pos")
+
+
 @query("j6_word_boxes")
 def j6_word_boxes(spark, sf_dir):
     words = _page_elements(spark, sf_dir).select("page_id", "idx", "text", F.col("rect").alias("bbox"))
@@ -324,10 +408,20 @@ def j6_text_lines(spark, sf_dir):
     return matching.text_lines(words).select("page_id", F.col("line").cast("long").alias("line"), "n_words", "bbox.y")
 
 
-@query("j7_located_boxes")
+_NEAR = "abs(a[1] - b[1][1]) < 2 AND abs(a[2] - b[1][2]) < 2 AND abs(a[3] - b[1][3]) < 4 AND abs(a[4] - b[1][4]) < 4"
+
+
+@query("j7_located_boxes", f"""
+WITH e AS ({_EL_ROWS}), n AS ({_EN_ROWS}),
+h AS (SELECT n.page_id, n.entity_id, e.idx, [ax, ay, aw, ah] AS b, CASE WHEN e.selector = n.dom_selector THEN 0 WHEN contains(e.text, n.value) THEN 2 WHEN contains(lower(e.text), lower(n.value)) THEN 3 END AS how FROM n JOIN e ON e.page_id = n.page_id),
+k AS (SELECT *, min(how) OVER w = 0 AS sure, bool_or(how = 2) OVER w AS exact FROM h WHERE how IS NOT NULL WINDOW w AS (PARTITION BY page_id, entity_id)),
+l AS (SELECT page_id, entity_id, list([b] ORDER BY how, idx) AS l FROM k WHERE CASE WHEN sure THEN how = 0 ELSE how < 3 OR NOT exact END GROUP BY page_id, entity_id),
+r AS (SELECT page_id, entity_id, list_reduce(l, lambda acc, b: CASE WHEN len(list_filter(acc, lambda a: {_NEAR})) > 0 THEN acc ELSE acc || b END) AS r FROM l)
+SELECT n.page_id, n.entity_id, coalesce(array_to_string(list_transform(r.r, lambda b: array_to_string(list_transform(b, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ',')), ';'), '') AS boxes FROM n LEFT JOIN r ON r.page_id = n.page_id AND r.entity_id = n.entity_id""")
 def j7_located_boxes(spark, sf_dir):
     r = matching.locate(_page_entities(spark, sf_dir), _page_elements(spark, sf_dir))
-    return r.select("page_id", "entity_id", F.to_json("boxes").alias("boxes"))
+    sides = lambda b: F.concat_ws(",", *[b[c].cast("long").cast("string") for c in ("x", "y", "width", "height")])
+    return r.select("page_id", "entity_id", F.array_join(F.transform("boxes", sides), ";").alias("boxes"))
 
 
 @query("j8_append_new", "SELECT page_id, type, value FROM (SELECT event_id // 10 AS page_id, 'EMAIL' AS type, 'v' || CAST(event_id % 7 AS VARCHAR) AS value FROM events) UNION ALL SELECT DISTINCT ON (page_id, value, k) page_id, 'EMAIL', value FROM (SELECT event_id // 10 AS page_id, 'v' || CAST(event_id % 11 AS VARCHAR) AS value, event_id AS k FROM events) x WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id // 10 = x.page_id AND 'v' || CAST(e.event_id % 7 AS VARCHAR) = x.value)")
@@ -337,7 +431,17 @@ def j8_append_new(spark, sf_dir):
     return matching.append_new(one(7), one(11))
 
 
-@query("j9_find_element")
+_Q_WORDS = "list_filter(string_split(said, ' '), lambda w: w <> '')"
+_H_WORDS = "list_filter(string_split(hay, ' '), lambda w: w <> '')"
+_Q_BEST = "CASE WHEN list_contains(have, q) THEN 1.0 WHEN len(list_filter(have, lambda t: (contains(t, q) OR contains(q, t)) AND least(length(t), length(q)) / greatest(length(t), length(q)) >= 0.6)) > 0 THEN 0.5 WHEN contains(hay, q) THEN 0.3 WHEN len(list_filter(string_split(q, ''), lambda c: contains(hay, c))) / length(q) > 0.8 AND length(q) >= 3 THEN 0.2 ELSE 0.0 END"
+
+
+@query("j9_find_element", f"""
+WITH e AS (SELECT page_id, idx, selector, lower(coalesce(nullif(text, ''), 'div') || ' generic div ' || selector) AS hay FROM ({_EL_ROWS})),
+q AS (SELECT DISTINCT page_id, ['the password field', 'telephone', 'grid row', 'zzz'][CAST(page_id % 4 AS INT) + 1] AS said FROM e),
+m AS (SELECT e.page_id, idx, selector, hay, said, {_Q_WORDS} AS words, {_H_WORDS} AS have FROM e JOIN q ON e.page_id = q.page_id),
+s AS (SELECT *, round(CASE WHEN contains(hay, said) THEN 1.0 ELSE list_sum(list_transform(words, lambda q: {_Q_BEST})) / len(words) END, 9)::DOUBLE AS score FROM m)
+SELECT page_id, 1 AS query_id, selector, score FROM s WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, idx) = 1""")
 def j9_find_element(spark, sf_dir):
     safe = firewall.safe_elements(_page_elements(spark, sf_dir))
     asked = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10).alias("page_id")).distinct()
@@ -371,12 +475,15 @@ s(id, k, t) AS (SELECT id, 0, text FROM ({DOCS}) UNION ALL SELECT s.id, f.k, rep
 SELECT id AS doc_id, md5(arg_max(t, k)) AS digest, CAST(max(k) AS BIGINT) AS n FROM s GROUP BY id"""
 
 
+def _ordered(found: DataFrame) -> DataFrame:
+    """Ties of length go by detector and value here, so that SQL can state the order."""
+    order = F.row_number().over(_by_doc().orderBy(F.element_at(F.create_map(*[F.lit(x) for p in (("EMAIL", 1), ("PHONE", 2), ("CREDIT_CARD", 3)) for x in p]), F.col("type")), "value"))
+    return found.withColumn("pos", order)
+
+
 def _redact_query(style: str):
     def run(spark, sf_dir):
-        found = scored_documents(spark, sf_dir)
-        # ties of length go by detector and value here, so that SQL can state the order
-        order = F.row_number().over(_by_doc().orderBy(F.element_at(F.create_map(*[F.lit(x) for p in (("EMAIL", 1), ("PHONE", 2), ("CREDIT_CARD", 3)) for x in p]), F.col("type")), "value"))
-        found = found.withColumn("pos", order)
+        found = _ordered(scored_documents(spark, sf_dir))
         n = found.groupBy("doc_id").agg(F.count("*").alias("n"))
         out = redact.redact_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), found, style=style)
         return out.join(n, "doc_id", "left").select("doc_id", F.md5("safe_text").alias("digest"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -404,11 +511,28 @@ def a3_redactions_by_method(spark, sf_dir):
     return redact.redaction_actions(scored_documents(spark, sf_dir)).groupBy("method").agg(F.count("*").alias("n"))
 
 
-@query("x5_element_changes")
+@query("x5_element_changes", f"""
+WITH e AS ({_EL_ROWS}), n AS ({_EN_ROWS}),
+m AS (SELECT e.page_id, e.idx, e.text, arg_min(n.type, n.pos) AS type, arg_min(n.value, n.pos) AS value FROM e JOIN n ON n.page_id = e.page_id WHERE e.selector = n.dom_selector OR contains(e.text, n.value) GROUP BY ALL),
+p AS (SELECT *, {case("type", fixed.PLACEHOLDER, "[REDACTED]")} AS ph FROM m)
+SELECT page_id, idx, 'text' AS field, text AS before, CASE WHEN contains(text, value) THEN left(text, instr(text, value) - 1) || ph || substr(text, instr(text, value) + length(value)) ELSE ph END AS after FROM p""")
 def x5_element_changes(spark, sf_dir):
     return redact.redact_elements(_page_elements(spark, sf_dir), _page_entities(spark, sf_dir))
 
 
+# a value's places in a text whose earlier values' places are filled with a character of no text
+@query("x1_redaction_spans", f"""
+WITH RECURSIVE f AS (SELECT id, value, {case("type", fixed.PLACEHOLDER, "[REDACTED]")} AS ph, row_number() OVER (PARTITION BY id ORDER BY length(value) DESC, det, value) AS k FROM ({_SCORED})),
+s(id, k, t, value, ph, parts) AS (SELECT id, 0, text, '', '', ['']  FROM ({DOCS})
+  UNION ALL SELECT s.id, f.k, replace(s.t, f.value, repeat(chr(1), length(f.value))), f.value, f.ph, string_split(s.t, f.value) FROM s JOIN f ON f.id = s.id AND f.k = s.k + 1),
+o AS (SELECT id, value, ph, parts, unnest(range(1, len(parts))) AS i FROM s WHERE k > 0)
+SELECT id AS doc_id, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(value) AS BIGINT) AS "start", CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + i * length(value) AS BIGINT) AS "end", md5(value) AS value, ph AS placeholder FROM o""")
+def x1_redaction_spans(spark, sf_dir):
+    found = _ordered(scored_documents(spark, sf_dir))
+    spans = redact.redaction_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), found)
+    return spans.select("doc_id", "start", "end", F.md5("value").alias("value"), "placeholder")
+
+
 _MASK_SRC = f"SELECT c_custkey AS id, [{names(('PASSWORD', 'EMAIL', 'CREDIT_CARD', 'PHONE', 'GOVERNMENT_ID', 'ADDRESS', 'API_KEY'))}][CAST(c_custkey % 7 AS INT) + 1] AS type, CASE c_custkey % 5 WHEN 0 THEN 'ab@c.de' WHEN 1 THEN '4111 1111 1111 1111' WHEN 2 THEN c_name WHEN 3 THEN '123456' ELSE 'abc' END AS value FROM customer"
 
 
@@ -507,6 +631,34 @@ def f5_action_log(spark, sf_dir):
     return log.groupBy("page_id", "action").agg(F.count("*").alias("n"))
 
 
+# a path pattern for each order: a language, a number and how the path may end; some have no literal to go by
+_RULE_SQL = "SELECT o_orderkey AS rule_id, CASE WHEN o_orderkey % 1000 = 1 THEN '/(en|de)/[0-9]+' WHEN o_orderkey % 7 = 0 THEN '^https?://[a-z.]*example[.]net/' || ['en', 'fr', 'de', 'es'][CAST(o_custkey % 4 AS INT) + 1] || '/' || CAST(o_orderkey % 1000 AS VARCHAR) ELSE '/' || ['en', 'fr', 'de', 'es'][CAST(o_custkey % 4 AS INT) + 1] || '/' || CAST(o_orderkey % 1000 AS VARCHAR) || '(/|[.]html|[?]|#|$)' END AS pattern FROM orders"
+
+
+def _path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    lang = F.element_at(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), (F.col("o_custkey") % 4).cast("int") + 1)
+    number = (k % 1000).cast("string")
+    pattern = F.when(k % 1000 == 1, "/(en|de)/[0-9]+").when(k % 7 == 0, F.concat(F.lit("^https?://[a-z.]*example[.]net/"), lang, F.lit("/"), number)).otherwise(F.concat(F.lit("/"), lang, F.lit("/"), number, F.lit("(/|[.]html|[?]|#|$)")))
+    return table(spark, sf_dir, "orders").select(k.alias("rule_id"), pattern.alias("pattern"))
+
+
+@query("f6_path_rules", f"SELECT page_id, CAST(sum(n) AS BIGINT) AS n_rules, min(first) AS first_rule FROM pages JOIN (SELECT pattern, count(*) AS n, min(rule_id) AS first FROM ({_RULE_SQL}) GROUP BY pattern) r ON regexp_matches(url, pattern) GROUP BY page_id")
+def f6_path_rules(spark, sf_dir):
+    """Pages by the path patterns, one for each order, that their address matches."""
+    met = block_rules.matching_rules(table(spark, sf_dir, "pages").select("page_id", "url"), _path_rules(spark, sf_dir), "url")
+    return met.groupBy("page_id").agg(F.count("*").alias("n_rules"), F.min("rule_id").alias("first_rule"))
+
+
+@query("f1_check_by_rules", f"SELECT id, array_to_string(d, ',') AS detected, CASE WHEN source = 'evil.test' OR regexp_matches(source, '/private/') THEN 'BLOCK' WHEN len(d) > 0 THEN 'REDACT' ELSE 'ALLOW' END AS action FROM (SELECT *, {_fields_sql('lib', 'data')} AS d FROM ({_PAYLOAD_SQL}))")
+def f1_check_by_rules(spark, sf_dir):
+    """``f1_check_outbound`` with its block list as a table, among the path patterns of all orders."""
+    paths = _path_rules(spark, sf_dir).select("rule_id", F.lit("path").alias("kind"), F.col("pattern").alias("value"))
+    own = spark.createDataFrame([(-1, "domain", "evil.test"), (-2, "path", "/private/")], "rule_id long, kind string, value string")
+    r = block_rules.check_outbound_by_rules(_payloads(spark, sf_dir), paths.union(own))
+    return r.select("id", F.array_join("detected_fields", ",").alias("detected"), "action")
+
+
 @query("f6_blocklist_edit", "SELECT d AS domain FROM (VALUES ('a.test'), ('c.test')) t(d)")
 def f6_blocklist_edit(spark, sf_dir):
     config = spark.createDataFrame([("a.test",), ("b.test",)], "domain string")

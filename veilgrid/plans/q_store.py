@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.functions import fixed
 from veilgrid.operators import models, report
-from veilgrid.plans.registry import lit, names, query, synth, table
-from veilgrid.sources import generate, stores
+from veilgrid.plans import q_text  # noqa: F401  (its SQL is used here)
+from veilgrid.plans.registry import ORACLE, lit, names, query, spread, synth, table
+from veilgrid.sources import export, generate, stores
+from veilgrid.sources.shared import shared_dir
 from veilgrid.streaming import changes
 
 # ---- a screenshot for each event
@@ -69,6 +73,16 @@ def k6_export_manifest(spark, sf_dir):
     return stores.export_manifest(rows).select("id", "url", "part", "file")
 
 
+@query("k6_exported_files", f"SELECT id || '_' || part || '.png' AS file, CAST(length(content) AS BIGINT) AS bytes, md5(content) AS digest FROM (SELECT id, unnest(['before', 'after']) AS part, unnest([original, redacted]) AS content FROM ({_SHOT_SQL})) WHERE content <> ''")
+def k6_exported_files(spark, sf_dir):
+    """All pictures of all shots written as files, and read back."""
+    path = _folder(spark, "export")
+    rows = shots(spark, sf_dir)
+    content = F.when(F.col("part") == "before", F.col("original")).otherwise(F.col("redacted"))
+    export.export_files(stores.export_manifest(rows).select("id", "part", "file").join(rows.select("id", "original", "redacted"), "id").withColumn("content", content), path)
+    return export.exported_files(spark, path).select("file", F.col("length").alias("bytes"), F.md5("content").alias("digest"))
+
+
 @query("k7_auto_export", f"SELECT id, {lit(fixed.EXPORT_FOLDER + '/')} || strftime(ts, '%Y-%m-%d') || '/' || id || '_after.png' AS file, redacted AS content FROM ({_SHOT_SQL}) WHERE coalesce(redacted, '') <> ''")
 def k7_auto_export(spark, sf_dir):
     return stores.auto_export(shots(spark, sf_dir))
@@ -105,6 +119,65 @@ def st1_significant_changes(spark, sf_dir):
     return table(spark, sf_dir, "events").select(i.alias("id"), s.alias("significant"))
 
 
+# ---- streams: the events come in files, a stream is stopped and goes on from its checkpoint
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("st4_audit_ring_replayed", ORACLE["k5_audit_ring_by_source"])
+def st4_audit_ring_replayed(spark, sf_dir):
+    """``k5_audit_ring_by_source`` as a stream with list state, over four lots of files with a restart after each."""
+    root, i = _folder(spark, "ring"), F.col("event_id")
+    entries = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), "ts", i.alias("id"), F.lit("info").alias("level"), F.lit("m").alias("message"))
+    for lot in range(4):
+        entries.where(F.pmod(F.hash("id"), F.lit(4)) == lot).write.mode("append").parquet(f"{root}/in")
+        with changes.with_rocksdb(spark):
+            stream = changes.read_stream(spark, f"{root}/in", entries.schema, 2)
+            changes.run_merged(changes.audit_ring(stream, keep=200), lambda batch: batch, f"{root}/out", f"{root}/checkpoint", "update")
+    parts = changes.merged(spark, f"{root}/out")
+    last = parts.groupBy("source").agg(F.max("batch").alias("batch"))
+    return parts.join(last, ["source", "batch"]).select(F.col("source").alias("event_type"), "id")
+
+
+@query("w1_first_seen_stream", "SELECT user_id, event_type FROM events EXCEPT SELECT user_id, event_type FROM events WHERE user_id % 7 = 0")
+def w1_first_seen_stream(spark, sf_dir):
+    """Pairs that aren't in a snapshot, once each: lots in order of time, one of them twice, with a restart after each."""
+    root, e = _folder(spark, "seen"), table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
+    known = e.where("user_id % 7 = 0").select("user_id", "event_type")
+    low, high = e.agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))), F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first()
+    lot = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - low) * 3 / max(1, high - low + 1)) if low is not None else F.lit(0)
+    for k in (0, 1, 1, 2):
+        e.withColumn("ts", F.col("ts").cast("timestamp")).where(lot == k).write.mode("append").parquet(f"{root}/in")
+        stream = changes.read_stream(spark, f"{root}/in", "user_id long, event_type string, ts timestamp")
+        changes.run_once(changes.first_seen(stream, ("user_id", "event_type"), known, "3650 days"), f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").select("user_id", "event_type")
+
+
+@query("a1_report_merged", ORACLE["privacy_report"])
+def a1_report_merged(spark, sf_dir):
+    """``privacy_report`` kept up to date by batches; the last batch of each run is run again, as after a failure before its commit."""
+    from veilgrid.plans.scan import scan_texts
+
+    root, scans = _folder(spark, "report"), []
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def report_of(batch: DataFrame) -> DataFrame:
+        scans.append(scan_texts(batch, mode="rt"))
+        return scans[-1].report
+
+    for lot in range(2):
+        docs.where(F.pmod("doc_id", F.lit(2)) == lot).write.mode("append").parquet(f"{root}/in")
+        stream = changes.read_stream(spark, f"{root}/in", docs.schema)
+        for again in (False, True):
+            if again:
+                changes.forget_last_commit(spark, f"{root}/checkpoint")
+            changes.run_merged(stream, report_of, f"{root}/out", f"{root}/checkpoint")
+    for s in scans:
+        s.release()
+    r = changes.merged(spark, f"{root}/out")
+    return r.select("doc_id", "entities", F.to_json("counts").alias("counts"), "overall_risk", "redactions", "is_safe")
+
+
 # ---- metrics over labels that follow from the event's number
 _CATS = ("EMAIL", "PHONE", "NAME", "NONE", "ADDRESS")
 _TRUTH_SQL = f"SELECT event_id AS id, [{names(_CATS)}][CAST(event_id % 5 AS INT) + 1] AS label FROM events"

@@ -577,7 +577,7 @@ WITH f AS (SELECT id, type, {LEVEL_SQL(f'round({_OVERALL}, 12)')} AS level FROM
 SELECT id AS doc_id, count(*) AS entities, {_COUNTS_SQL} AS counts, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][{_WORST} + 1] AS overall_risk, count(*) FILTER (level IN ('HIGH', 'CRITICAL')) AS redactions, {_WORST} < 2 AS is_safe
 FROM f GROUP BY id""")
 def privacy_report(spark, sf_dir):
-    from veilgrid.plans.scan import scan_texts
+    from veilgrid.plans.scan import scan_texts, tied
 
-    r = scan_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), mode="rt").report
-    return r.select("doc_id", "entities", F.to_json("counts").alias("counts"), "overall_risk", "redactions", "is_safe")
+    scan = scan_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), mode="rt")
+    return tied(scan.report.select("doc_id", "entities", F.to_json("counts").alias("counts"), "overall_risk", "redactions", "is_safe"), scan)

@@ -2,11 +2,12 @@
 
 Everything is one logical plan; Python runs only where HTML is parsed, a model is asked or greedy matching is settled.
 Parsed pages and scored findings, which several results are made of, are kept on disk between them (and made again from
-the source if an executor goes); ``ScanResult.release`` lets them go.
+the source if an executor goes); ``ScanResult.release`` lets them go, or ``tied`` when a frame that was made of them goes.
 """
 
 from __future__ import annotations
 
+import weakref
 from typing import NamedTuple
 
 from pyspark import StorageLevel
@@ -59,6 +60,12 @@ def _keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def tied(df: DataFrame, scan: ScanResult) -> DataFrame:
+    """The frame; what the scan keeps is let go when the frame is garbage."""
+    weakref.finalize(df, scan.release).atexit = False
+    return df
+
+
 def scan_pages_rt(pages: DataFrame) -> ScanResult:
     """The runtime's scan of raw pages: whole text and field values, additive page type, constant element context."""
     parsed = _keep(html.extract_pages(pages))

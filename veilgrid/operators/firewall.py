@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgrid.functions import fixed, patterns
+from veilgrid.functions.names import own_prefix
 from veilgrid.functions.patterns import java
 from veilgrid.functions.text import trim
 from veilgrid.operators.redact import redact_for_cloud
@@ -52,7 +53,8 @@ def firewall_check(payloads: DataFrame, data_col: str = "data") -> DataFrame:
 
 def header_findings(headers: DataFrame) -> DataFrame:
     """``headers(id, name, value)`` whose value of over 20 characters holds something; they are reported, not stopped."""
-    return firewall_check(headers.where(F.length("value") > 20).withColumn("__json", json_text(F.col("value"))), "__json").where("not safe").drop("__json")
+    own = own_prefix(headers) + "json"
+    return firewall_check(headers.where(F.length("value") > 20).withColumn(own, json_text(F.col("value"))), own).where("not safe").drop(own)
 
 
 def action_log(entities: DataFrame, redactions: DataFrame, key: str = "page_id") -> DataFrame:
@@ -74,7 +76,8 @@ def unblock(config: DataFrame, domain: str) -> DataFrame:
 
 def on_blocklist(rows: DataFrame, config: DataFrame, source_col: str = "source") -> DataFrame:
     """Rows whose source is on the blocklist."""
-    return rows.join(config.select(F.col("domain").alias("__d")), F.col(source_col) == F.col("__d"), "left_semi")
+    own = own_prefix(rows) + "domain"
+    return rows.join(config.select(F.col("domain").alias(own)), F.col(source_col) == F.col(own), "left_semi")
 
 
 def role_of(e: Column) -> Column:

@@ -123,18 +123,19 @@ def word_boxes(entities: DataFrame, words: DataFrame, keys: tuple[str, ...] = ("
     ``words(keys, idx, text, bbox)``.  Shorter words are tried first, then the order of the page; the first best wins.
     A found word adds 0.05 to the confidence; without one the line that the context names gives the box.
     """
-    w = words.select(*keys, F.col("idx").alias("__idx"), F.length("text").alias("__n"), _bare(F.col("text")).alias("__w"), F.col("bbox").alias("__box")).where("__w != ''")
-    e = entities.withColumn("__v", _bare(F.coalesce("value", F.lit(""))))
-    ratio = F.least(F.length("__w"), F.length("__v")) / F.greatest(F.length("__w"), F.length("__v"))
-    met = e.where("__v != ''").select(*keys, entity_key, "__v").join(w, list(keys)).where(F.contains(F.col("__w"), F.col("__v")) | F.contains(F.col("__v"), F.col("__w")))
-    best = met.groupBy(*keys, entity_key).agg(F.min_by("__box", F.struct((-ratio).alias("r"), F.col("__n"), F.col("__idx"))).alias("__best"))
-    lines = text_lines(words, keys).select(*keys, "line", "line_text", F.col("bbox").alias("__line_box"))
+    own = own_prefix(entities, words)
+    w = words.select(*keys, F.col("idx").alias(own + "idx"), F.length("text").alias(own + "n"), _bare(F.col("text")).alias(own + "w"), F.col("bbox").alias(own + "box")).where(F.col(own + "w") != "")
+    e = entities.withColumn(own + "v", _bare(F.coalesce("value", F.lit(""))))
+    ratio = F.least(F.length(own + "w"), F.length(own + "v")) / F.greatest(F.length(own + "w"), F.length(own + "v"))
+    met = e.where(F.col(own + "v") != "").select(*keys, entity_key, own + "v").join(w, list(keys)).where(F.contains(F.col(own + "w"), F.col(own + "v")) | F.contains(F.col(own + "v"), F.col(own + "w")))
+    best = met.groupBy(*keys, entity_key).agg(F.min_by(own + "box", F.struct((-ratio).alias("r"), F.col(own + "n"), F.col(own + "idx"))).alias(own + "best"))
+    lines = text_lines(words, keys).select(*keys, "line", "line_text", F.col("bbox").alias(own + "line_box"))
     ctx = _bare(F.coalesce("context", F.lit("")))
-    by_line = e.where(ctx != "").select(*keys, entity_key, ctx.alias("__c")).join(lines, list(keys)).where(F.contains("line_text", "__c") | F.contains(F.col("__c"), F.regexp_replace("line_text", java("{s}+"), "")))
-    by_line = by_line.where((F.col("__line_box.width") > 0) & (F.col("__line_box.height") > 0)).groupBy(*keys, entity_key).agg(F.min_by("__line_box", "line").alias("__line"))
+    by_line = e.where(ctx != "").select(*keys, entity_key, ctx.alias(own + "c")).join(lines, list(keys)).where(F.contains("line_text", own + "c") | F.contains(F.col(own + "c"), F.regexp_replace("line_text", java("{s}+"), "")))
+    by_line = by_line.where((F.col(own + "line_box.width") > 0) & (F.col(own + "line_box.height") > 0)).groupBy(*keys, entity_key).agg(F.min_by(own + "line_box", "line").alias(own + "line"))
     out = e.join(best, [*keys, entity_key], "left").join(by_line, [*keys, entity_key], "left")
-    raised = F.least(F.lit(1.0), F.col("confidence") + F.when(F.col("__best").isNotNull(), 0.05).otherwise(0.0))
-    return out.withColumn("bbox", F.coalesce("__best", "__line", "bbox")).withColumn("confidence", F.round(raised, 6)).withColumn("source", F.lit("OCR")).drop("__v", "__best", "__line")
+    raised = F.least(F.lit(1.0), F.col("confidence") + F.when(F.col(own + "best").isNotNull(), 0.05).otherwise(0.0))
+    return out.withColumn("bbox", F.coalesce(own + "best", own + "line", "bbox")).withColumn("confidence", F.round(raised, 6)).withColumn("source", F.lit("OCR")).drop(own + "v", own + "best", own + "line")
 
 
 def text_lines(words: DataFrame, keys: tuple[str, ...] = ("page_id",), gap: float = 8.0) -> DataFrame:

@@ -147,12 +147,41 @@ def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.alias("page_id"), F.concat(F.lit("https://site.test/page"), k.cast("string"), F.lit("?q=1")).alias("url"), F.element_at(F.array(*[F.lit(x) for x in FORM_PAGES]), (k % 3).cast("int") + 1).alias("html"))
 
 
-@query("s3_form_fields")
+# what the three pages have, by hand: place in turn, then the columns
+_FORM_FIELDS = """
+(0, 0, '#u', 'username', 'text', '', 'jsmith88', 'User name', NULL, FALSE, FALSE),
+(0, 1, 'form > label:nth-of-type(2) > input', 'pw', 'password', '', '', 'Password', NULL, TRUE, FALSE),
+(1, 0, 'div > input:nth-of-type(1)', 'card', 'text', '', '4111 1111 1111 1111', 'Card', 'cc-number', FALSE, FALSE),
+(1, 1, 'div > select', 'country', 'select', '', 'FR', 'Country', NULL, FALSE, FALSE),
+(1, 2, 'div > textarea', 'note', 'textarea', 'Note', '', 'Note', NULL, FALSE, FALSE),
+(2, 0, 'input:nth-of-type(1)', 'mail', 'email', 'Email', 'ann@postbox.net', 'Email', NULL, FALSE, FALSE),
+(2, 1, 'input:nth-of-type(2)', '', 'tel', '', '', 'Phone', NULL, FALSE, FALSE)"""
+_FORM_ELEMENTS = """
+(0, 0, 'input', 'jsmith88', 'input', 'username', NULL, 'jsmith88', 'u', NULL, '#u', TRUE, TRUE, FALSE, FALSE, NULL, NULL, 'text'),
+(0, 1, 'input', 'hunter2', 'input', 'pw', NULL, 'hunter2', NULL, NULL, 'form > label:nth-of-type(2) > input', TRUE, TRUE, FALSE, FALSE, NULL, NULL, 'password'),
+(0, 2, 'button', 'Go', 'button', NULL, NULL, NULL, NULL, 'primary big', 'form > button.primary.big', TRUE, FALSE, TRUE, FALSE, NULL, NULL, NULL),
+(1, 0, 'input', '4111 1111 1111 1111', 'input', 'card', NULL, '4111 1111 1111 1111', NULL, NULL, 'div > input:nth-of-type(1)', TRUE, TRUE, FALSE, FALSE, 'cc-number', 'Card', 'text'),
+(1, 1, 'input', 'x', 'input', 't', NULL, NULL, NULL, NULL, 'div > input:nth-of-type(2)', TRUE, TRUE, FALSE, FALSE, NULL, NULL, 'hidden'),
+(1, 2, 'select', 'FR', 'select', 'country', NULL, 'FR', NULL, NULL, 'div > select', TRUE, TRUE, FALSE, FALSE, NULL, NULL, NULL),
+(1, 3, 'textarea', 'Note', 'textarea', 'note', 'Note', NULL, NULL, NULL, 'div > textarea', TRUE, TRUE, FALSE, FALSE, NULL, NULL, NULL),
+(1, 4, 'input', 'Pay', 'input', NULL, NULL, NULL, NULL, NULL, 'div > input:nth-of-type(3)', TRUE, TRUE, FALSE, FALSE, NULL, NULL, 'submit'),
+(2, 0, 'a', 'Home', 'anchor', NULL, NULL, '/a', NULL, NULL, 'nav > a:nth-of-type(1)', TRUE, FALSE, FALSE, TRUE, NULL, NULL, NULL),
+(2, 1, 'a', 'No', 'anchor', NULL, NULL, '/b', NULL, NULL, 'nav > a:nth-of-type(2)', FALSE, FALSE, FALSE, TRUE, NULL, NULL, NULL),
+(2, 2, 'span', 'x', 'role-button', NULL, NULL, NULL, NULL, NULL, 'span', TRUE, FALSE, TRUE, FALSE, NULL, 'Menu', NULL),
+(2, 3, 'input', 'ann@postbox.net', 'input', 'mail', 'Email', 'ann@postbox.net', NULL, NULL, 'input:nth-of-type(1)', TRUE, TRUE, FALSE, FALSE, NULL, NULL, 'email'),
+(2, 4, 'input', '', 'input', NULL, NULL, NULL, NULL, NULL, 'input:nth-of-type(2)', TRUE, TRUE, FALSE, FALSE, NULL, NULL, 'tel')"""
+
+
+def _by_turn(rows: str, columns: str) -> str:
+    return f"SELECT c_custkey AS page_id, {columns} FROM customer JOIN (VALUES {rows}) v(k, {columns}) ON c_custkey % 3 = k"
+
+
+@query("s3_form_fields", _by_turn(_FORM_FIELDS, "idx, selector, name, type, placeholder, value, label, autocomplete, is_password, required"))
 def s3_form_fields(spark, sf_dir):
     return html.fields_frame(html.extract_pages(form_pages(spark, sf_dir)))
 
 
-@query("s7_elements")
+@query("s7_elements", _by_turn(_FORM_ELEMENTS, "idx, tag_name, text, type, name, placeholder, value, id, class_name, selector, is_visible, is_input, is_button, is_link, autocomplete, aria_label, input_type"))
 def s7_elements(spark, sf_dir):
     return html.elements_frame(html.extract_pages(form_pages(spark, sf_dir)))
 
@@ -393,7 +422,15 @@ def j4_first_free(spark, sf_dir):
     return matching.first_free(matching.candidate_pairs(n, n.where("pos % 3 > 0")), ("page_id",), "dom_pos", "ocr_pos")
 
 
-@query("j6_word_boxes")
+_BARE = lambda c: f"lower(regexp_replace({c}, '[ (),.-]+', '', 'g'))"
+
+
+@query("j6_word_boxes", f"""
+WITH w AS (SELECT *, {_BARE('text')} AS w FROM ({_EL_ROWS})), n AS (SELECT *, {_BARE('value')} AS v FROM ({_EN_ROWS})),
+m AS (SELECT n.page_id, entity_id, ax, ay, aw, ah, row_number() OVER (PARTITION BY n.page_id, entity_id ORDER BY least(length(w), length(v)) / greatest(length(w), length(v)) DESC, length(w.text), idx) AS r
+      FROM n JOIN w ON n.page_id = w.page_id AND w <> '' AND (contains(w, v) OR contains(v, w)))
+SELECT n.page_id, n.entity_id, coalesce(ax, bx) AS x, coalesce(ay, by_) AS y, coalesce(aw, bw) AS width, coalesce(ah, bh) AS height, CASE WHEN ax IS NULL THEN 0.8 ELSE 0.85 END::DOUBLE AS confidence, 'OCR' AS source
+FROM n LEFT JOIN m ON m.page_id = n.page_id AND m.entity_id = n.entity_id AND r = 1""")
 def j6_word_boxes(spark, sf_dir):
     words = _page_elements(spark, sf_dir).select("page_id", "idx", "text", F.col("rect").alias("bbox"))
     e = _page_entities(spark, sf_dir).withColumn("context", F.lit(""))

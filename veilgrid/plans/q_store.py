@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.functions import fixed
 from veilgrid.operators import models, report
-from veilgrid.plans import q_text  # noqa: F401  (its SQL is used here)
-from veilgrid.plans.registry import ORACLE, lit, names, query, spread, synth, table
+from veilgrid.plans import q_text
+from veilgrid.plans.registry import ORACLE, SYNTH_SQL, case, lit, names, query, spread, synth, table
 from veilgrid.sources import export, generate, stores
 from veilgrid.sources.shared import shared_dir
 from veilgrid.streaming import changes
@@ -326,6 +326,45 @@ def m9_vision_boost(spark, sf_dir):
     return vision_boost(e, scores, ("id",)).select("id", "source", F.round("confidence", 3).alias("confidence"), "visual_confirmed")
 
 
+# what is made of predictions, with predictions that follow from a text's number
+_LABEL_SQL = f"[{names(fixed.MODEL_LABELS)}][CAST(id % {len(fixed.MODEL_LABELS)} AS INT) + 1]"
+_CATEGORY_SQL = case("label", fixed.LABEL_CATEGORY, "~").replace("ELSE '~'", "ELSE label")
+
+
+def _picked(seq: tuple[str, ...], at) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in seq]), (at % len(seq)).cast("int") + 1)
+
+
+@query("m3_added_by_label", f"""
+WITH f AS (SELECT id, type, value, confidence FROM ({q_text._ordered({k: v for k, v in q_text._detectors(SYNTH_SQL, 'rt').items() if k in ('EMAIL', 'CREDIT_CARD', 'GOVERNMENT_ID')})})),
+p AS (SELECT id, {_CATEGORY_SQL} AS type, text AS value FROM (SELECT id, text, {_LABEL_SQL} AS label FROM ({SYNTH_SQL})) WHERE label <> 'NONE')
+SELECT id, type, value, confidence, 'REGEX' AS source FROM f UNION ALL SELECT id, type, value, 0.8::DOUBLE, 'CLASSIFIER' FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = p.id AND f.type = p.type)""")
+def m3_added_by_label(spark, sf_dir):
+    from veilgrid.operators.detect import detect
+
+    rows = synth(spark, sf_dir)
+    p = rows.select("id", "text", _picked(fixed.MODEL_LABELS, F.col("id")).alias("label"), F.lit(0.9).alias("score"))
+    return models.add_classified(detect(rows, "text", ("id",), "rt", categories=("EMAIL", "CREDIT_CARD", "GOVERNMENT_ID")), p, ("id",)).select("id", "type", "value", "confidence", "source")
+
+
+_BOOST_LABELS = (*fixed.BOOST_TYPES, "NONE", "EMAIL")
+
+
+@query("m4_boosted_by_label", f"""
+WITH f AS ({q_text._ordered(q_text._detectors(SYNTH_SQL, 'rt'))}),
+c AS (SELECT id, unnest(range(6)) AS chunk FROM ({SYNTH_SQL})),
+p AS (SELECT id, chunk, 'v' || CAST((id + chunk) // 2 % 3 AS VARCHAR) AS value, [{names(_BOOST_LABELS)}][CAST((id + chunk) % {len(_BOOST_LABELS)} AS INT) + 1] AS type, (id * 7 + chunk * 3) % 10 / 10.0 AS score FROM c),
+b AS (SELECT id, type, value, arg_min(score, chunk) AS score FROM p WHERE type IN ({names(tuple(fixed.BOOST_TYPES))}) AND score >= {fixed.BOOST_FROM} GROUP BY id, type, value)
+SELECT id, type, value, confidence, 'REGEX' AS source FROM f UNION ALL SELECT id, type, value, round(score, 3)::DOUBLE, 'ML' FROM b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = b.id AND f.type = b.type AND f.value = b.value)""")
+def m4_boosted_by_label(spark, sf_dir):
+    from veilgrid.operators.detect import detect
+
+    rows, at = synth(spark, sf_dir), F.col("id") + F.col("chunk")
+    p = rows.select("id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("chunk"))
+    p = p.select("id", "chunk", F.concat(F.lit(" v"), (F.floor(at / 2) % 3).cast("string"), F.lit(" ")).alias("text"), _picked(_BOOST_LABELS, at).alias("label"), ((F.col("id") * 7 + F.col("chunk") * 3) % 10 / 10).alias("score"))
+    return models.boost(detect(rows, "text", ("id",), "rt"), p, ("id",)).select("id", "type", "value", "confidence", "source")
+
+
 @query("k9_exported_model")
 def k9_exported_model(spark, sf_dir):
     model = text_model(spark)

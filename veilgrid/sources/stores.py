@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilgrid.functions import fixed
+from veilgrid.functions.names import own_prefix
 from veilgrid.operators.redact import sanitize_log, scrub_url
 
 def read_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
@@ -39,7 +40,8 @@ def newest(rows: DataFrame, n: int, order: str = "ts", tie: str = "id") -> DataF
 def newest_by(rows: DataFrame, keys: tuple[str, ...], n: int, order: str = "ts", tie: str = "id") -> DataFrame:
     """The n newest rows of each key."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), F.desc(tie)))
-    return rows.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
+    own = own_prefix(rows) + "rank"
+    return rows.withColumn(own, rank).where(F.col(own) <= n).drop(own)
 
 
 def prune_shots(shots: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from veilgrid.llm.workspace import Workspace
 
 
-def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """``edges(a, b)``, two ids of one orderable type -> ``(node, root)``.
+def connected_components(ws: Workspace, edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """``edges(a, b)``, about so many rows if that is known, two ids of one orderable type -> ``(node, root)``.
 
     root is the smallest id of the component.  Only nodes other than the root of components of
     two or more nodes are returned.  Null ends and loops are dropped, repeated and reversed
@@ -22,17 +22,18 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     the largest component.
     """
     edges = edges.where(F.col("a") != F.col("b"))
-    e = ws.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = ws.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
     mark = _mark(e)
     while mark[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        low = ws.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        size = None if rows is None else 2 * mark[0]
+        low = ws.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low", size)
         # large star: neighbours above u move to the least of u and its neighbours
-        e1 = ws.table(both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        e1 = ws.table(both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large", size)
         # small star: u and its lower neighbours move to the least of them
-        low1 = ws.table(e1.groupBy("a").agg(F.min("b").alias("m")), "small-low")
+        low1 = ws.table(e1.groupBy("a").agg(F.min("b").alias("m")), "small-low", size)
         moved = e1.join(low1, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e2 = ws.table(moved.union(low1.select("a", "m")).distinct(), "small")
+        e2 = ws.table(moved.union(low1.select("a", "m")).distinct(), "small", size)
         ws.drop(low, low1, e1, e)
         e, before = e2, mark
         mark = _mark(e)

@@ -21,6 +21,9 @@ SPACE = " \t\n\x0b\x0c\r"
 #: A word, in the dialect of Java's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of numbers that one task writes.
+ROWS_A_TASK = 50_000
+
 _private: dict[str, str] = {}
 
 
@@ -52,9 +55,11 @@ class Workspace:
     def path(self, label: str) -> str:
         return f"{self.root}/{label}-{uuid.uuid4().hex[:8]}"
 
-    def table(self, df: DataFrame, label: str) -> DataFrame:
-        """Write ``df`` and read it again."""
+    def table(self, df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+        """Write ``df`` and read it again; rows: about how many it has, where that is known, so that few don't go in many tasks."""
         path = self.path(label)
+        if rows is not None and (tasks := tasks_for(rows, ROWS_A_TASK)) < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(tasks)
         with self._lean():
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

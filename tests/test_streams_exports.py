@@ -145,6 +145,16 @@ def test_too_many_patterns_without_a_literal_are_refused(spark):
         block_rules.matching_rules(spark.createDataFrame([(1, "a")], "id int, source string"), rules)
 
 
+def test_any_number_of_rules_without_a_literal(spark):
+    """Rules of one pattern are tried as one, and a caller may have any number of patterns without a literal."""
+    rows = spark.createDataFrame([(1, "t", "a1", "{}"), (2, "t", "q", "{}")], "id int, type string, source string, data string")
+    rules = spark.range(block_rules.MOST_OTHER + 1).select(F.col("id").alias("rule_id"), F.lit("path").alias("kind"), F.lit("a|b").alias("value"))
+    assert {r.id: r.action for r in block_rules.check_outbound_by_rules(rows, rules).collect()} == {1: "BLOCK", 2: "ALLOW"}
+    own = rules.select("rule_id", F.concat(F.lit("a"), F.col("rule_id") % 4, F.lit("|b")).alias("pattern"))
+    got = block_rules.matching_rules(rows.select("id", "source"), own, most_other=None)
+    assert sorted((r.id, r.rule_id) for r in got.collect()) == [(1, k) for k in range(block_rules.MOST_OTHER + 1) if k % 4 == 1]
+
+
 def test_check_by_rules_is_check_with_terms(spark):
     urls = [(0, "t", "evil.test", '{"v":"x"}'), (1, "t", "https://a.test/private/x", '{"v":"x"}'), (2, "t", "ok.test", '{"v":"mail me a.b@c.test"}'), (3, "t", None, "{}"), (4, "t", "evil.test/private/", "{}")]
     payloads = spark.createDataFrame(urls, "id int, type string, source string, data string")

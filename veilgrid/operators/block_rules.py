@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgrid.functions.names import own_prefix
+from veilgrid.sources.shared import cut
 
-#: Characters of a piece, and patterns without one that a list may have.
+#: Characters of a piece, and rules without one that a list may have unless its caller says otherwise.
 PIECE, MOST_OTHER = 4, 1_000
 
 _BREAK = "\x01"
@@ -49,35 +50,36 @@ def _pieces(text: Column) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(PIECE))))).otherwise(F.array().cast("array<string>"))
 
 
-def matching_rules(rows: DataFrame, rules: DataFrame, source_col: str = "source", rule_col: str = "rule_id", pattern_col: str = "pattern") -> DataFrame:
+def matching_rules(rows: DataFrame, rules: DataFrame, source_col: str = "source", rule_col: str = "rule_id", pattern_col: str = "pattern", most_other: int | None = MOST_OTHER) -> DataFrame:
     """The rows once for each rule whose pattern is found in the source, with the rule's id; ``rules(rule_id, pattern)`` has ids of its own.
 
-    A rule's key is the piece of its literal that fewest rules have. Patterns without a literal of PIECE characters are tried on every
-    source; more than MOST_OTHER of them are refused. Null sources and patterns match nothing.
+    Each distinct pattern is tried once, whatever the rules that have it. A pattern's key is the piece of its literal that fewest patterns
+    have. Patterns without a literal of PIECE characters are tried on every source, by a join without keys; more than most_other rules with
+    such are refused (None: never). Null sources and patterns match nothing, and a rule that is given twice counts once.
     """
     own = own_prefix(rows, rules)
-    lit, piece, pattern, n, other = (own + x for x in ("literal", "piece", "pattern", "n", "other"))
-    known = rules.where(F.col(pattern_col).isNotNull()).select(rule_col, F.col(pattern_col).alias(pattern), required_literal(F.col(pattern_col)).alias(lit))
+    lit, piece, pattern, n = (own + x for x in ("literal", "piece", "pattern", "n"))
+    known = rules.where(F.col(pattern_col).isNotNull()).select(rule_col, F.col(pattern_col).alias(pattern)).distinct()
+    # written once: else the filters below go beneath the distinct, and literals are made for each rule
+    patterns = cut(known.select(pattern).distinct().withColumn(lit, required_literal(F.col(pattern))))
     plain = F.length(lit) >= PIECE
-    pieces = known.where(plain).select(rule_col, pattern, lit, F.explode(_pieces(F.col(lit))).alias(piece))
+    pieces = patterns.where(plain).select(pattern, lit, F.explode(_pieces(F.col(lit))).alias(piece))
     common = pieces.groupBy(piece).agg(F.count("*").alias(n))
-    keyed = pieces.join(common, piece).groupBy(rule_col, pattern, lit).agg(F.min_by(piece, F.struct(n, piece)).alias(piece))
-    cut = rows.where(F.col(source_col).isNotNull()).withColumn(piece, F.explode(_pieces(F.col(source_col))))
-    met = cut.join(keyed, piece).where(F.contains(F.col(source_col), F.col(lit)) & F.expr(f"`{source_col}` RLIKE `{pattern}`")).select(*rows.columns, rule_col)
-    if (count := known.where(~plain).count()) == 0:
-        return met
-    if count > MOST_OTHER:
-        raise ValueError(f"{count} patterns have no literal of {PIECE} characters; {MOST_OTHER} may")
-    rest = known.where(~plain).agg(F.collect_list(F.struct(rule_col, pattern)).alias("l")).scalar()
-    tried = rows.where(F.col(source_col).isNotNull()).withColumn(other, rest)
-    hits = F.filter(F.col(other), lambda r: F.call_function("rlike", F.col(source_col), r[pattern]))
-    return met.union(tried.withColumn(other, F.explode(hits)).select(*rows.columns, F.col(other)[rule_col].alias(rule_col)))
+    keyed = pieces.join(common, piece).groupBy(pattern, lit).agg(F.min_by(piece, F.struct(n, piece)).alias(piece))
+    tried, found = rows.where(F.col(source_col).isNotNull()), F.expr(f"`{source_col}` RLIKE `{pattern}`")
+    met = tried.withColumn(piece, F.explode(_pieces(F.col(source_col)))).join(keyed, piece).where(F.contains(F.col(source_col), F.col(lit)) & found).select(*rows.columns, pattern)
+    rest = patterns.where(~plain).select(pattern)
+    if not rest.isEmpty():
+        if most_other is not None and (count := known.join(rest, pattern).count()) > most_other:
+            raise ValueError(f"{count} patterns have no literal of {PIECE} characters; {most_other} may")
+        met = met.union(tried.join(rest, found).select(*rows.columns, pattern))
+    return met.join(known, pattern).select(*rows.columns, rule_col)
 
 
 def check_outbound_by_rules(payloads: DataFrame, rules: DataFrame, strict: bool = False) -> DataFrame:
     """``check_outbound`` with the rules as a table ``(rule_id, kind, value)``; kind is ``domain`` or ``path``.
 
-    Only distinct sources meet the rules, so what many payloads share is tried once.
+    Only distinct sources meet distinct patterns, so what many payloads or rules share is tried once.
     """
     from veilgrid.operators.firewall import check_outbound
 
@@ -85,7 +87,8 @@ def check_outbound_by_rules(payloads: DataFrame, rules: DataFrame, strict: bool
     at, verdict = own + "source", own + "verdict"
     sources = payloads.select(F.col("source").alias(at)).distinct()
     domains = sources.join(rules.where("kind = 'domain'").select(F.col("value").alias(at)).distinct(), at)
-    paths = matching_rules(sources, rules.where("kind = 'path'").select("rule_id", F.col("value").alias("pattern")), at).select(at).distinct()
+    patterns = rules.where("kind = 'path'").groupBy(F.col("value").alias("pattern")).agg(F.min("rule_id").alias("rule_id"))
+    paths = matching_rules(sources, patterns, at, most_other=None).select(at).distinct()
     verdicts = domains.select(at, F.lit(0).alias("k")).union(paths.select(at, F.lit(1))).groupBy(at).agg(F.min("k").alias(verdict))
     checked = check_outbound(payloads, strict=strict).join(verdicts, F.col("source") == F.col(at), "left")
     k = F.col(verdict)

@@ -106,6 +106,15 @@ def test_matching_by_rounds_is_that_in_order(spark, rounds):
     assert matching.first_free(df.limit(0), ("page",), "a", "b").count() == 0
 
 
+def test_values_are_prepared_once_a_row(spark):
+    """No pattern is replaced for each pair, let alone for each character of a pair."""
+    rows = spark.createDataFrame([(1, "T", 0, "Oak-Street", (0.0, 0.0, 1.0, 1.0)), (1, "T", 1, "oak street", (9.0, 9.0, 1.0, 1.0)), (1, "T", 2, "elm", (20.0, 20.0, 1.0, 1.0))], "page_id int, type string, pos int, value string, bbox struct<x: double, y: double, width: double, height: double>")
+    df = matching.candidate_pairs(rows, rows)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 8
+    assert sorted((r.dom_pos, r.ocr_pos, r.value_score) for r in df.collect()) == [(0, 0, 1.0), (0, 1, 0.95), (1, 0, 0.95), (1, 1, 1.0), (2, 2, 1.0)]
+
+
 def replaced(text, vals, by):
     for v, b in zip(vals, by, strict=True):
         text = text.replace(v, b) if v else text

@@ -137,8 +137,18 @@ def luhn(digits: Column) -> Column:
 def fuzzy(a: Column, b: Column) -> Column:
     """Similarity of two values: 1 equal, 0.95 equal without separators, 0.7 one inside the other, else the larger of
     the share of the longer one's characters that the shorter one has and the share of equal places."""
-    x, y = F.lower(trim(a)), F.lower(trim(b))
-    p, q = strip(x, r"[{s}\-_.]+"), strip(y, r"[{s}\-_.]+")
+    x, y = fuzzy_form(a), fuzzy_form(b)
+    return fuzzy_forms(x["said"], x["bare"], y["said"], y["bare"])
+
+
+def fuzzy_form(value: Column) -> Column:
+    """What ``fuzzy_forms`` compares of a value: it trimmed in lower case, and that without separators."""
+    said = F.lower(trim(value))
+    return F.struct(said.alias("said"), strip(said, r"[{s}\-_.]+").alias("bare"))
+
+
+def fuzzy_forms(x: Column, p: Column, y: Column, q: Column) -> Column:
+    """``fuzzy`` of two values by their forms, which a join makes once for each row and not for each pair."""
     short, long = F.when(F.length(p) <= F.length(q), p).otherwise(q), F.when(F.length(p) <= F.length(q), q).otherwise(p)
     chars = F.filter(F.split(long, ""), lambda c: c != "")
     shared = F.size(F.filter(chars, lambda c: F.instr(short, c) > 0)) / F.length(long)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilgrid.functions.names import own_prefix
 from veilgrid.functions.patterns import java
-from veilgrid.functions.text import agent_score, fuzzy, iou, strip, trim
+from veilgrid.functions.text import agent_score, fuzzy_form, fuzzy_forms, iou, strip, trim
 from veilgrid.operators.boxes import overlapping
 from veilgrid.operators.values import value_hits
 from veilgrid.sources.shared import cut
@@ -44,9 +44,9 @@ def sensitive_elements(elements: DataFrame, entities: DataFrame, keys: tuple[str
 
 def candidate_pairs(dom: DataFrame, ocr: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Pairs of entities of a page with equal type that are alike by value (over 0.8) or by box (over half)."""
-    a = dom.select(*keys, "type", F.col("pos").alias("dom_pos"), F.col("value").alias("dom_value"), F.col("bbox").alias("dom_box"))
-    b = ocr.select(*keys, "type", F.col("pos").alias("ocr_pos"), F.col("value").alias("ocr_value"), F.col("bbox").alias("ocr_box"))
-    alike = fuzzy(F.col("dom_value"), F.col("ocr_value"))
+    a = dom.select(*keys, "type", F.col("pos").alias("dom_pos"), fuzzy_form(F.col("value")).alias("dom_value"), F.col("bbox").alias("dom_box"))
+    b = ocr.select(*keys, "type", F.col("pos").alias("ocr_pos"), fuzzy_form(F.col("value")).alias("ocr_value"), F.col("bbox").alias("ocr_box"))
+    alike = fuzzy_forms(*[F.col(f"{side}_value.{form}") for side in ("dom", "ocr") for form in ("said", "bare")])
     box = F.when((F.col("dom_box.width") > 0) & (F.col("dom_box.height") > 0), iou(F.col("dom_box"), F.col("ocr_box"))).otherwise(0.0)
     met = a.join(b, [*keys, "type"]).withColumn("value_score", alike).withColumn("box_score", box)
     return met.where((F.col("value_score") > 0.8) | (F.col("box_score") > 0.5)).select(*keys, "type", "dom_pos", "ocr_pos", "value_score", "box_score")

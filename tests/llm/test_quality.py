@@ -206,6 +206,28 @@ def test_noise_is_gumbel():
     assert first / n == pytest.approx(1 / (1 + math.e), abs=0.03)
 
 
+def test_ratios_are_fitted_in_bounded_memory():
+    """Beside the tables the driver holds little: it has 1500 MB for all it does."""
+    import tracemalloc
+
+    import numpy as np
+
+    g = np.random.default_rng(1)
+    raw, target = g.poisson(3, 1 << 22).astype(float), np.zeros(1 << 22)
+    target[g.integers(0, 1 << 22, 100_000)] = g.integers(1, 500, 100_000)
+    tracemalloc.start()
+    got = quality_classifier.fit_ratio(target, raw)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    t, e = target + quality_classifier.PRIOR, raw * (target.sum() / raw.sum()) + quality_classifier.PRIOR
+    r = np.log(t / e)
+    by = np.argsort(r, kind="stable")
+    below = np.cumsum(target[by])
+    r -= r[by[np.searchsorted(below, below[-1] / 2)]]
+    want = np.sign(r) * np.maximum(0, np.abs(r) - np.maximum(quality_classifier.Z * np.sqrt(1 / t + 1 / e), quality_classifier.DEAD))
+    assert (got == want.astype(np.float32)).all() and got.any()
+
+
 def test_cut():
     import numpy as np
 

@@ -101,14 +101,24 @@ class RatioModel:
 
 def fit_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Log of target count over the count expected from raw, the typical n-gram's taken off, as far as it counts."""
-    t, e = target + PRIOR, raw * (target.sum() / max(1, raw.sum())) + PRIOR
-    r = np.log(t / e)
-    by = np.argsort(r, kind="stable")
-    below = np.cumsum(target[by])
-    if below[-1]:
-        r -= r[by[np.searchsorted(below, below[-1] / 2)]]  # the median over the target's n-grams
-    least = np.maximum(Z * np.sqrt(1 / t + 1 / e), DEAD)
-    return (np.sign(r) * np.maximum(0, np.abs(r) - least)).astype(np.float32)
+    share = target.sum() / max(1, raw.sum())
+
+    def parts(at) -> tuple[np.ndarray, np.ndarray]:
+        return target[at] + PRIOR, raw[at] * share + PRIOR
+
+    held, typical = np.flatnonzero(target), 0.0
+    if len(held):
+        t, e = parts(held)
+        r = np.log(t / e)
+        by = np.argsort(r, kind="stable")
+        below = np.cumsum(target[held[by]])
+        typical = r[by[np.searchsorted(below, below[-1] / 2)]]  # the median over the target's n-grams
+    out = np.zeros(len(target), np.float32)
+    for at in range(0, len(target), RANGE):  # the driver holds a few numbers beside the tables
+        t, e = parts(slice(at, at + RANGE))
+        r = np.log(t / e) - typical
+        out[at : at + RANGE] = np.sign(r) * np.maximum(0, np.abs(r) - np.maximum(Z * np.sqrt(1 / t + 1 / e), DEAD))
+    return out
 
 
 def fit_cut(scores: np.ndarray, good: np.ndarray) -> float:
@@ -213,7 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, tasks: i
         return None
     target = ngram_counts(sample.where("fold = 0 and good").select("text").repartition(tasks))
     raw = ngram_counts(docs.select(F.col("text").alias("t")))
-    model = RatioModel([fit_ratio(t, r) for t, r in zip(target, raw, strict=True)])
+    model = RatioModel([])
+    while target:  # each table goes when it has been used
+        model.ratios.append(fit_ratio(target.pop(0), raw.pop(0)))
     shared = docs.sparkSession.sparkContext.broadcast(model.ratios)  # 4 bytes for each bucket: 20 MiB
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, tasks: i
             yield pa.record_batch([pa.array([m.scaled(m.log_weight(t.as_py()), t.as_py()) for t in batch.column(0)], pa.float64()), batch.column(1)], names=["s", "good"])
 
     got = sample.where("fold = 1").select("text", "good").repartition(tasks).mapInArrow(score, "s double, good boolean").collect()  # at most max_labelled pairs
+    shared.destroy()  # the driver would hold a second copy beside the one that weighs all documents
     model.cut = fit_cut(np.array([r.s for r in got]), np.array([float(r.good) for r in got]))
     return model
 

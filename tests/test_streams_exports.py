@@ -99,6 +99,16 @@ def test_a_failed_export_lists_nothing(spark, tmp_path, bad):
     assert len(parts) == 1 and [r.file for r in export.exported_files(spark, path).collect()] == ["first"]
 
 
+def test_many_small_files_are_few_on_the_disk(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.range(3_000).select(F.concat(F.lit("a/"), F.col("id"), F.lit(".png")).alias("file"), F.when(F.col("id") > 0, F.col("id").cast("string")).cast("binary").alias("content")).repartition(3)
+    export.export_files(rows, path, packed=True)
+    export.export_files(spark.createDataFrame([("plain", b"p")], "file string, content binary"), path)
+    got = {r.file: (r.length, bytes(r.content)) for r in export.exported_files(spark, path).collect()}
+    assert got == {f"a/{k}.png": (len(str(k)), str(k).encode()) for k in range(1, 3_000)} | {"plain": (1, b"p")}
+    assert sum(f.is_file() and not f.name.startswith(".") for f in (tmp_path / "out").rglob("*")) <= 3 + 1 + 2
+
+
 LITERALS = {
     r"/private/": "/private/", r"^https?://a\.b/": "://a.b/", r"abc?def": "def", r"abcx*yz": "abc", r"ab+cd": "cd", r"a{2,3}bcd": "bcd", r"x(foo|bar)longer": "longer", r"account/?(?:over|bal)": "account", r"foo|bar": "", r"(?i)secret": "", r"[abc]defg[^x]h": "defg",
     r"\d+\.html$": ".html", r"\Qa.b\E": "", r"\x41bcd": "", r"": "", r"a|bcdefgh": "", r"(a(b)c)?token=\w+": "token=", r"([)])abc": "abc", r"\\path\\": "\\path\\", r"a\|bcd": "a|bcd", r"[[a-c]x]yzzy": "", "wo+rdé": "rdé", r".*": "", r"(abc": "", r"[]x]abcd": "abcd",

@@ -3,15 +3,20 @@
 A task writes the files of its rows into a folder of its own. Only when all tasks are done, the driver puts a list of these folders beside
 them, which is what readers go by; of a job that fails, the folders of its finished tasks are removed. A task that runs again
 has another folder, so nothing is listed twice. What a killed task leaves goes by ``remove_unlisted``.
+
+A file of a few bytes takes a block of the disk: many small ones can go into ZIP archives, a few for each task, which are
+listed and read alike.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import RecordBatch, fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +24,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 _LISTS = "committed"
+#: Files and bytes of their contents after which another archive begins.
+MEMBERS, ARCHIVE_BYTES = 20_000, 64 << 20
+_ARCHIVE = "packed-"
 
 
 @dataclass
@@ -33,8 +41,8 @@ class Written(WriterCommitMessage):
 class FileWriter(DataSourceArrowWriter):
     """Writes rows ``(file, content)`` as files below a folder; any file system that pyarrow knows will do."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, packed: bool = False):
+        self.path, self.packed = path, packed
 
     def _at(self, name: str) -> tuple[fs.FileSystem, str]:
         system, root = fs.FileSystem.from_uri(self.path)
@@ -45,12 +53,29 @@ class FileWriter(DataSourceArrowWriter):
         system, root = self._at(part)
         made: set[str] = set()
         files = size = 0
+        archive = stream = None
+
+        def close() -> None:
+            if archive:
+                archive.close()
+                stream.close()
+
         try:
             for batch in iterator:
                 for name, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
                     if not name or name.startswith("/") or ".." in name.split("/"):
                         raise ValueError(f"not a file's name: {name!r}")
                     content = b"" if content is None else bytes(content)
+                    if self.packed:
+                        if archive is None or held[0] >= MEMBERS or held[1] >= ARCHIVE_BYTES:
+                            close()
+                            system.create_dir(root, recursive=True)
+                            made.add(root)
+                            stream, held = system.open_output_stream(f"{root}/{_ARCHIVE}{uuid.uuid4().hex}.zip"), [0, 0]
+                            archive = zipfile.ZipFile(stream, "w")
+                        archive.writestr(zipfile.ZipInfo(name), content)
+                        files, size, held = files + 1, size + len(content), [held[0] + 1, held[1] + len(content)]
+                        continue
                     at = f"{root}/{name}"
                     if (folder := at.rpartition("/")[0]) not in made:
                         system.create_dir(folder, recursive=True)
@@ -58,6 +83,7 @@ class FileWriter(DataSourceArrowWriter):
                     with system.open_output_stream(at) as out:
                         out.write(content)
                     files, size = files + 1, size + len(content)
+            close()
         except BaseException:
             if made:
                 system.delete_dir(root)
@@ -91,21 +117,34 @@ class FileExport(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> FileWriter:
         if overwrite:
             raise ValueError("an export is appended to, never overwritten")
-        return FileWriter(self.options["path"])
+        return FileWriter(self.options["path"], self.options.get("packed", "false") == "true")
 
 
-def export_files(rows: DataFrame, path: str, file: str = "file", content: str = "content") -> None:
-    """Writes each row's content to its file below the folder. Names are relative, null content is an empty file, and names that repeat are kept apart by task only."""
+def export_files(rows: DataFrame, path: str, file: str = "file", content: str = "content", packed: bool = False) -> None:
+    """Writes each row's content to its file below the folder, or (packed) to its member of an archive there. Names are relative, null content is an empty file, and names that repeat are kept apart by task only."""
     rows.sparkSession.dataSource.register(FileExport)
-    rows.select(F.col(file).cast("string").alias("file"), F.col(content).cast("binary").alias("content")).write.format("row_files").mode("append").save(path)
+    rows.select(F.col(file).cast("string").alias("file"), F.col(content).cast("binary").alias("content")).write.format("row_files").option("packed", str(packed).lower()).mode("append").save(path)
 
 
 def exported_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, length, content)`` of all files that are listed, but for empty ones; none where nothing was exported."""
+    """``(file, length, content)`` of all files that are listed, members of archives among them, but for empty ones; none where nothing was exported."""
     if not (parts := _listed(spark, path)):
         return spark.createDataFrame([], "file string, length long, content binary")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{path}/{p}" for p in parts])
-    return rows.select(_below(F.col("path")).alias("file"), "length", "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{path}/{p}" for p in parts])
+    packed = F.col("path").rlike(rf"/part-[0-9a-f]{{32}}/{_ARCHIVE}[0-9a-f]{{32}}\.zip$")
+    plain = found.where(~packed).select(_below(F.col("path")).alias("file"), "length", "content")
+    return plain.union(found.where(packed).select("content").mapInArrow(_members, plain.schema))
+
+
+def _members(batches: Iterator[RecordBatch]) -> Iterator[RecordBatch]:
+    """What archives hold, a bounded number of files at a time."""
+    for batch in batches:
+        for one in batch.column(0):
+            with zipfile.ZipFile(pa.BufferReader(one.as_buffer())) as archive:
+                infos = [i for i in archive.infolist() if i.file_size]
+                for at in range(0, len(infos), 1_000):
+                    some = infos[at : at + 1_000]
+                    yield pa.record_batch([pa.array([i.filename for i in some], pa.string()), pa.array([i.file_size for i in some], pa.int64()), pa.array([archive.read(i) for i in some], pa.binary())], names=["file", "length", "content"])
 
 
 def _listed(spark: SparkSession, path: str) -> list[str]:

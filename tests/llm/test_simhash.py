@@ -110,3 +110,26 @@ def test_dedup_tells_texts_of_one_id_apart(spark):
 def test_fingerprint_is_that_of_the_hash_function(spark):
     for t in ("a b c d e", "One two", "", None, "a b c d"):
         assert simhash.fingerprint(t.encode() if t is not None else None) % (1 << 64) == brute_fingerprint(t)
+
+
+def test_no_table_is_broadcast_by_the_size_of_its_file(spark):
+    """At Spark's own threshold of 10 MB the probes, 34 rows a fingerprint, were broadcast."""
+    rng, plans, most = random.Random(4), {}, []
+
+    class Seen(Workspace):
+        def table(self, df, label, rows=None):
+            with self._lean():
+                most.append(int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()))
+                plans[label] = df._jdf.queryExecution().executedPlan().toString()
+            return super().table(df, label, rows)
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        ws = Seen(spark, "t")
+        fps = ws.table(spark.createDataFrame([(rng.getrandbits(64) - (1 << 63),) for _ in range(300)], "fp long"), "fps")
+        simhash.simhash_links(ws, fps)
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10m"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastExchange" not in plans["matches"] and max(most) <= 256 << 10

@@ -108,7 +108,8 @@ def simhash_links(ws: Workspace, fps: DataFrame, distance: int = 2, segments: in
     # a hot value is one marker row of the index: who fetches it is linked the other way
     entries = index.join(hot, ["s", "v"], "left_anti").select("s", "v", F.col("fp").alias("other"))
     entries = ws.table(entries.union(hot.select("s", "v", F.lit(None).cast("long"))), "index")
-    met = probes.join(entries, ["s", "v"]).where(F.col("other").isNull() | ((F.col("fp") < F.col("other")) & (_distance(F.col("fp"), F.col("other")) <= distance)))
+    # probes are 34 rows a fingerprint, by Spark's estimate one: never broadcast
+    met = probes.hint("merge").join(entries, ["s", "v"]).where(F.col("other").isNull() | ((F.col("fp") < F.col("other")) & (_distance(F.col("fp"), F.col("other")) <= distance)))
     met = ws.table(met.select("fp", "other"), "matches")
     links = met.where("other is not null").select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
     if hot.isEmpty():
@@ -139,7 +140,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = ws.table(rows.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("d")), "least")
     links = simhash_links(ws, least.select(F.col("node").alias("fp")), distance, segments, hot_bucket)
     known = component_labels(ws, least, links)
-    return rows.join(known, rows.fp == known.node).select("id", "fp", "root", "component_id")
+    return rows.join(known.hint("merge"), rows.fp == known.node).select("id", "fp", "root", "component_id")
 
 
 def hex16(fp: Column) -> Column:

@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of numbers that one task writes.
 ROWS_A_TASK = 50_000
+#: Largest size by estimate of what is broadcast while a table is written: estimates are of compressed files, and a row that is exploded counts once.
+BROADCAST_BYTES = 256 << 10
 
 _private: dict[str, str] = {}
 
@@ -68,8 +70,10 @@ class Workspace:
 
     @contextmanager
     def _lean(self):
-        """While a table is written: its shuffle files go when it is there, and Arrow batches are bounded by bytes."""
+        """While a table is written: its shuffle files go when it is there, Arrow batches are bounded by bytes, and broadcasts fit a small driver."""
         conf, own = self.spark.conf, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+        if self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() > BROADCAST_BYTES:
+            own["spark.sql.autoBroadcastJoinThreshold"] = str(BROADCAST_BYTES)
         before = {k: conf.get(k, None) for k in own}
         for k, v in own.items():
             conf.set(k, v)

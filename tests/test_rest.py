@@ -241,3 +241,22 @@ def test_report_of_separate_frames_is_that_of_one(spark, small):
     red = redact.redaction_actions(scored)
     rows = lambda found: sorted(map(repr, report.privacy_report(found, scored, red, ("doc_id",)).collect()))
     assert rows(scored) == rows(scored.drop("level"))
+
+
+@pytest.mark.parametrize("run", ["scan_pages_rt", "scan_pages_lib"])
+def test_a_scan_never_broadcasts_its_pages(spark, small, run):
+    """Spark reckons parsed pages by the size of the file; 900,000 of them went to the driver at its own threshold of 10 MB."""
+    from veilgrid.plans.q_pages import form_pages
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        pages = form_pages(spark, small)
+        result = getattr(scan, run)(pages)
+        plan = result.entities._jdf.queryExecution().executedPlan().toString()
+        joins = [x for x in plan.split("\n") if "Join" in x and "Inner" in x]
+        assert joins and not any("Broadcast" in x for x in joins)
+        result.release()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert pages.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

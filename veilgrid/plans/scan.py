@@ -92,7 +92,8 @@ def scan_pages_lib(pages: DataFrame) -> ScanResult:
 
 
 def _finish(p: DataFrame, found: DataFrame, mode: str, kept: tuple[DataFrame, ...]) -> ScanResult:
-    typed = found.join(p.select("page_id", "page_type", F.substring("visible_text", 1, 500).alias("__page")), "page_id")
+    # Spark reckons the pages' size from that of the files before they are parsed: they are never broadcast
+    typed = found.join(p.select("page_id", "page_type", F.substring("visible_text", 1, 500).alias("__page")).hint("merge"), "page_id")
     scored = risk.score(typed, F.col("page_type"), mode, fallback=F.col("__page") if mode == "lib" else None).drop("__page").withColumn("entity_id", entity_id("page_id"))
     scored = _keep(scored)
     red = redact.redaction_actions(scored)

@@ -171,3 +171,24 @@ def test_columns_of_any_name_are_kept(spark):
     docs = frame(spark, [(1, text), (2, text), (2, "other " + text[:40])]).selectExpr("*", "1 keep", "2 want", "3 rank", "4 own", "5 i", "6 node", "7 `a b.c`", "8 _keep")
     got = near.near_dedup(docs)
     assert got.columns == docs.columns and sorted((r.doc_id, r.keep, r["a b.c"]) for r in got.collect()) == [(1, 1, 7), (2, 1, 7)]
+
+
+def test_simhash_tables_with_balls_bring_near_copies_together(spark):
+    """Segments that differ in two bits meet, in three don't; most copies of 0.9 or more are found before any minimum hash is asked."""
+    from veilgrid.llm.workspace import Workspace
+
+    ws, w = Workspace(spark, "t"), [11, -7, *range(14)]
+    far, odd, three = [~x for x in w], [0x5555555555555555] * 16, 0b111 | 0b111 << 40
+    rows = [(1, 9, *w), (-2, 9, w[0] ^ 0b111 ^ (0b11 << 40), 0x3333333333333333, *w[2:]), (3, 9, *far), (4, 9, far[0] ^ three, far[1] ^ 0b1 ^ (0b111 << 40), *far[2:])]
+    rows += [(5, 9, *odd), (6, 9, odd[0] ^ three, odd[1] ^ three, *odd[2:])]
+    nodes = spark.createDataFrame(rows, "node long, n long, " + ", ".join(f"w{k} long" for k in range(near.WORDS)))
+    got = {tuple(r) for r in near.ball_pairs(ws, nodes).collect()}
+    assert {(-2, 1), (3, 4)} <= got and (5, 6) not in got
+    texts = planted(seed=2, pairs=200)
+    docs, bands = frame(spark, texts), near.bands_for()
+    key = lambda k: near.node_key(texts[k][1].encode())
+    close = {tuple(sorted((key(2 * k), key(2 * k + 1)))) for k in range(200) if brute_jaccard(texts[2 * k][1], texts[2 * k + 1][1]) >= 0.9}
+    alike = {tuple(sorted((key(2 * k), key(2 * k + 1)))) for k in range(200) if brute_jaccard(texts[2 * k][1], texts[2 * k + 1][1]) >= 0.8}
+    _, links = near.ball_links(ws, near._nodes(near.sketches(docs, bands), bands), docs, "text", 0.8, 400)
+    got = {tuple(r) for r in links.collect()}
+    assert got <= alike and len(got & close) >= 0.6 * len(close) > 0

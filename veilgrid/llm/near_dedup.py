@@ -1,11 +1,13 @@
 """Near-duplicate documents by SimHash: five-word shingles at a Jaccard similarity of 0.8 or more.
 
 Two texts of Jaccard similarity s have a cosine of 2s / (1 + s), and a bit of their SimHashes differs with probability acos(cosine) / pi:
-0.15 at 0.8.  A table of segments of such fingerprints needs more and longer segments as the corpus grows, whatever the balls in them.
-So candidates come from bands of minimum hashes of the shingles (``ROWS`` in a band): two texts share a band with probability
-1 - (1 - s ** ROWS) ** bands, whatever the size of the corpus, and the tables have the same few rows for each text at any size.
+0.15 at 0.8.  Multi-index hashing comes first: ``TABLES`` segments of 32 bits of the fingerprint, each with the Hamming ball of radius 1 around
+every text's value, so that two texts meet where a segment differs in two bits or fewer; most copies of 0.9 or more do.  Tables that find all at
+0.8 need more and longer segments as the corpus grows, whatever the balls in them.  So what isn't joined yet gets further candidates
+from bands of minimum hashes of the shingles (``ROWS`` in a band): two texts share a band with probability
+1 - (1 - s ** ROWS) ** bands, whatever the size of the corpus.  Both kinds of tables have the same few rows for each text at any size.
 
-Texts that share a band are verified in three steps: by the distance of 64 bits of their SimHash fingerprints, which
+Texts that the balls bring together are verified by their complete fingerprints and exact shingle sets.  Texts that share a band are verified in three steps: by the distance of 64 bits of their SimHash fingerprints, which
 travel with each entry of the tables; those entries that have any partner by then, by the distance of the complete
 fingerprints (``WORDS`` times 64 bits, long enough to tell 0.8 from 0.7); and at last by their exact shingle sets.
 
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
 from veilgrid.llm.components import connected_components
+from veilgrid.llm.simhash import _ball, _signed
 from veilgrid.llm.workspace import Workspace, column, fresh, slices
 
 SHINGLE = 5
@@ -38,6 +41,8 @@ RECALL, ROWS = 0.99, 6
 WORDS = 16
 #: Standard deviations above the expected distance of pairs at the similarity that a check of fingerprints allows.
 SPREAD = 2.5
+#: Segments of 32 bits of the fingerprint that have a table with balls of radius 1.
+TABLES = 4
 #: Times that each node is compared with the highest head of its buckets, before all that is left is compared.
 TURNS = 4
 #: The filter of texts that are compared has about so many bits for each, and two to this power at most.
@@ -223,6 +228,34 @@ def _index(nodes: DataFrame, bands: int) -> DataFrame:
     return nodes.select("node", "n", F.col("w0").alias("c"), F.explode(F.array(*[F.col(f"k{k}") for k in range(bands)])).alias("v")).select("v", "node", "n", "c")
 
 
+def ball_pairs(ws: Workspace, nodes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``nodes(node, w0, w1, ...)`` whose balls around a segment meet: for each node that with which it is paired most often.
+
+    A point where balls meet gives one pair, of the first and the last of its nodes in an order of its own: many copies meet in many points,
+    so a group's pairs are spread over it and their number follows that of its entries.
+    """
+    high = _signed(((1 << 32) - 1) << 32)
+    segments = [(F.col(f"w{s // 2}").bitwiseAND(F.lit(high)) if s % 2 == 0 else F.shiftleft(f"w{s // 2}", 32)).bitwiseOR(F.lit(s).cast("long")) for s in range(TABLES)]
+    ball = F.explode(F.array(*[F.lit(_signed(m << 32)).cast("long") for m in _ball(32, 1)]))
+    entries = nodes.select("node", F.explode(F.array(*segments)).alias("v0")).select("node", "v0", ball.alias("m")).select("node", F.col("v0").bitwiseXOR(F.col("m")).alias("v"))
+    order = F.col("node").bitwiseXOR(F.col("v"))
+    met = entries.groupBy("v").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo != hi").select(F.col("lo").bitwiseXOR(F.col("v")).alias("x"), F.col("hi").bitwiseXOR(F.col("v")).alias("y"))
+    met = ws.table(met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("k")), "met")
+    both = met.union(met.select("y", "x", "k"))
+    often = F.shiftleft(F.col("k"), 48).bitwiseOR(F.shiftrightunsigned("y", 16))  # ties go by node
+    best = both.groupBy("x").agg(F.max_by("y", often).alias("y"))
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def ball_links(ws: Workspace, nodes: DataFrame, docs: DataFrame, text_col: str, similarity: float, count: int) -> tuple[DataFrame, DataFrame]:
+    """Of the ball pairs those whose fingerprints are near enough, and of these the links ``(a, b)`` whose shingle sets are."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(f"w{k}").alias(f"{x}{k}") for k in range(WORDS)])
+    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
+    alike = (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * (similarity - 1e-9)) & (apart <= check_radius(WORDS, similarity))
+    tried = ws.table(ball_pairs(ws, nodes).join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "ball-tried", count)
+    return tried, _similar(ws, tried, docs, text_col, similarity, "balls", count)
+
+
 def near_links(ws: Workspace, rows: DataFrame, docs: DataFrame, bands: int, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Links ``(a, b)`` between the nodes of ``rows``, the sketches of ``docs``, that connect all candidates within the similarity."""
     radius = check_radius(1, similarity)
@@ -244,18 +277,19 @@ def near_links(ws: Workspace, rows: DataFrame, docs: DataFrame, bands: int, text
     met = index.join(heads, "v").where((F.col("node") != F.col("a")) & near(F.col("n"), F.col("an"), F.col("c"), F.col("ac")))
     star = ws.table(met.select("a", F.col("node").alias("b"), "s").distinct(), "star", entries)
     ws.drop(full, scores, heads)
-    # groups grow by the highest head of each node's buckets, one at a time, while that joins any
-    links, groups = None, None
+    # groups begin with what the balls join and grow by the highest head of each node's buckets, one at a time, while that joins any
+    tried, links = ball_links(ws, nodes, docs, text_col, similarity, count)
+    tried = tried.union(tried.select("b", "a"))
+    groups = ws.table(connected_components(ws, links, count), "groups", count)
     for turn in range(TURNS):
-        if groups is not None:
-            one, two = (groups.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
-            apart = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
-            star = ws.table(star.join(tried, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left").where(apart).select("a", "b", "s"), "star", entries)
+        one, two = (groups.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
+        apart = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
+        star = ws.table(star.join(tried, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left").where(apart).select("a", "b", "s"), "star", entries)
         tried = ws.table(star.groupBy("b").agg(F.max_by("a", "s").alias("a")).select("a", "b"), "tried", count)
         found = _similar(ws, tried, docs, text_col, similarity, f"star{turn}", count)
-        if links is not None and found.isEmpty():
+        if turn and found.isEmpty():
             break
-        links = found if links is None else links.union(found)
+        links = links.union(found)
         groups = ws.table(connected_components(ws, links, count), "groups", count)
     ws.drop(star)
     rooted = ws.table(index.join(groups, "node", "left").select("v", "node", "n", "c", F.coalesce("root", "node").alias("root")), "rooted", entries)

@@ -1,11 +1,13 @@
 """Language-model scores against plain counting."""
 
+import cProfile
 import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veilgrid.llm import lm_scoring
@@ -158,3 +160,52 @@ def test_packing_of_numbers():
     x = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
     assert (lm_scoring.unpack_sorted(lm_scoring.pack_sorted(x)) == x).all()
     assert len(lm_scoring.unpack(lm_scoring.pack(x[:0]))) == 0
+
+
+class Local:
+    """What a task makes of one batch, in this process."""
+
+    def __init__(self, **columns):
+        self.batch = pa.RecordBatch.from_pydict(columns)
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return list(run(iter([self.batch])))
+
+
+class FirstTask:
+    get = classmethod(lambda cls: cls)
+    partitionId = classmethod(lambda cls: 0)  # noqa: N815
+
+
+def test_calls_do_not_follow_tokens(monkeypatch):
+    """Texts of few different words: splitting and numbering them is no call a token."""
+    monkeypatch.setattr(lm_scoring, "TaskContext", FirstTask)
+    texts = [" ".join(f"w{(i * k) % 300}" for k in range(2000)) for i in range(50)]
+    with cProfile.Profile() as p:
+        blocks = lm_scoring._blocks(Local(id=list(range(50)), t=texts), 7, 2, 1 << 20)
+    assert sum(e.callcount for e in p.getstats()) < 20_000  # of 100,050 tokens
+    block = lm_scoring._block_of(blocks[0].to_pylist()[0])
+    assert len(blocks) == 1 and len(block.tokens) == 50 * 2002 and len(block.hashes) == 302
+
+
+def test_split_as_bytes_are(monkeypatch):
+    """Any white space of ASCII and no other, and capitals of A to Z only."""
+    monkeypatch.setattr(lm_scoring, "TaskContext", FirstTask)
+    rng = random.Random(3)
+    texts = [None, "", " ", *("".join(rng.choice(" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0AzÉß\0x") for _ in range(rng.randrange(20))) for _ in range(2000))]
+    (row,) = lm_scoring._blocks(Local(id=list(range(len(texts))), t=texts), 7, 2, 1 << 20)[0].to_pylist()
+    block = lm_scoring._block_of(row)
+    ends = np.cumsum(block.lengths)
+    for text, start, end in zip(texts, block.starts, ends, strict=True):
+        want = [lm_scoring.xxh64_intdigest(w) for w in (b" begin", *tokens(text))]
+        assert block.hashes[block.tokens[start:end]].tolist() == want
+
+
+def test_order_of_numbers():
+    rng = np.random.default_rng(1)
+    wide = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    close = np.concatenate([wide[:1], np.uint64(1 << 63) + rng.integers(0, 50, 3000, dtype=np.uint64), [np.uint64(0), np.uint64((1 << 64) - 1)]])  # more bits than there is room
+    for x in (wide, np.concatenate([wide, wide[:999]]), close, wide[:1], wide[:0], rng.integers(0, 9, 500), np.zeros(7, np.int64)):
+        assert (lm_scoring.order_of(x) == np.argsort(x, kind="stable")).all()
+        for got, want in zip(lm_scoring.distinct(x), np.unique(x, return_index=True, return_inverse=True), strict=True):
+            assert (got == want).all() and len(got) == len(want)

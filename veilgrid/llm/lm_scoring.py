@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,24 +41,36 @@ BLOCK = 3 << 18
 #: Nodes that combine their counts at a time.
 FAN = 256
 #: Tokens that are scored one after the other; longer pieces are read in so many lanes.
-LANE = 256
+LANE = 64
+#: Texts that are split at a time.
+TEXTS = 512
 # Local numbers and hashes of the end of a text and of its beginning (a space is in no word).
 END, BEGIN = 0, 1
 MARKS = (b" end", b" begin")
 
 _U64 = np.dtype("<u8")
-_BEGIN = _U64.type(xxh64_intdigest(MARKS[BEGIN]))
+_MARKS = np.array([xxh64_intdigest(m) for m in MARKS], _U64)
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Unsigned integers as compressed byte planes."""
+    """Unsigned integers as compressed byte planes, as many as the largest needs, their number last."""
     a = np.ascontiguousarray(numbers, _U64)
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, 8).T.tobytes())
+    count = -(-int(a.max()).bit_length() // 8) or 1 if len(a) else 1
+    planes = np.empty(count * len(a) + 1, np.uint8)
+    planes[-1] = count
+    for k in range(count):
+        planes[k * len(a) : (k + 1) * len(a)] = a.view(np.uint8)[k::8]
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view(_U64)
+    count = int(planes[-1])
+    size = (len(planes) - 1) // count
+    a = np.zeros(size, _U64)
+    for k in range(count):
+        a.view(np.uint8)[k::8] = planes[k * size : (k + 1) * size]
+    return a
 
 
 def pack_sorted(numbers: np.ndarray) -> bytes:
@@ -69,6 +82,40 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=_U64)
 
 
+def order_of(numbers: np.ndarray) -> np.ndarray:
+    """The stable order that sorts unsigned integers.
+
+    Values with their places in the low bits are sorted, several times faster than places by value; values that
+    differ only in bits for which no room is left may come out wrong, which is looked for.
+    """
+    a = np.ascontiguousarray(numbers, _U64)
+    if not len(a):
+        return np.zeros(0, np.int64)
+    low, places = a.min(), len(a).bit_length()
+    over = _U64.type(max(0, int(a.max() - low).bit_length() + places - 64))
+    both = a - low
+    both >>= over
+    both <<= _U64.type(places)
+    both |= np.arange(len(a), dtype=_U64)
+    both.sort()
+    both &= _U64.type((1 << places) - 1)
+    order = both.view(np.int64)
+    if over and ((ordered := a[order])[1:] < ordered[:-1]).any():
+        return np.argsort(a, kind="stable")
+    return order
+
+
+def distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct unsigned integers, sorted; where each is first; and for each of ``numbers`` its place among them."""
+    order = order_of(numbers)
+    ordered = numbers[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(order), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], order[new], inverse
+
+
 def is_held_out(doc_id: int | None, of: int, rest: int) -> bool:
     """Whether a document isn't learnt from; a null id is written as an empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % of == rest
@@ -100,7 +147,7 @@ class Block:
 
     def __post_init__(self) -> None:
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)
+        self.place = np.arange(len(self.tokens), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.lengths)
         self.scored = self.place >= np.repeat(self.leads, self.lengths)
         self.learnt = self.scored & ~np.repeat(self.held, self.lengths)
 
@@ -111,34 +158,54 @@ class Block:
         return n
 
     def bigrams(self) -> Ngrams:
-        at = np.flatnonzero(self.place >= 1)
-        codes = self.tokens[at - 1] * len(self.hashes) + self.tokens[at]
-        return Ngrams.of(codes, at, self.learnt, ngram_keys(self.hashes[self.tokens[at - 1]], self.hashes[self.tokens[at]]), len(self.tokens))
+        at = np.flatnonzero(self.place >= 1).astype(np.int32)
+        return Ngrams.of(self.tokens[at - 1], self.hashes, at, self)
 
     def trigrams(self, bigrams: Ngrams, state: np.ndarray) -> Ngrams:
         """Those after a bigram that is a state."""
-        at = np.flatnonzero(self.scored & (self.place >= 2))
-        at = at[state[bigrams.number[at - 1]]]
+        at = np.flatnonzero(self.scored & (self.place >= 2)).astype(np.int32)
         context = bigrams.number[at - 1]
-        codes = context * len(self.hashes) + self.tokens[at]
-        return Ngrams.of(codes, at, self.learnt, ngram_keys(bigrams.keys[context], self.hashes[self.tokens[at]]), len(self.tokens))
+        follows = state[context]
+        return Ngrams.of(context[follows], bigrams.keys, at[follows], self)
 
 
 @dataclass
 class Ngrams:
-    """Distinct n-grams of a block: their codes, sorted; their hashes; how often each is learnt; the number of that which ends at a token, or -1."""
+    """Distinct n-grams of a block: their codes, sorted; their hashes; how often each is learnt; a token at which each ends; the number of that which ends at a token, or -1."""
 
     codes: np.ndarray
     keys: np.ndarray
     counts: np.ndarray
+    ends: np.ndarray
     number: np.ndarray
 
     @classmethod
-    def of(cls, codes: np.ndarray, at: np.ndarray, learnt: np.ndarray, keys: np.ndarray, tokens: int) -> Ngrams:
-        every, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
-        number = np.full(tokens, -1, np.int64)
+    def of(cls, context: np.ndarray, hashes: np.ndarray, at: np.ndarray, block: Block) -> Ngrams:
+        """Those that end at the tokens ``at``; context: numbers of what is before these tokens, hashes: of all numbers."""
+        every, first, inverse = distinct(context * np.int64(len(block.hashes)) + block.tokens[at])
+        number = np.full(len(block.tokens), -1, np.int32)
         number[at] = inverse
-        return cls(every, keys[first], np.bincount(inverse[learnt[at]], minlength=len(every)), number)
+        ends = at[first]
+        keys = ngram_keys(hashes[context[first]], block.hashes[block.tokens[ends]])
+        return cls(every, keys, np.bincount(inverse[block.learnt[at]], minlength=len(every)), ends, number)
+
+
+def _hashed_tokens(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For each text the hashes of its beginning, its words and its end."""
+    split = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(texts), ""))
+    words = split.flatten()
+    real = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves an empty one, and so does an empty text
+    sizes = np.add.reduceat(real.astype(np.int64), split.offsets.to_numpy()[:-1] - split.offsets[0].as_py())
+    words = words.dictionary_encode()
+    hashes = np.array([xxh64_intdigest(w) for w in words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)], _U64)
+    ends = np.cumsum(sizes + 2)
+    tokens = np.empty(int(ends[-1]), _U64)
+    inner = np.ones(len(tokens), bool)
+    inner[ends - 1] = inner[ends - sizes - 2] = False
+    tokens[ends - 1], tokens[ends - sizes - 2] = _MARKS[END], _MARKS[BEGIN]
+    tokens[inner] = hashes[words.indices.to_numpy()[real]]
+    for size, end in zip((sizes + 2).tolist(), ends.tolist(), strict=True):
+        yield tokens[end - size : end]
 
 
 _BLOCK = "block long, rows binary, ids array<long>, lengths binary, leads binary, held binary, tokens binary, hashes binary"
@@ -150,31 +217,27 @@ def _blocks(source: DataFrame, of: int, rest: int, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n, row = TaskContext.get().partitionId() << 32, 0, TaskContext.get().partitionId() << 32
         rows, ids, leads, parts, size = [], [], [], [], 0
-        words: dict[bytes, int] = {MARKS[0]: END, MARKS[1]: BEGIN}
 
         def flush() -> pa.RecordBatch:
-            hashes = np.array([xxh64_intdigest(w) for w in words], _U64)
+            words = pa.array(np.concatenate([_MARKS, *parts])).dictionary_encode()  # numbers in the order of appearance
             out = {
                 "block": base + n, "rows": pack(np.array(rows)), "ids": ids, "lengths": pack(np.array([len(p) for p in parts])), "leads": pack(np.array(leads)),
-                "held": pack(np.array([is_held_out(i, of, rest) for i in ids])), "tokens": pack(np.concatenate(parts)), "hashes": hashes.tobytes(),
+                "held": pack(np.array([is_held_out(i, of, rest) for i in ids])), "tokens": pack(words.indices.to_numpy()[len(_MARKS) :]), "hashes": words.dictionary.to_numpy().tobytes(),
             }
             return pa.RecordBatch.from_pylist([out], schema=kinds)
 
-        for batch in slices(batches):
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                found = (t.as_py() or b"").lower().split()
-                found = [MARKS[BEGIN], *found, MARKS[END]]
+        for batch in slices(batches, TEXTS):
+            for i, found in zip(batch.column(0).to_pylist(), _hashed_tokens(batch.column(1)), strict=True):
                 for at in range(1, len(found), block):  # a text of any length, so many tokens at a time
                     lead = 1 if at == 1 else 2
                     piece = found[at - lead : at + block]
                     if size and size + len(piece) > block:
                         yield flush()
-                        n, rows, ids, leads, parts, words, size = n + 1, [], [], [], [], {MARKS[0]: END, MARKS[1]: BEGIN}, 0
-                    number = words.setdefault
+                        n, rows, ids, leads, parts, size = n + 1, [], [], [], [], 0
                     rows.append(row)
                     ids.append(i)
                     leads.append(lead)
-                    parts.append(np.array([number(w, len(words)) for w in piece], np.uint32))
+                    parts.append(piece)
                     size += len(piece)
                 row += 1
         if size:
@@ -196,7 +259,7 @@ _SENT = "to_prefix long, to_node long, kind long, prefix long, node long, range
 
 
 def _asked(prefix: int, node: int, kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(keys, kind="stable")
+    order = order_of(keys)
     return pa.record_batch([[prefix], [node], [kind], [pack_sorted(keys[order])], [pack(counts[order])]], names=[c.split()[0] for c in _ASKED.split(", ")])
 
 
@@ -214,31 +277,32 @@ def totals(ws: Workspace, asked: DataFrame, nodes: int, fan: int = FAN, used: in
     kinds = pa.schema([(c, pa.binary() if c in ("keys", "counts", "sums") else pa.int64()) for c in names])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for r in batch.to_pylist():
                 keys, counts = unpack_sorted(r["keys"]), unpack(r["counts"])
                 part = (keys << _U64.type(used)) >> _U64.type(64 - bits) if bits else np.zeros(len(keys), _U64)
-                at = np.searchsorted(part, np.arange((1 << bits) + 1))
+                at = np.searchsorted(part, np.arange((1 << bits) + 1, dtype=_U64))
                 group = xxh64_intdigest(str(r["node"])) % groups
-                for p in np.flatnonzero(np.diff(at)).tolist():
-                    k = slice(at[p], at[p + 1])
-                    row = {"to_prefix": r["prefix"] << bits | p, "to_node": group, "kind": r["kind"], "prefix": r["prefix"], "node": r["node"], "range": p, "keys": pack_sorted(keys[k]), "counts": pack(counts[k]), "sums": None}
-                    yield pa.RecordBatch.from_pylist([row], schema=kinds)
+                out = [
+                    {"to_prefix": r["prefix"] << bits | p, "to_node": group, "kind": r["kind"], "prefix": r["prefix"], "node": r["node"], "range": p, "keys": pack_sorted(keys[at[p] : at[p + 1]]), "counts": pack(counts[at[p] : at[p + 1]])}
+                    for p in np.flatnonzero(np.diff(at)).tolist()
+                ]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     def combined(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Each row's keys, all of them, and for each of the rows' keys its place among all."""
         keys = [unpack_sorted(r["keys"]) for r in rows]
-        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        every, _, inverse = distinct(np.concatenate(keys))
         return keys, every, inverse
 
     def sums(rows: list[dict], every: np.ndarray, inverse: np.ndarray) -> np.ndarray:
         return np.bincount(inverse, weights=np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.float64), minlength=len(every)).astype(np.int64)
 
     def answer(rows: list[dict], keys: list[np.ndarray], inverse: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = 0
-        for r, k in zip(rows, keys, strict=True):
-            yield pa.record_batch([[r["prefix"]], [r["node"]], [r["kind"]], [r["range"]], [pack(total[inverse[at : at + len(k)]])]], names=["prefix", "node", "kind", "range", "sums"])
-            at += len(k)
+        ends = np.cumsum([len(k) for k in keys])
+        sums = [pack(total[inverse[end - len(k) : end]]) for k, end in zip(keys, ends.tolist(), strict=True)]
+        yield pa.record_batch([[r[c] for r in rows] for c in ("prefix", "node", "kind", "range")] + [sums], names=["prefix", "node", "kind", "range", "sums"])
 
     def up(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         _, every, inverse = combined(rows)
@@ -252,7 +316,7 @@ def totals(ws: Workspace, asked: DataFrame, nodes: int, fan: int = FAN, used: in
     def whole(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         keys, every, inverse = combined(rows)
         total = sums(rows, every, inverse)
-        types = int(((total > 0) & (every != _BEGIN)).sum())
+        types = int(((total > 0) & (every != _MARKS[BEGIN])).sum())
         yield pa.record_batch([[-1], [-1], [rows[0]["kind"]], [types], [None]], schema=pa.schema([(c, pa.binary() if c == "sums" else pa.int64()) for c in ("prefix", "node", "kind", "range", "sums")]))
         yield from answer(rows, keys, inverse, total)
 
@@ -261,7 +325,7 @@ def totals(ws: Workspace, asked: DataFrame, nodes: int, fan: int = FAN, used: in
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, held = None, []
-            for batch in batches:
+            for batch in slices(batches):
                 for row in batch.to_pylist():
                     if (now := tuple(row[c] for c in keys)) != key:
                         if held:
@@ -310,6 +374,8 @@ class Automaton:
             if not len(left):
                 break
             keys = s * self.width + w
+            order = order_of(keys)  # neighbours among the arcs are looked up one after the other
+            left, s, keys = left[order], s[order], keys[order]
             place = np.minimum(np.searchsorted(self.arcs, keys), len(self.arcs) - 1)
             hit = self.arcs[place] == keys if len(self.arcs) else np.zeros(len(keys), bool)
             gained[left[hit]] += self.weights[place[hit]]
@@ -350,19 +416,18 @@ def compile_automaton(words: np.ndarray, bigrams: Ngrams, pairs: np.ndarray, tri
     p1 = (words + 1) / (n + v + 1)
     contexts = words.copy()
     contexts[END] = 0
-    word_state = np.where(contexts > 0, np.arange(width) + 1, 0)
+    word_state = np.where(contexts > 0, np.arange(1, width + 1, dtype=np.int32), np.int32(0))
     a, b = bigrams.codes // width, bigrams.codes % width
     p2 = (pairs + MASS[0] * p1[b]) / (contexts[a] + MASS[0])
     own = is_state(bigrams, pairs, width)
-    after = np.where(own, 1 + width + np.arange(len(own)), word_state[b])  # state that a bigram leaves
+    after = np.where(own, np.arange(1 + width, 1 + width + len(own), dtype=np.int32), word_state[b])  # state that a bigram leaves
     two = np.flatnonzero(pairs > 0)
     context, w = trigrams.codes // width, trigrams.codes % width
-    # the bigram of the last two words is in the block too
-    last = np.searchsorted(bigrams.codes, b[context] * width + w) if len(context) else context
+    last = bigrams.number[trigrams.ends]  # the bigram of the last two words is in the block too
     three = np.flatnonzero(triples > 0)
     weights3 = (triples[three] + MASS[1] * p2[last[three]]) / (pairs[context[three]] + MASS[1])
     arcs = np.concatenate([(1 + a[two]) * width + b[two], (1 + width + context[three]) * width + w[three]])
-    failure, back = np.zeros(1 + width + len(own)), np.zeros(1 + width + len(own), np.int64)
+    failure, back = np.zeros(1 + width + len(own)), np.zeros(1 + width + len(own), np.int32)
     failure[1 : 1 + width] = np.log10(MASS[0] / (contexts + MASS[0]))
     failure[1 + width :] = np.log10(MASS[1] / (pairs + MASS[1]))
     back[1 + width :] = word_state[b]
@@ -382,9 +447,9 @@ def _meet(blocks: DataFrame, answers: DataFrame, work, schema: str) -> DataFrame
         block, got = None, {}
 
         def settle() -> Iterator[pa.RecordBatch]:
-            yield from work(block, {k: np.concatenate(x).astype(np.int64) for k, x in got.items()})
+            yield from work(block, {k: np.concatenate(got.pop(k)).astype(np.int64) for k in list(got)})
 
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 if row["kind"] == 0:
                     if block:
@@ -404,13 +469,13 @@ def _ordered(keys: np.ndarray, sums: np.ndarray | None) -> np.ndarray:
     """Sums that came in the order of the sorted keys, in that of ``keys``."""
     out = np.zeros(len(keys), np.int64)
     if sums is not None:
-        out[np.argsort(keys, kind="stable")] = sums
+        out[order_of(keys)] = sums
     return out
 
 
 def _ask_words_and_bigrams(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 b = _block_of(row)
                 yield _asked(0, b.number, 1, b.hashes, b.words())
@@ -433,19 +498,22 @@ def _ask_trigrams(blocks: DataFrame, answers: DataFrame) -> DataFrame:
 _SCORE = "row long, id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _automaton(b: Block, words: np.ndarray, got: dict[int, np.ndarray], n: int, v: int) -> Automaton:
+    """That of a block; its n-grams and the sums (taken from ``got``) go when it is made."""
+    bigrams = b.bigrams()
+    pairs = _ordered(bigrams.keys, got.pop(2, None))
+    trigrams = b.trigrams(bigrams, is_state(bigrams, pairs, len(words)))
+    return compile_automaton(words, bigrams, pairs, trigrams, _ordered(trigrams.keys, got.pop(3, None)), n, v)
+
+
 def _score(blocks: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
     """Scores of every piece of a text."""
 
     def work(b: Block, got: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        words, bigrams = _ordered(b.hashes, got.get(1)), b.bigrams()
-        pairs = _ordered(bigrams.keys, got.get(2))
-        trigrams = b.trigrams(bigrams, is_state(bigrams, pairs, len(words)))
-        model = compile_automaton(words, bigrams, pairs, trigrams, _ordered(trigrams.keys, got.get(3)), n, v)
-        base = np.where(b.scored, np.log10((words + 1) / (n + v + 1))[b.tokens], 0.0)
-        known = (b.scored & (words > 0)[b.tokens]).astype(np.int64)
+        words = _ordered(b.hashes, got.pop(1, None))
         columns = [
-            pa.array(b.rows), pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.lengths - b.leads), pa.array(np.add.reduceat(known, b.starts)), pa.array(np.full(len(b.rows), n)),
-            pa.array(np.add.reduceat(base, b.starts)), pa.array(model.scores(b)),
+            pa.array(b.rows), pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.lengths - b.leads), pa.array(np.add.reduceat((b.scored & (words > 0)[b.tokens]).astype(np.int64), b.starts)), pa.array(np.full(len(b.rows), n)),
+            pa.array(np.add.reduceat(np.where(b.scored, np.log10((words + 1) / (n + v + 1))[b.tokens], 0.0), b.starts)), pa.array(_automaton(b, words, got, n, v).scores(b)),
         ]
         yield pa.record_batch(columns, names=[c.split()[0] for c in _SCORE.split(", ")])
 
@@ -462,7 +530,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scored in pieces, each of which reads the two tokens before it.
     """
     ws = Workspace(docs.sparkSession, "lm")
-    blocks = ws.table(_blocks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), of, rest, block), "blocks")
+    blocks = ws.table(_blocks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")), of, rest, block), "blocks")
     nodes, n = blocks.count(), int(_learnt(blocks).agg(F.sum("learnt")).first()[0] or 0)
     first, stats = totals(ws, _ask_words_and_bigrams(blocks), nodes, fan)
     v = int(stats.where("kind = 1").agg(F.sum("types")).first()[0] or 0)

@@ -192,3 +192,45 @@ def test_simhash_tables_with_balls_bring_near_copies_together(spark):
     _, links = near.ball_links(ws, near._nodes(near.sketches(docs, bands), bands), docs, "text", 0.8, 400)
     got = {tuple(r) for r in links.collect()}
     assert got <= alike and len(got & close) >= 0.6 * len(close) > 0
+
+
+def test_no_task_makes_the_ball_points_of_many_texts(spark):
+    """One file of many texts: a task's map of points held all of them."""
+    from pyspark.sql import functions as F
+
+    count = 5 * near.BALLS_A_TASK
+    nodes = spark.range(0, count, 1, 1).select(F.xxhash64("id").alias("node"), F.lit(9).cast("long").alias("n"), *[F.xxhash64("id", F.lit(k)).alias(f"w{k}") for k in range(near.WORDS)])
+    held = [r["count"] for r in near.ball_entries(nodes, count).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == count * near.TABLES * 33 and max(held) <= 1.2 * near.BALLS_A_TASK * near.TABLES * 33
+
+
+def test_arrow_batches_of_the_stage_are_small(spark, monkeypatch):
+    """Whole texts of 24 MB in one partition reach a task in batches of about BATCH_BYTES."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from veilgrid.llm.workspace import Workspace
+
+    sizes = []
+
+    def sketches(docs, bands, id_col, text_col):
+        def run(batches):
+            for b in batches:
+                yield pa.record_batch([pa.array([b.nbytes], pa.int64())], names=["size"])
+
+        return docs.select(id_col, text_col).mapInArrow(run, "size long")
+
+    class Seen(Workspace):
+        def table(self, df, label, rows=None):
+            out = super().table(df, label, rows)
+            if label == "rows":
+                sizes.extend(r.size for r in out.collect())
+                raise StopIteration
+            return out
+
+    monkeypatch.setattr(near, "sketches", sketches)
+    monkeypatch.setattr(near, "Workspace", Seen)
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 800).alias("text"))
+    with pytest.raises(StopIteration):
+        near.near_components(docs)
+    assert sum(sizes) > 20 << 20 and max(sizes) <= 6 << 20

@@ -31,7 +31,7 @@ from xxhash import xxh64_digest, xxh64_intdigest
 
 from veilgrid.llm.components import connected_components
 from veilgrid.llm.simhash import _ball, _signed
-from veilgrid.llm.workspace import Workspace, column, fresh, slices
+from veilgrid.llm.workspace import Workspace, column, fresh, slices, tasks_for
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -43,6 +43,10 @@ WORDS = 16
 SPREAD = 2.5
 #: Segments of 32 bits of the fingerprint that have a table with balls of radius 1.
 TABLES = 4
+#: Distinct texts whose ball points one task holds: 33 points for each segment, nearly all of them different, 60 to 70 bytes each.
+BALLS_A_TASK = 4096
+#: Bytes of an Arrow batch: texts are worked on one by one, so larger ones only take memory.
+BATCH_BYTES = 4 << 20
 #: Times that each node is compared with the highest head of its buckets, before all that is left is compared.
 TURNS = 4
 #: The filter of texts that are compared has about so many bits for each, and two to this power at most.
@@ -228,16 +232,23 @@ def _index(nodes: DataFrame, bands: int) -> DataFrame:
     return nodes.select("node", "n", F.col("w0").alias("c"), F.explode(F.array(*[F.col(f"k{k}") for k in range(bands)])).alias("v")).select("v", "node", "n", "c")
 
 
-def ball_pairs(ws: Workspace, nodes: DataFrame) -> DataFrame:
+def ball_entries(nodes: DataFrame, count: int) -> DataFrame:
+    """``(node, v)``: the points of the balls around the segments of ``nodes(node, w0, w1, ...)``, about ``count`` rows, dealt so that no task makes many."""
+    high = _signed(((1 << 32) - 1) << 32)
+    segments = [(F.col(f"w{s // 2}").bitwiseAND(F.lit(high)) if s % 2 == 0 else F.shiftleft(f"w{s // 2}", 32)).bitwiseOR(F.lit(s).cast("long")) for s in range(TABLES)]
+    ball = F.explode(F.array(*[F.lit(_signed(m << 32)).cast("long") for m in _ball(32, 1)]))
+    # a file of few MB has tens of thousands of texts; they are dealt before they grow to 132 rows each
+    dealt = nodes.select("node", *[f"w{k}" for k in range((TABLES + 1) // 2)]).repartition(tasks_for(count, BALLS_A_TASK, 1 << 18), "node")
+    return dealt.select("node", F.explode(F.array(*segments)).alias("v0")).select("node", "v0", ball.alias("m")).select("node", F.col("v0").bitwiseXOR(F.col("m")).alias("v"))
+
+
+def ball_pairs(ws: Workspace, nodes: DataFrame, count: int | None = None) -> DataFrame:
     """Pairs ``(a, b)`` of ``nodes(node, w0, w1, ...)`` whose balls around a segment meet: for each node that with which it is paired most often.
 
     A point where balls meet gives one pair, of the first and the last of its nodes in an order of its own: many copies meet in many points,
     so a group's pairs are spread over it and their number follows that of its entries.
     """
-    high = _signed(((1 << 32) - 1) << 32)
-    segments = [(F.col(f"w{s // 2}").bitwiseAND(F.lit(high)) if s % 2 == 0 else F.shiftleft(f"w{s // 2}", 32)).bitwiseOR(F.lit(s).cast("long")) for s in range(TABLES)]
-    ball = F.explode(F.array(*[F.lit(_signed(m << 32)).cast("long") for m in _ball(32, 1)]))
-    entries = nodes.select("node", F.explode(F.array(*segments)).alias("v0")).select("node", "v0", ball.alias("m")).select("node", F.col("v0").bitwiseXOR(F.col("m")).alias("v"))
+    entries = ball_entries(nodes, nodes.count() if count is None else count)
     order = F.col("node").bitwiseXOR(F.col("v"))
     met = entries.groupBy("v").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo != hi").select(F.col("lo").bitwiseXOR(F.col("v")).alias("x"), F.col("hi").bitwiseXOR(F.col("v")).alias("y"))
     met = ws.table(met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("k")), "met")
@@ -252,7 +263,7 @@ def ball_links(ws: Workspace, nodes: DataFrame, docs: DataFrame, text_col: str,
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(f"w{k}").alias(f"{x}{k}") for k in range(WORDS)])
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
     alike = (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * (similarity - 1e-9)) & (apart <= check_radius(WORDS, similarity))
-    tried = ws.table(ball_pairs(ws, nodes).join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "ball-tried", count)
+    tried = ws.table(ball_pairs(ws, nodes, count).join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "ball-tried", count)
     return tried, _similar(ws, tried, docs, text_col, similarity, "balls", count)
 
 
@@ -327,7 +338,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group.  Rows with a null id are kept; a group of only such rows has a null component_id.
     An empty table gives no rows; other columns aren't read.
     """
-    ws = Workspace(docs.sparkSession, "near")
+    ws = Workspace(docs.sparkSession, "near", BATCH_BYTES)
     bands = bands_for(similarity, recall)
     rows = ws.table(sketches(docs, bands, id_col, text_col), "rows")
     links = near_links(ws, rows, docs, bands, text_col, similarity)
@@ -346,7 +357,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group has one row; of rows that repeat both, the least by text stays.  Rows with a null id can't
     be named and stay.
     """
-    ws = Workspace(docs.sparkSession, "near-keep")
+    ws = Workspace(docs.sparkSession, "near-keep", BATCH_BYTES)
     known = ws.table(near_components(docs, id_col, text_col, similarity, recall).where("id is not null"), "known")
     keep, want, rank, own = fresh(docs, "keep", "want", "rank", "own")
     first = known.groupBy("root").agg(F.min(F.struct("id", "node")).alias("k")).select(F.col("k.id").alias(keep), F.col("k.node").alias(want))

@@ -25,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROWS_A_TASK = 50_000
 #: Largest size by estimate of what is broadcast while a table is written: estimates are of compressed files, and a row that is exploded counts once.
 BROADCAST_BYTES = 256 << 10
+#: Bytes of an Arrow batch of a task, which the JVM and the Python worker each hold beside their heaps.
+BATCH_BYTES = 32 << 20
 
 _private: dict[str, str] = {}
 
@@ -45,8 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Named tables of one operator run, removed on request or when the driver's JVM ends."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, batch_bytes: int = BATCH_BYTES):
+        self.spark, self.batch_bytes = spark, batch_bytes
         self.root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
         self._fs(self.root)[0].deleteOnExit(self._fs(self.root)[1])
 
@@ -71,7 +73,7 @@ class Workspace:
     @contextmanager
     def _lean(self):
         """While a table is written: its shuffle files go when it is there, Arrow batches are bounded by bytes, and broadcasts fit a small driver."""
-        conf, own = self.spark.conf, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+        conf, own = self.spark.conf, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(self.batch_bytes)}
         if self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() > BROADCAST_BYTES:
             own["spark.sql.autoBroadcastJoinThreshold"] = str(BROADCAST_BYTES)
         before = {k: conf.get(k, None) for k in own}

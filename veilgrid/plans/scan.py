@@ -66,9 +66,9 @@ def tied(df: DataFrame, scan: ScanResult) -> DataFrame:
     return df
 
 
-def scan_pages_rt(pages: DataFrame) -> ScanResult:
-    """The runtime's scan of raw pages: whole text and field values, additive page type, constant element context."""
-    parsed = _keep(html.extract_pages(pages))
+def scan_pages_rt(pages: DataFrame, ended: bool = False) -> ScanResult:
+    """The runtime's scan of raw pages: whole text and field values, additive page type, constant element context. ended: as of ``extract_pages``."""
+    parsed = _keep(html.extract_pages(pages, ended))
     p = classify.classify_additive(parsed, F.col("form_hints"))
     p = _keep(p.withColumn("hints", detect.page_hints(F.col("form_fields"), F.col("page_type"))))
     text = _keep(detect.detect(p, "visible_text", ("page_id",), "rt", F.col("hints")))
